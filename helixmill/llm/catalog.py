@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, sharding
+from . import chat, packing, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_shard": sharding.op2_shard,
+        "op4_quality": quality.op4_quality,
+        "op8_pack": packing.op8_pack,
         "op9_chat_format": chat.op9_chat_format,
     }
 

@@ -36,10 +36,10 @@ PART = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class ChunkIds(dict):
+class ChunkIds:
     """Little-endian ids of chunks, by chunk."""
 
-    def __init__(self, tokenizer: str, most: int = 300_000):
+    def __init__(self, tokenizer: str, most: int = 600_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -47,22 +47,23 @@ class ChunkIds(dict):
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(public_tokenizers.path(tokenizer)).encode_batch
+        self.ids: dict[bytes, bytes] = {}
         self.most = most
 
     def learn(self, new: list[bytes]) -> None:
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for chunk, coded in zip(part, self.encode([x.decode() for x in part], add_special_tokens=False), strict=True):
-                self[chunk] = np.array(coded.ids, "<u4").tobytes()
+                self.ids[chunk] = np.array(coded.ids, "<u4").tobytes()
 
     def of(self, text: bytes) -> bytes:
         words = text.split()
-        if new := set(words).difference(self):
-            if len(self) + len(new) > self.most:
-                self.clear()
+        if new := set(words).difference(self.ids):
+            if len(self.ids) + len(new) > self.most:
+                self.ids.clear()
                 new = set(words)
             self.learn(sorted(new))
-        return b"".join(map(self.__getitem__, words))
+        return b"".join(map(self.ids.__getitem__, words))
 
 
 _ids: dict[str, ChunkIds] = {}

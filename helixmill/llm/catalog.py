@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, quality, sharding
+from . import chat, licenses, packing, pii, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": pii.op1_pii,
         "op2_shard": sharding.op2_shard,
         "op4_quality": quality.op4_quality,
+        "op6_licenses": licenses.op6_licenses,
         "op8_pack": packing.op8_pack,
         "op9_chat_format": chat.op9_chat_format,
     }

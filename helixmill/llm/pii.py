@@ -362,8 +362,9 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def with_added(text: str, base: list[tuple[int, int, int]], more: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Base spans, and what the model adds beside them: no letters in numbers, and a sign of '@' in addresses."""
-    fits = lambda m: m[2] - m[0] >= 7 and bool(_AT.search(text, m[0], m[2]) if m[1] == 0 else not _LETTER.search(text, m[0], m[2]))
+    """Base spans, and what the model adds beside them: whole tokens, no letters in numbers, and a sign of '@' in addresses."""
+    edge = lambda m: text[max(0, m[0] - 1) : m[0]].isalnum() or text[m[2] : m[2] + 1].isalnum()
+    fits = lambda m: m[2] - m[0] >= 7 and not edge(m) and bool(_AT.search(text, m[0], m[2]) if m[1] == 0 else not _LETTER.search(text, m[0], m[2]))
     return sorted(base + [m for m in more if fits(m) and not any(m[0] < b and a < m[2] for a, _, b in base)])
 
 

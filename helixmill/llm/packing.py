@@ -10,7 +10,7 @@ to exchange or one partition holds the rest. What is exchanged shrinks from roun
 
 Token ids of a text are those of its white-space separated chunks in a row (the
 tokenizer's pre-tokenizer drops white space and never looks across it), so each
-worker keeps the ids of chunks that it has met; the store is emptied when full.
+worker keeps the ids of chunks that it has met; the store drops its newer half when full.
 
 Cases: a null or empty text is one piece with the end id alone; only documents
 longer than the capacity are cut; repeated rows are pieces of their own; an empty
@@ -19,8 +19,10 @@ table gives an empty result; only doc_id and text are read.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -39,14 +41,14 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class ChunkIds:
     """Little-endian ids of chunks, by chunk."""
 
-    def __init__(self, tokenizer: str, most: int = 600_000):
+    def __init__(self, tokenizer: str, most: int = 1_000_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(public_tokenizers.path(tokenizer)).encode_batch
+        self.encode = Tokenizer.from_file(public_tokenizers.path(tokenizer)).encode_batch_fast
         self.ids: dict[bytes, bytes] = {}
         self.most = most
 
@@ -54,14 +56,15 @@ class ChunkIds:
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for chunk, coded in zip(part, self.encode([x.decode() for x in part], add_special_tokens=False), strict=True):
-                self.ids[chunk] = np.array(coded.ids, "<u4").tobytes()
+                self.ids[chunk] = struct.pack(f"<{len(coded)}I", *coded.ids)
 
     def of(self, text: bytes) -> bytes:
         words = text.split()
         if new := set(words).difference(self.ids):
             if len(self.ids) + len(new) > self.most:
-                self.ids.clear()
-                new = set(words)
+                # Common chunks are met early: the older half stays.
+                self.ids = dict(islice(self.ids.items(), self.most // 2))
+                new = set(words).difference(self.ids)
             self.learn(sorted(new))
         return b"".join(map(self.ids.__getitem__, words))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, html_text, licenses, packing, pii, quality, sharding
+from . import chat, decontam, html_text, jaccard, licenses, packing, pii, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii": pii.op1_pii,
         "op2_shard": sharding.op2_shard,
         "op4_quality": quality.op4_quality,
+        "op5_jaccard": jaccard.op5_jaccard,
         "op6_licenses": licenses.op6_licenses,
         "op7_main_text": html_text.op7_main_text,
         "op8_pack": packing.op8_pack,

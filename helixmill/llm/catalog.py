@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, html_text, jaccard, licenses, packing, pii, quality, sharding
+from . import chat, decontam, html_text, jaccard, licenses, packing, pii, quality, sharding, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": pii.op1_pii,
         "op2_shard": sharding.op2_shard,
+        "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op4_quality": quality.op4_quality,
         "op5_jaccard": jaccard.op5_jaccard,
         "op6_licenses": licenses.op6_licenses,

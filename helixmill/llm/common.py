@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -63,3 +64,9 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
         if start < batch.num_rows:
             yield batch.slice(start)
 
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files of finished steps now, not at some later collection of garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

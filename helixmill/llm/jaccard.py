@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, table, written
+from .common import chunks, release, table, written
 from .components import components
 from .shingles import shingle_sets, signature
 
@@ -166,6 +166,25 @@ def tried(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def may_link(pairs: DataFrame, leaf: DataFrame) -> DataFrame:
+    """The pairs(a, b) that sizes and bitmaps do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("p", "q"))
+                n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+                set_p, set_q = (np.bitwise_count(v).sum(1).astype(np.int64) for v in (p, q))
+                most = np.bitwise_count(p & q).sum(1).astype(np.int64) + np.minimum(n - set_p, m - set_q)
+                keep = (OVER + UNDER) * np.minimum(most, np.minimum(n, m)) >= OVER * (n + m)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    x = leaf.select(F.col("sig").alias("a"), F.col("size").alias("n"), F.col("bits").alias("p"))
+    y = leaf.select(F.col("sig").alias("b"), F.col("size").alias("m"), F.col("bits").alias("q"))
+    sizes = pairs.join(x.drop("p"), "a").join(y.drop("q"), "b").where(f"{UNDER} * least(n, m) >= {OVER} * greatest(n, m)").select("a", "b")
+    return sizes.join(x, "a").join(y, "b").mapInArrow(run, "a long, b long")
+
+
 # ---- signature trees
 
 
@@ -276,6 +295,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     nodes = written(all_.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "nodes")
     member = written(members_of(groups(docs, frequent(docs), buckets)), "members")
     sets = written(needed_sets(docs, nodes, member.select("sig").distinct()), "sets")
+    leaf = written(leaves(sets), "leaves")
+    release(spark)
     inside = nodes.join(member.select("sig").distinct(), "sig", "left_semi")
     links, open_, classes = None, member, classes_of(inside, None)
     for turn in range(STARS + 1):
@@ -283,10 +304,11 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
             # One member of each group, another one in each round, against the others outside its class.
             named = open_.join(classes, "sig")
             leader = named.groupBy("group").agg(F.min_by(F.struct("sig", "root"), F.struct(F.xxhash64(F.lit(turn), "sig"), "sig")).alias("lead"))
-            pairs = named.join(leader, "group").where("root <> lead.root").select(F.least("sig", "lead.sig").alias("a"), F.greatest("sig", "lead.sig").alias("b")).distinct()
+            pairs = may_link(named.join(leader, "group").where("root <> lead.root").select(F.least("sig", "lead.sig").alias("a"), F.greatest("sig", "lead.sig").alias("b")).distinct(), leaf)
         else:
-            pairs = between_classes(open_, leaves(sets.join(open_.select("sig").distinct(), "sig", "left_semi")), classes)
+            pairs = between_classes(open_, leaf, classes)
         new = written(tried(pairs, sets), "links")
+        release(spark)
         links = new if links is None else links.unionByName(new)
         classes = written(classes_of(inside, links), "classes")
         # Groups that still hold several classes.

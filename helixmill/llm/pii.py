@@ -388,6 +388,24 @@ def personal_data(docs: DataFrame, tagger: Tagger | None, mask: bool = True) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FOUND)
 
 
+def masked_documents(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
+    """docs with all spans masked in text, and n_chars counted anew; a null text stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            texts = batch.column("text").to_pylist()
+            signed = [k for k, t in enumerate(texts) if t and _SIGN.search(t)]
+            more = dict(zip(signed, decode(tagger, [texts[k] for k in signed]), strict=True)) if tagger else {}
+            for k in signed:
+                texts[k] = masked(texts[k], with_added(texts[k], base_spans(texts[k]), more.get(k, [])))
+            cols = {name: batch.column(name) for name in batch.schema.names} | {"text": pa.array(texts, pa.string())}
+            if "n_chars" in cols:
+                cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     docs = table(spark, sf_dir, "documents")

@@ -48,15 +48,49 @@ class ChunkIds:
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(public_tokenizers.path(tokenizer)).encode_batch_fast
+        of = Tokenizer.from_file(public_tokenizers.path(tokenizer))
+        self.encode = of.encode_batch_fast
+        vocab = of.get_vocab()
+        self.is_end = np.zeros(max(vocab.values()) + 1, bool)
+        self.is_end[[k for token, k in vocab.items() if token.endswith("</w>")]] = True
         self.ids: dict[bytes, bytes] = {}
         self.most = most
 
     def learn(self, new: list[bytes]) -> None:
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for chunk, coded in zip(part, self.encode([x.decode() for x in part], add_special_tokens=False), strict=True):
-                self.ids[chunk] = struct.pack(f"<{len(coded)}I", *coded.ids)
+        """The tokenizer lower-cases and parts letters from other characters: ids of `Word,` are those of `word` and `,`.
+
+        Words of letters alone are one token run each, which ends in a word-end token:
+        they are encoded many at a time and told apart by these.
+        """
+        parted, words, rest = [], set(), set()
+        for chunk in new:
+            core, mark = chunk, b""
+            if chunk.isascii():
+                core = core.lower()
+            if core[-1] in b".,;:!?" and len(core) > 1 and (core[-2:-1].isalpha() if core[-2] < 128 else core[:-1].decode()[-1].isalpha()):
+                core, mark = core[:-1], core[-1:]
+            parted.append((chunk, core, mark))
+            if core not in self.ids:
+                (words if core.isalpha() or (not core.isascii() and core.decode().isalpha()) else rest).add(core)
+            if mark and mark not in self.ids:
+                rest.add(mark)
+        words = sorted(words)
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            coded = self.encode([b" ".join(part).decode()], add_special_tokens=False)[0].ids
+            ends = np.flatnonzero(self.is_end[coded]) + 1
+            if len(ends) == len(part) and ends[-1] == len(coded):
+                packed, first = np.array(coded, "<u4").tobytes(), 0
+                for core, end in zip(part, (4 * ends).tolist(), strict=True):
+                    self.ids[core] = packed[first:end]
+                    first = end
+            else:
+                rest.update(part)
+        rest = sorted(rest)
+        for core, coded in zip(rest, self.encode([x.decode() for x in rest], add_special_tokens=False), strict=True):
+            self.ids[core] = struct.pack(f"<{len(coded)}I", *coded.ids)
+        for chunk, core, mark in parted:
+            self.ids[chunk] = self.ids[core] + self.ids[mark] if mark else self.ids[core]
 
     def of(self, text: bytes) -> bytes:
         words = text.split()

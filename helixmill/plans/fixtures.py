@@ -117,7 +117,7 @@ fx_raw AS (SELECT doc_id * {PER_DOC} + k AS seq_id, rpad(substr(s, k::INT * {LEN
   FROM (SELECT *, unnest(range(0, (length(s) + {LENGTH - 1}) // {LENGTH})) AS k FROM fx_letters WHERE s <> '')),
 fx_seq AS (SELECT seq_id, translate(seq, '{LETTERS}', '{BASES}') AS seq FROM fx_raw),
 fx_noncanon AS (SELECT seq_id, seq, structure FROM fx_seq JOIN tpl ON no = seq_id % 10),
-fx_folded AS (SELECT seq_id, array_to_string(list_transform(range(1, {LENGTH + 1}), i -> CASE WHEN places[i] >= 0 THEN translate(seq[places[i] + 1], 'ACGU', 'UGCA') ELSE seq[i] END), '') AS seq, structure
+fx_folded AS (SELECT seq_id, array_to_string(list_transform(range(1, {LENGTH + 1}), lambda i: CASE WHEN places[i] >= 0 THEN translate(seq[places[i] + 1], 'ACGU', 'UGCA') ELSE seq[i] END), '') AS seq, structure
   FROM fx_seq JOIN tpl ON no = seq_id % 10),
 tpl_pairs AS (SELECT no, (places[j] + 1)::INT AS i, j::INT AS j FROM (SELECT no, places, unnest(range(1, {LENGTH + 1})) AS j FROM tpl) WHERE places[j] >= 0),
 fx_pairs AS (SELECT seq_id, i, j FROM fx_seq JOIN tpl_pairs ON no = seq_id % 10),

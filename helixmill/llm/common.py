@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  makes pa.compute available
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,3 +71,15 @@ def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of finished steps now, not at some later collection of garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def hash_sample(rows: DataFrame, column: str, n: int) -> list:
+    """The values of about n distinct rows' column at most, chosen by their hash: the same ones in every run.
+
+    What the driver gets is bounded by n, not by n for each partition.
+    """
+    some = rows.select(column).where(F.col(column).isNotNull())
+    total = max(1, some.count())
+    share = min(1 << 30, (n << 30) // total + 1)
+    found = some.where(F.pmod(F.xxhash64(column), F.lit(1 << 30)) < share).distinct().limit(2 * n).collect()
+    return sorted(r[0] for r in found)[:n]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, table
+from .common import chunks, hash_sample, table
 
 SAMPLE = 150
 _TOKEN = re.compile(
@@ -300,8 +300,8 @@ def labelled(pages: list[str], seed: int = 11, made: int = 350) -> tuple[np.ndar
 
 def learned(pages: DataFrame, sample: int = SAMPLE) -> Trees:
     """Trees fitted on composed pages and at most `sample` given pages under 40,000 characters."""
-    some = pages.where(F.length("html") < 40_000).select("html").orderBy(F.xxhash64("html"), "html").limit(sample)
-    return Trees().fit(*labelled([r.html for r in some.collect()]))  # bounded by `sample`
+    some = pages.where(F.length("html") < 40_000)
+    return Trees().fit(*labelled(hash_sample(some, "html", sample)))
 
 
 TEXTS = "page_id long, url string, text string, n_chars long"

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, table
+from .common import chunks, hash_sample, table
 
 KINDS = ["email", "ip", "card", "phone"]
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -336,8 +336,7 @@ def examples(texts: list[str], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
 def learned(docs: DataFrame, sample: int = SAMPLE) -> Tagger | None:
     """A tagger fitted on at most `sample` texts of 800 characters around a sign, or None without spans."""
     signs = docs.where(F.col("text").rlike("[0-9@]")).select(F.expr("substring(text, greatest(1, regexp_instr(text, '[0-9@]') - 200), 800)").alias("text"))
-    some = signs.orderBy(F.xxhash64("text"), "text").limit(sample)
-    codes, tags = examples([r.text for r in some.collect()])  # bounded by `sample`
+    codes, tags = examples(hash_sample(signs, "text", sample))
     return Tagger().fit(codes, tags) if len(codes) else None
 
 

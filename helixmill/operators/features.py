@@ -6,13 +6,11 @@ or helix is read once. Records are (seq_id, seq, structure).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import canonical_feature
-from .loops import base_at, classify_loops, effective_pairs, helices, parent_pair
+from .loops import base_at, classify_loops, effective_pairs, helices
 from .structure import brackets_to_pairs
 
 #: Thresholds of pair distances, and caps of lengths.
@@ -38,17 +36,14 @@ def exploded(rows: DataFrame, names: Column) -> DataFrame:
     return rows.select("seq_id", F.explode(F.filter(names, lambda x: x.isNotNull())).alias("feature"))
 
 
-def pair_features(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
-    """base_pair and the distance families of each pair."""
+def pair_names() -> Column:
+    """base_pair and the distance families of a pair."""
     far = F.filter(F.array(*[F.lit(d) for d in DISTANCES]), lambda d: d <= F.col("j") - F.col("i"))
-    names = F.concat(F.array(canonical_feature(name("base_pair", s("i"), s("j")))), F.transform(far, lambda d, k: name("base_pair_dist_at_least", k.cast("string"))))  # thresholds ascend
-    return exploded(pairs.join(seqs, "seq_id"), names)
+    return F.concat(F.array(canonical_feature(name("base_pair", s("i"), s("j")))), F.transform(far, lambda d, k: name("base_pair_dist_at_least", k.cast("string"))))  # thresholds ascend
 
 
-def stacking_features(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
-    inner = pairs.select("seq_id", (F.col("i") - 1).alias("i"), (F.col("j") + 1).alias("j"))
-    rows = pairs.join(inner, ["seq_id", "i", "j"]).join(seqs, "seq_id")
-    return rows.select("seq_id", canonical_feature(name("helix_stacking", s("i"), s("j"), s("i + 1"), s("j - 1"))).alias("feature"))
+def stack_names() -> Column:
+    return F.array(canonical_feature(name("helix_stacking", s("i"), s("j"), s("i + 1"), s("j - 1"))))
 
 
 def helix_features(pairs: DataFrame) -> DataFrame:
@@ -91,36 +86,42 @@ def multi_names() -> Column:
 
 
 def branch_names() -> Column:
-    """Of a branch (i, j) of a multi loop (`multi`) or the external loop, as seen from outside."""
-    left = F.when(F.col("multi") | (F.col("j") < F.length("seq")), name("dangle_left", s("j"), s("i"), s("j + 1")))
-    right = F.when(F.col("multi") | (F.col("i") > 1), name("dangle_right", s("j"), s("i"), s("i - 1")))
-    return F.array(F.when(F.col("multi"), "multi_paired").otherwise("external_paired"), closing("j", "i"), left, right)
+    """Of the branches of a multi loop or the external loop, each as seen from outside."""
+    multi = F.col("kind") == "multi"
+
+    def of(b: Column) -> Column:
+        i, j = b["i"], b["j"]
+        left = F.when(multi | (j < F.length("seq")), name("dangle_left", s(j), s(i), s(j + 1)))
+        right = F.when(multi | (i > 1), name("dangle_right", s(j), s(i), s(i - 1)))
+        return F.array(F.when(multi, "multi_paired").otherwise("external_paired"), name("helix_closing", s(j), s(i)), left, right)
+
+    return F.coalesce(F.flatten(F.transform("branches", of)), F.array().cast("array<string>"))
+
+
+#: The families of a loop's row, by when they apply. To add a family is to add an entry.
+LOOP_FAMILIES = [
+    ("i IS NOT NULL", pair_names),
+    ("kind = 'stack'", stack_names),
+    ("kind = 'hairpin'", hairpin_names),
+    ("kind IN ('bulge', 'internal')", single_names),
+    ("kind = 'multi'", multi_names),
+    ("kind IN ('multi', 'external')", branch_names),
+    ("kind = 'external'", lambda: F.array_repeat(F.lit("external_unpaired"), F.col("n_unpaired"))),
+]
 
 
-def feature_rows(records: DataFrame, allow_nc: bool = False) -> dict[str, DataFrame]:
-    """The feature families by source, each as (seq_id, feature) with repeats. To add a family is to add an entry."""
-    seqs = records.select("seq_id", "seq")
+def feature_rows(records: DataFrame, allow_nc: bool = False) -> DataFrame:
+    """seq_id, feature with repeats: one explode of the loops and one of the helices."""
     pairs = effective_pairs(brackets_to_pairs(records), records, allow_nc)
-    loops = classify_loops(pairs, records).join(seqs, "seq_id")
-    nested = parent_pair(pairs, records).where("j IS NOT NULL")
-    kinds = loops.where("kind IN ('multi', 'external')").select("seq_id", F.col("i").alias("parent_i"), (F.col("kind") == "multi").alias("multi"))
-    branches = nested.join(kinds, nested["parent_i"].eqNullSafe(kinds["parent_i"]) & (nested["seq_id"] == kinds["seq_id"])).select(nested["seq_id"], "i", "j", "multi").join(seqs, "seq_id")
-    return {
-        "pairs": pair_features(pairs, seqs),
-        "stacking": stacking_features(pairs, seqs),
-        "helices": helix_features(pairs),
-        "hairpins": exploded(loops.where("kind = 'hairpin'"), hairpin_names()),
-        "single": exploded(loops.where("kind IN ('bulge', 'internal')"), single_names()),
-        "multi": exploded(loops.where("kind = 'multi'"), multi_names()),
-        "branches": exploded(branches, branch_names()),
-        "external": exploded(loops.where("kind = 'external'"), F.array_repeat(F.lit("external_unpaired"), F.col("n_unpaired"))),
-    }
+    found = classify_loops(pairs, records).join(records.select("seq_id", "seq"), "seq_id")
+    none = F.array().cast("array<string>")
+    names = F.concat(*[F.when(F.expr(when), family()).otherwise(none) for when, family in LOOP_FAMILIES])
+    return exploded(found, names).unionByName(helix_features(pairs))
 
 
 def feature_counts(records: DataFrame, allow_nc: bool = False) -> DataFrame:
     """seq_id, feature, cnt. Partial sums on the map side keep common features harmless."""
-    rows = reduce(DataFrame.unionByName, feature_rows(records, allow_nc).values())
-    return rows.groupBy("seq_id", "feature").agg(F.count("*").cast("double").alias("cnt"))
+    return feature_rows(records, allow_nc).groupBy("seq_id", "feature").agg(F.count("*").cast("double").alias("cnt"))
 
 
 def corpus_feature_counts(features: DataFrame) -> DataFrame:

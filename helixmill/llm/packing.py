@@ -22,7 +22,8 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import islice
+from itertools import chain, islice
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -46,10 +47,15 @@ class ChunkIds:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         of = Tokenizer.from_file(public_tokenizers.path(tokenizer))
         self.encode = of.encode_batch_fast
+        of_words = Tokenizer.from_file(public_tokenizers.path(tokenizer))
+        of_words.normalizer = normalizers.Sequence([])
+        of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        of_words.model._resize_cache(0)  # no word comes twice
+        self.encode_words = of_words.encode_batch_fast
         vocab = of.get_vocab()
         self.is_end = np.zeros(max(vocab.values()) + 1, bool)
         self.is_end[[k for token, k in vocab.items() if token.endswith("</w>")]] = True
@@ -59,25 +65,28 @@ class ChunkIds:
     def learn(self, new: list[bytes]) -> None:
         """The tokenizer lower-cases and parts letters from other characters: ids of `Word,` are those of `word` and `,`.
 
-        Words of letters alone are one token run each, which ends in a word-end token:
-        they are encoded many at a time and told apart by these.
+        Words of Latin letters are one token run each, which ends in a word-end token. They
+        are lower-cased here and encoded many at a time without the tokenizer's
+        normalizing steps, which would leave them as they are, and told apart by these ends.
         """
         parted, words, rest = [], set(), set()
         for chunk in new:
-            core, mark = chunk, b""
-            if chunk.isascii():
+            core, mark = chunk.decode(), b""
+            if core[-1] in ".,;:!?" and core[-2:-1].isalpha():
+                core, mark = core[:-1], chunk[-1:]
+                if mark not in self.ids:
+                    rest.add(mark)
+            plain = core.isalpha() and (core.isascii() or (max(core) < "\u0250" and "\u0130" not in core and is_normalized("NFC", core)))
+            if plain:
                 core = core.lower()
-            if core[-1] in b".,;:!?" and len(core) > 1 and (core[-2:-1].isalpha() if core[-2] < 128 else core[:-1].decode()[-1].isalpha()):
-                core, mark = core[:-1], core[-1:]
-            parted.append((chunk, core, mark))
-            if core not in self.ids:
-                (words if core.isalpha() or (not core.isascii() and core.decode().isalpha()) else rest).add(core)
-            if mark and mark not in self.ids:
-                rest.add(mark)
+            key = core.encode()
+            parted.append((chunk, key, mark))
+            if key not in self.ids:
+                (words if plain else rest).add(key)
         words = sorted(words)
         for at in range(0, len(words), 2000):
             part = words[at : at + 2000]
-            coded = self.encode([b" ".join(part).decode()], add_special_tokens=False)[0].ids
+            coded = self.encode_words([b" ".join(part).decode()], add_special_tokens=False)[0].ids
             ends = np.flatnonzero(self.is_end[coded]) + 1
             if len(ends) == len(part) and ends[-1] == len(coded):
                 packed, first = np.array(coded, "<u4").tobytes(), 0
@@ -92,15 +101,17 @@ class ChunkIds:
         for chunk, core, mark in parted:
             self.ids[chunk] = self.ids[core] + self.ids[mark] if mark else self.ids[core]
 
-    def of(self, text: bytes) -> bytes:
-        words = text.split()
-        if new := set(words).difference(self.ids):
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text; what is new is learnt for all of them at once."""
+        split = [t.split() for t in texts]
+        new = set(chain.from_iterable(split)).difference(self.ids)
+        if new:
             if len(self.ids) + len(new) > self.most:
                 # Common chunks are met early: the older half stays.
                 self.ids = dict(islice(self.ids.items(), self.most // 2))
-                new = set(words).difference(self.ids)
+                new = set(chain.from_iterable(split)).difference(self.ids)
             self.learn(sorted(new))
-        return b"".join(map(self.ids.__getitem__, words))
+        return [b"".join(map(self.ids.__getitem__, words)) for words in split]
 
 
 _ids: dict[str, ChunkIds] = {}
@@ -116,8 +127,9 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int
         last = int(end).to_bytes(4, "little")
         for batch in chunks(batches):
             rows: list[tuple] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                coded = ids.of(text or b"") + last
+            texts = [t or b"" for t in batch.column("text").to_pylist()]
+            for doc, coded in zip(batch.column("doc_id").to_pylist(), ids.of(texts), strict=True):
+                coded += last
                 for k, at in enumerate(range(0, len(coded), 4 * capacity)):
                     part = coded[at : at + 4 * capacity]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -6,7 +6,9 @@ RADIUS + 1 blocks: fingerprints within RADIUS agree in one block at least, so th
 join on (item size, block, value) finds all of them. A found pair is kept if the
 weighted Jaccard similarity of its shingle counts is at least `similar`.
 
-Which windows: a similarity over 0 needs a shared shingle, and sliding a window
+Which windows: a similar window shares all but a seventh of its shingles with the item, so
+that some shared one starts at every fourth place of the text; only texts with such
+a place are read on. Sliding a window
 to its first shared shingle never loses one. So the windows that start at a
 shingle of an item of their size (or end with the text) and hold enough shared
 positions for `similar` are fingerprinted; no other window can pass the last test.
@@ -38,9 +40,18 @@ def words(text: str = "text") -> Column:
     return F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def shingle_hashes(of: Column) -> Column:
-    """A hash of each run of five words, in order; empty under five words."""
-    return F.when(F.size(of) >= N, F.transform(F.sequence(F.lit(1), F.size(of) - (N - 1)), lambda i: F.xxhash64(F.slice(of, i, N)))).otherwise(F.array().cast("array<bigint>"))
+def stride(shingles: int, similar: float = SIMILAR) -> int:
+    """The largest step up to 4 at which places of a window of at least so many shingles cannot all be misses.
+
+    A similar window misses at most a share (1 - similar) / (1 + similar) of its places; of each `step` places in a row one is tried.
+    """
+    missed = (1 - similar) / (1 + similar)
+    return max(k for k in (1, 2, 3, 4) if k == 1 or all(n // k > int(missed * n + 1e-9) for n in range(max(1, int(similar * shingles)), 200)))  # a text may be shorter than the item
+
+
+def shingle_hashes(of: Column, every: int = 1) -> Column:
+    """A hash of each run of five words that starts at a place divisible by `every`; empty under five words."""
+    return F.when(F.size(of) >= N, F.transform(F.sequence(F.lit(1), F.size(of) - (N - 1), F.lit(every)), lambda i: F.xxhash64(F.slice(of, i, N)))).otherwise(F.array().cast("array<bigint>"))
 
 
 def simhash(hashes: str) -> Column:
@@ -71,7 +82,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> Da
     near = F.broadcast if small else (lambda df: df)
 
     key = [F.col("doc_id"), F.xxhash64("text").alias("text_hash")]
-    texts = docs.select(*key, words().alias("w"))
+    # Texts with a shared shingle at a place divisible by `every`: no text with a similar window lacks one.
+    every = stride(items.agg(F.min(F.size("item_hashes"))).first()[0] or 1)
+    some = docs.select(*key, words().alias("w")).select("doc_id", "text_hash", F.explode(shingle_hashes(F.col("w"), every)).alias("h"))
+    seeds = written(some.join(near(told.select("h").distinct()), "h", "left_semi").select(F.col("doc_id").alias("id_"), "text_hash").distinct(), "seeds")
+    texts = docs.select(*key, "text")
+    texts = texts.join(seeds, F.col("id_").eqNullSafe(F.col("doc_id")) & (seeds["text_hash"] == texts["text_hash"])).select("doc_id", texts["text_hash"], "text")
+    texts = written(texts, "seeded").select("doc_id", "text_hash", words().alias("w"))
     seen = texts.select("doc_id", "text_hash", F.size("w").alias("n"), F.posexplode(shingle_hashes(F.col("w"))).alias("q", "h"))
     hits = seen.join(near(told), "h").groupBy("doc_id", "text_hash", "n", "size", "item_id").agg(F.array_sort(F.collect_set("q")).alias("at"))
     # A window from p on with `least` shared positions up to its last shingle.

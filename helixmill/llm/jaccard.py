@@ -8,13 +8,13 @@ from a sample, which changes the sizes of groups and never a result.
 
 In the groups, links are found in rounds:
 
-* a group's members are tried against one of them, which joins most copies to
-  their class at a cost in proportion to the members;
+* a group's members are tried against one of them, if the two share much of their
+  prefixes, which joins most copies to their class at a cost in proportion to the members;
 * in groups that still hold several classes, a signature tree is built over the members: a leaf
   has a bitmap of a node's shingles and its size, an inner node the OR of its
   children's bitmaps and their range of sizes. A dual traversal drops each pair of tree
   nodes whose greatest possible overlap is too small for any link below it,
-  and what is left between classes is tried.
+  and what is left between classes, and shares enough prefix tokens for a link, is tried.
 
 A try is exact: 100 * intersection >= 75 * union on the whole sets.
 
@@ -26,6 +26,7 @@ class's id unless it is alone; an empty table gives an empty result; only doc_id
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,7 +88,7 @@ def prefix(of: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def groups(docs: DataFrame, last: np.ndarray, buckets: int) -> DataFrame:
-    """Distinct lists of two or more nodes that share a prefix token: members as packed signatures, sorted."""
+    """Lists of two or more nodes that share a prefix token: members as packed signatures, sorted, and how many tokens have them."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, most=_CHUNK):
@@ -105,7 +106,7 @@ def groups(docs: DataFrame, last: np.ndarray, buckets: int) -> DataFrame:
             full = np.flatnonzero(np.diff(cuts))
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([rows[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary())], names=["bucket", "posts"])
 
-    def meet(blobs: list[bytes]) -> list[bytes]:
+    def meet(blobs: list[bytes]) -> Counter:
         rows = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, 2)
         rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
         new = np.ones(len(rows), bool)
@@ -115,11 +116,11 @@ def groups(docs: DataFrame, last: np.ndarray, buckets: int) -> DataFrame:
         ends = np.append(starts[1:], len(rows))
         several = np.flatnonzero(ends - starts > 1)
         sigs = np.ascontiguousarray(rows[:, 1])
-        return list({sigs[starts[k] : ends[k]].tobytes() for k in several})
+        return Counter(sigs[starts[k] : ends[k]].tobytes() for k in several)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
-        out = lambda found: pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["members"])
+        out = lambda found: pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], names=["members", "times"])
         for batch in batches:
             for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("posts").to_pylist(), strict=True):
                 if bucket != at and held:
@@ -131,7 +132,7 @@ def groups(docs: DataFrame, last: np.ndarray, buckets: int) -> DataFrame:
             yield out(meet(held))
 
     posts = _binary(docs).mapInArrow(post, "bucket int, posts binary")
-    return posts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "members binary").distinct()
+    return posts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "members binary, times long").groupBy("members").agg(F.sum("times").alias("times"))
 
 
 def needed_sets(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
@@ -166,23 +167,15 @@ def tried(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def may_link(pairs: DataFrame, leaf: DataFrame) -> DataFrame:
-    """The pairs(a, b) that sizes and bitmaps do not rule out."""
+def counted_pairs(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """a, b, shared (prefix tokens that both have, as summed over pairs(a, b, times)) and the sizes n and m."""
+    x = sizes.select(F.col("sig").alias("a"), F.col("size").alias("n"))
+    y = sizes.select(F.col("sig").alias("b"), F.col("size").alias("m"))
+    return pairs.groupBy("a", "b").agg(F.sum("times").alias("shared")).join(x, "a").join(y, "b").where(f"{UNDER} * least(n, m) >= {OVER} * greatest(n, m)")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("p", "q"))
-                n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
-                set_p, set_q = (np.bitwise_count(v).sum(1).astype(np.int64) for v in (p, q))
-                most = np.bitwise_count(p & q).sum(1).astype(np.int64) + np.minimum(n - set_p, m - set_q)
-                keep = (OVER + UNDER) * np.minimum(most, np.minimum(n, m)) >= OVER * (n + m)
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    x = leaf.select(F.col("sig").alias("a"), F.col("size").alias("n"), F.col("bits").alias("p"))
-    y = leaf.select(F.col("sig").alias("b"), F.col("size").alias("m"), F.col("bits").alias("q"))
-    sizes = pairs.join(x.drop("p"), "a").join(y.drop("q"), "b").where(f"{UNDER} * least(n, m) >= {OVER} * greatest(n, m)").select("a", "b")
-    return sizes.join(x, "a").join(y, "b").mapInArrow(run, "a long, b long")
+#: A shingle that two sets share is in both prefixes, or behind the prefix of one of them.
+ENOUGH = f"{OVER + UNDER} * (shared + ceil({OVER} * greatest(n, m) / {UNDER}) - 1) >= {OVER} * (n + m)"
 
 
 # ---- signature trees
@@ -249,34 +242,35 @@ def leaves(sets: DataFrame) -> DataFrame:
 
 
 def between_classes(open_groups: DataFrame, leaf: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of members of one group and different classes that the group's tree cannot rule out."""
+    """a, b, times: members of one group and different classes that the group's tree cannot rule out, for each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for told in batch.column("told").to_pylist():
                 told.sort(key=lambda r: (r["size"], r["sig"]))
-                sig, root, size = (np.array([r[k] for r in told], np.int64) for k in ("sig", "root", "size"))
+                sig, root, size, times = (np.array([r[k] for r in told], np.int64) for k in ("sig", "root", "size", "times"))
                 tree = Tree(np.frombuffer(b"".join(r["bits"] for r in told), np.uint64).reshape(len(told), -1), size)
                 for a, b in tree.pairs():
                     use = root[a] != root[b]
                     a, b = a[use], b[use]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sig[a], sig[b])), pa.array(np.maximum(sig[a], sig[b]))], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sig[a], sig[b])), pa.array(np.maximum(sig[a], sig[b])), pa.array(times[a])], names=["a", "b", "times"])
 
-    told = open_groups.join(leaf, "sig").join(classes, "sig").groupBy("group").agg(F.collect_list(F.struct("sig", "root", "size", "bits")).alias("told"))
-    return told.select("told").mapInArrow(run, "a long, b long").distinct()
+    told = open_groups.join(leaf, "sig").join(classes, "sig").groupBy("group").agg(F.collect_list(F.struct("sig", "root", "size", "bits", "times")).alias("told"))
+    return told.select("told").mapInArrow(run, "a long, b long, times long")
 
 
 def members_of(found: DataFrame) -> DataFrame:
-    """group (a hash of the member list) and sig, a row for each member."""
+    """group (a hash of the member list), times (tokens with this list) and sig, a row for each member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("members")]
             if lists:
-                group = np.repeat(batch.column("group").to_numpy(), [len(x) for x in lists])
-                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(np.concatenate(lists))], names=["group", "sig"])
+                many = [len(x) for x in lists]
+                cols = [np.repeat(batch.column(c).to_numpy(), many) for c in ("group", "times")]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.concatenate(lists))], names=["group", "times", "sig"])
 
-    return found.select(F.xxhash64("members").alias("group"), "members").mapInArrow(run, "group long, sig long")
+    return found.select(F.xxhash64("members").alias("group"), "times", "members").mapInArrow(run, "group long, times long, sig long")
 
 
 def classes_of(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -304,9 +298,12 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
             # One member of each group, another one in each round, against the others outside its class.
             named = open_.join(classes, "sig")
             leader = named.groupBy("group").agg(F.min_by(F.struct("sig", "root"), F.struct(F.xxhash64(F.lit(turn), "sig"), "sig")).alias("lead"))
-            pairs = may_link(named.join(leader, "group").where("root <> lead.root").select(F.least("sig", "lead.sig").alias("a"), F.greatest("sig", "lead.sig").alias("b")).distinct(), leaf)
+            stars = named.join(leader, "group").where("root <> lead.root").select(F.least("sig", "lead.sig").alias("a"), F.greatest("sig", "lead.sig").alias("b"), "times")
+            # Unlike copies are left to the trees: the pair that links shares most of its prefix, as a rule.
+            pairs = counted_pairs(stars, leaf).where("10 * shared >= least(n, m)")
         else:
-            pairs = between_classes(open_, leaf, classes)
+            # All groups of a pair between classes are still open, so its count is whole.
+            pairs = counted_pairs(between_classes(open_, leaf, classes), leaf).where(ENOUGH)
         new = written(tried(pairs, sets), "links")
         release(spark)
         links = new if links is None else links.unionByName(new)

@@ -199,6 +199,22 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return loss.groupBy("seq_id").agg(F.sum("penalty").alias("penalty"))
 
 
+@query(
+    "j9_loss_mapping",
+    f", {CAND}, known AS (SELECT seq_id, count(*) FILTER (partner > 0 OR partner = -2) AS np FROM fd_mapping GROUP BY seq_id) SELECT c.seq_id, round(sum(((x.partner >= 0 AND x.partner <> c.j)::INT + (y.partner >= 0 AND y.partner <> c.i)::INT) * 4.0::DOUBLE / greatest(np, 1)), 6) AS penalty FROM cand c JOIN known USING (seq_id) JOIN fd_mapping x ON x.seq_id = c.seq_id AND x.pos = c.i JOIN fd_mapping y ON y.seq_id = c.seq_id AND y.pos = c.j GROUP BY c.seq_id".lstrip(","),
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    r = X.fx_noncanon(spark, d)
+    loss = candidates.loss_mapping(candidates.candidate_pairs(r, SPAN), structure.brackets_to_mapping(r), 4.0)
+    return loss.groupBy("seq_id").agg(F.round(F.sum("penalty"), 6).alias("penalty"))
+
+
+@query("j10_hairpin_candidates", f", {CAND} SELECT seq_id, count(*) AS n, sum(j - i - 1)::BIGINT AS sum_n FROM cand WHERE j - i > 3 GROUP BY seq_id".lstrip(","))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    out = candidates.hairpin_candidates(candidates.candidate_pairs(X.fx_seq(spark, d), SPAN))
+    return out.groupBy("seq_id").agg(F.count("*").alias("n"), F.sum("n").alias("sum_n"))
+
+
 @query(
     "j11_single_loops",
     f", {CAND.replace(f'+ {SPAN}', '+ 14')} SELECT o.seq_id, count(*) AS n, sum(n.i - o.i - 1)::BIGINT AS sum_l1, sum(o.j - n.j - 1)::BIGINT AS sum_l2 FROM cand o JOIN cand n ON n.seq_id = o.seq_id AND n.i > o.i AND n.j < o.j WHERE (n.i - o.i - 1) + (o.j - n.j - 1) BETWEEN 1 AND 40 GROUP BY o.seq_id".lstrip(","),

@@ -403,7 +403,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("q4_decode_weights", f"{POST} SELECT seq_id, count(*) AS n, sum(5 * p - 1)::DOUBLE AS sum_w FROM post GROUP BY seq_id")
 def _(spark: SparkSession, d: str) -> DataFrame:
     post = fx_posterior(spark, d)
-    pairs, _ = posterior.decode_weights(post, post, 4.0, "centroid")
+    pairs, _ = posterior.decode_weights(post, structure.bases_of(X.fx_seq(spark, d)), 4.0, "centroid")
     return pairs.groupBy("seq_id").agg(F.count("*").alias("n"), F.sum("w").alias("sum_w"))
 
 

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_format": chat.OP9_SQL}
+    return {"op9_chat_format": chat.OP9_SQL, "op10_decontaminate": decontam.OP10_SQL}

@@ -113,7 +113,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> Da
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items in every document."""
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "similarity")
 
 
 OP10_SQL = r"""

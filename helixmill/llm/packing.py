@@ -36,6 +36,8 @@ from .common import chunks, table, written
 CAPACITY = 4096
 END_ID = 1
 PART = 20_000
+#: Characters that the tokenizer parts from letters and takes as one run; no apostrophe, which begins tokens of its own.
+MARKS = b".,;:!?%#$*&|()\"/-"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -63,7 +65,7 @@ class ChunkIds:
         self.most = most
 
     def learn(self, new: list[bytes]) -> None:
-        """The tokenizer lower-cases and parts letters from other characters: ids of `Word,` are those of `word` and `,`.
+        """The tokenizer lower-cases and parts letters from other characters: ids of `Word,` are those of `word` and `,`, those of `a%%%` of `a` and `%%%`.
 
         Words of Latin letters are one token run each, which ends in a word-end token. They
         are lower-cased here and encoded many at a time without the tokenizer's
@@ -71,11 +73,12 @@ class ChunkIds:
         """
         parted, words, rest = [], set(), set()
         for chunk in new:
-            core, mark = chunk.decode(), b""
-            if core[-1] in ".,;:!?" and core[-2:-1].isalpha():
-                core, mark = core[:-1], chunk[-1:]
-                if mark not in self.ids:
-                    rest.add(mark)
+            bare = chunk.rstrip(MARKS)
+            core, mark = bare.decode(), chunk[len(bare) :]
+            if not core[-1:].isalpha():
+                core, mark = chunk.decode(), b""
+            elif mark and mark not in self.ids:
+                rest.add(mark)
             plain = core.isalpha() and (core.isascii() or (max(core) < "\u0250" and "\u0130" not in core and is_normalized("NFC", core)))
             if plain:
                 core = core.lower()
@@ -83,7 +86,7 @@ class ChunkIds:
             parted.append((chunk, key, mark))
             if key not in self.ids:
                 (words if plain else rest).add(key)
-        words = sorted(words)
+        words = list(words)
         for at in range(0, len(words), 2000):
             part = words[at : at + 2000]
             coded = self.encode_words([b" ".join(part).decode()], add_special_tokens=False)[0].ids
@@ -95,7 +98,7 @@ class ChunkIds:
                     first = end
             else:
                 rest.update(part)
-        rest = sorted(rest)
+        rest = list(rest)
         for core, coded in zip(rest, self.encode([x.decode() for x in rest], add_special_tokens=False), strict=True):
             self.ids[core] = struct.pack(f"<{len(coded)}I", *coded.ids)
         for chunk, core, mark in parted:
@@ -110,7 +113,7 @@ class ChunkIds:
                 # Common chunks are met early: the older half stays.
                 self.ids = dict(islice(self.ids.items(), self.most // 2))
                 new = set(chain.from_iterable(split)).difference(self.ids)
-            self.learn(sorted(new))
+            self.learn(list(new))
         return [b"".join(map(self.ids.__getitem__, words)) for words in split]
 
 

@@ -216,7 +216,7 @@ def test_chunk_ids_are_the_tokenizers():
 
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     ids = packing.ChunkIds("word_bpe_49k.json", most=50)
-    for t in ["It's A.B, …. x́, <|endoftext|>. A!? 5. Été. Ünï", "The the THE, the. a.b.c ... 'tis I'll", "", "中文,  x　y", " ".join(f"w{k}x word{'a' * (k % 9)}" for k in range(90))]:
+    for t in ['a%%% b### c$$$, é&&& "q" x-y x- -x é"- (ab) ab). don\'t, x\'s.', "It's A.B, …. x́, <|endoftext|>. A!? 5. Été. Ünï", "The the THE, the. a.b.c ... 'tis I'll", "", "中文,  x　y", " ".join(f"w{k}x word{'a' * (k % 9)}" for k in range(90))]:
         assert ids.of([t.encode()])[0] == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 

@@ -145,7 +145,8 @@ def needed_sets(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFr
 
     first = nodes.join(members, "sig").select(F.col("doc_id").alias("id_"), F.col("sig").alias("sig_"))
     some = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(first, F.col("doc_id").eqNullSafe(F.col("id_"))).select("text")
-    return some.mapInArrow(run, "sig long, tokens binary").dropDuplicates(["sig"])
+    # A repeated doc_id gives a set twice, which costs a try and changes no class.
+    return some.mapInArrow(run, "sig long, tokens binary")
 
 
 def tried(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -288,6 +289,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     all_ = written(described(docs), "described")
     nodes = written(all_.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "nodes")
     member = written(members_of(groups(docs, frequent(docs), buckets)), "members")
+    release(spark)
     sets = written(needed_sets(docs, nodes, member.select("sig").distinct()), "sets")
     leaf = written(leaves(sets), "leaves")
     release(spark)

@@ -9,8 +9,8 @@ A template is wording with marks:
 Each template is compiled into an automaton over tokens: a row of steps, where a
 mandatory word moves on, an optional region may be passed over and a replaceable
 one consumes up to its number of words. A text is accepted from some word
-on if the automaton reaches its end. Only places where a template's first two mandatory words
-stand are tried, which is exact, as every template begins with mandatory wording.
+on if the automaton reaches its end. Only places of the mandatory words before a template's first
+region are tried, which is exact, as every accepted run of words begins with them.
 
 Words are maximal runs of ASCII digits, ASCII letters (lower-cased) and non-ASCII
 characters. The base labels are three fixed phrases; the automata add theirs.
@@ -78,10 +78,11 @@ class Automaton:
             else:
                 self.word[state] = token
                 state += 1
-        if opened or 0 not in self.word or 1 not in self.word:
-            raise ValueError(f"a template begins with two mandatory words and closes its regions: {markup}")
+        lead = next((s for s in range(state) if s not in self.word or s in self.skip), state)
+        if opened or not lead:
+            raise ValueError(f"a template begins with a mandatory word and closes its regions: {markup}")
         self.end = state
-        self.start = f"{self.word[0]} {self.word[1]}"
+        self.start = " ".join(self.word[s] for s in range(lead))
 
     def _reach(self, states: set[tuple[int, int]]) -> set[tuple[int, int]]:
         """With what is reached without a word. A state is a number and the words that its gap has taken."""

@@ -300,6 +300,31 @@ def test_automaton_regions():
         licenses.Automaton("{{2}} rights")
 
 
+def test_scan_finds_what_the_automata_accept_anywhere():
+    assert "gpl-short" in licenses.scan("GNU General Public License version 3", {"gpl-short": licenses.Automaton(licenses.TEMPLATES["gpl-short"])})[5]
+    r = random.Random(11)
+    templates = {**licenses.TEMPLATES, "one": "grant", "inner": "grant [[ of [[ all ]] ]] {{1}} rights"}
+    automata = {label: licenses.Automaton(markup) for label, markup in templates.items()}
+    found = Counter()
+    for label, markup in list(templates.items()) * 40:
+        said, drop = [], []
+        for token in markup.split():
+            if token == "[[":
+                drop.append(r.random() < 0.5 or any(drop))
+            elif token == "]]":
+                drop.pop()
+            elif not any(drop):
+                said += ["x"] * r.randint(0, int(token[2:-2])) if token.startswith("{{") else [token]
+        w = ["y"] * r.randint(0, 2) + said + ["grant"] * r.randint(0, 1) + said[: r.randint(0, 9)]
+        places = [(name, p, n) for name, a in automata.items() for p in range(len(w)) if (n := a.match(w, p))]
+        places += [(name, p, phrase.count(" ") + 1) for phrase, name in licenses.PHRASES.items() for p in range(len(w)) if w[p : p + phrase.count(" ") + 1] == phrase.split()]
+        *_, labels, score = licenses.scan(" ".join(w).title(), automata)
+        assert labels == ",".join(sorted({name for name, *_ in places})) and label in labels.split(",")
+        assert score == len({k for _, p, n in places for k in range(p, p + n)}) / len(w)
+        found[label] += 1
+    assert set(found) == set(templates)
+
+
 def test_decontamination(spark):
     r = random.Random(9)
     say = lambda n: [f"w{r.randint(0, 5000)}" for _ in range(n)]

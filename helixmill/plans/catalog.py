@@ -224,6 +224,29 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return met.groupBy("seq_id").agg(F.count("*").alias("n"), F.sum("l1").alias("sum_l1"), F.sum("l2").alias("sum_l2"))
 
 
+def _free(spark: SparkSession, d: str) -> DataFrame:
+    r = X.fx_noncanon(spark, d)
+    return candidates.unpaired_ranges(candidates.allow_unpaired(structure.brackets_to_mapping(r), structure.bases_of(r)))
+
+
+@query("j10_hairpin_candidates_scored")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """No span; the inside may be unpaired. Tests hold it against brute force."""
+    r = X.fx_seq(spark, d)
+    out = candidates.free_inside(candidates.candidate_pairs(r), _free(spark, d))
+    out = candidates.score_hairpins(candidates.hairpin_candidates(out), r, _weights(features.feature_counts(X.fx_folded(spark, d))))
+    return out.groupBy("seq_id").agg(F.count("*").alias("n"), F.sum("n").alias("sum_n"), F.round(F.sum("score"), 6).alias("score"))
+
+
+@query("j11_single_loops_scored")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """No span; both gaps may be unpaired. Too many rows for SQL; tests hold it against brute force."""
+    r = X.fx_seq(spark, d)
+    weights = _weights(features.feature_counts(X.fx_folded(spark, d)))
+    met = candidates.single_loop_candidates(candidates.candidate_pairs(r), ranges=_free(spark, d), records=r, weights=weights)
+    return met.groupBy("seq_id").agg(F.count("*").alias("n"), F.sum("l1").alias("sum_l1"), F.sum("l2").alias("sum_l2"), F.round(F.sum("score"), 6).alias("score"))
+
+
 # ---- loops and features
 
 EFF = f"""eff AS (SELECT p.seq_id, i, j FROM fx_pairs p JOIN fx_folded f USING (seq_id) WHERE j - i > 3 AND f.seq[i] || f.seq[j] IN {_COMP}),

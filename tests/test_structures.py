@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixmill.functions import expr
-from helixmill.operators import candidates, features, lengths, loops, structure, training
+from helixmill.operators import candidates, features, lengths, loops, solve, structure, training
 from helixmill.plans.fixtures import partner_places
 from helixmill.sources import readers, writers
 
@@ -106,6 +106,52 @@ def test_single_loops_meet_in_buckets(records, plain):
     assert got == {(s, i, j, p, q) for s, i, j in rows for t, p, q in rows if s == t and i < p and q < j and 1 <= p - i - 1 + j - q - 1 <= 9}
 
 
+def _loops_of(seq, free, weight):
+    """Hairpins and single loops of one record without a span, where the unpaired places are all in `free`."""
+    at, n = solve.Scores(seq, weight), len(seq)
+    can = [(i, j) for i in range(1, n + 1) for j in range(i + 1, n + 1) if seq[i - 1] + seq[j - 1] in expr.PAIRS]
+    open_ = lambda a, b: all(k in free for k in range(a + 1, b))
+    hairpins = {(i, j): (j - i - 1, at.hairpin(i, j)) for i, j in can if j - i > 3 and open_(i, j)}
+    singles = {(i, j, p, q): (p - i - 1, j - q - 1, at.single(i, j, p, q)) for i, j in can for p, q in can if i < p and q < j and 1 <= p - i - 1 + j - q - 1 <= 40 and open_(i, p) and open_(q, j)}
+    return hairpins, singles
+
+
+@pytest.fixture(scope="module")
+def long_loops(spark):
+    """Records of 78 letters with few pairs, so that loops are wide, some places barred, and weights for each second name."""
+    r = random.Random(7)
+    rows = [(k, "".join(r.choice("AAACCGU") for _ in range(78))) for k in range(3)]
+    free = {k: {p for p in range(1, 79) if not k or r.random() < 0.95} for k, _ in rows}
+    weight = {}
+    for x in "ACGU":
+        for y in "ACGU":
+            weight |= {f"helix_closing_{x}{y}": r.uniform(-1, 1), f"hairpin_nucleotides_{x}A{y}": r.uniform(-1, 1), f"internal_nucleotides_{min(f'{x}_{y}', f'{y}_{x}')}": r.uniform(-1, 1)}
+            weight |= {f"terminal_mismatch_{x}{y}{a}{b}": r.uniform(-1, 1) for a in "ACGU" for b in "ACGU"}
+            weight |= {f"internal_nucleotides_{min(t, t[::-1])}": r.uniform(-1, 1) for t in (f"{x}{y}_", f"{x}A{y}_", f"A{x}_{y}C", f"AC{x}_AA{y}A", f"ACA{x}A{y}A_")}
+    weight |= {f"{family}_at_least_{k}": r.uniform(-1, 1) for family, cap in lengths.FAMILIES.items() for k in range(cap + 1)}
+    weight |= {f"internal_explicit_{a}_{b}": r.uniform(-1, 1) for a in range(1, 5) for b in range(a, 5)}
+    frames = spark.createDataFrame(rows, "seq_id long, seq string"), spark.createDataFrame([(k, p, p in free[k]) for k, _ in rows for p in range(1, 79)], "seq_id long, pos int, allowed boolean")
+    return rows, free, weight, *frames, spark.createDataFrame(list(weight.items()), "feature string, w double")
+
+
+def test_hairpin_candidates_without_span(long_loops):
+    rows, free, weight, records, allow, weights = long_loops
+    want = {(k, *at): x for k, s in rows for at, x in _loops_of(s, free[k], weight)[0].items()}
+    cand = candidates.free_inside(candidates.candidate_pairs(records), candidates.unpaired_ranges(allow))
+    got = {(x.seq_id, x.i, x.j): (x.n, x.score) for x in candidates.score_hairpins(candidates.hairpin_candidates(cand), records, weights).collect()}
+    assert got == {k: pytest.approx(x) for k, x in want.items()} and max(x[0] for x in want.values()) > 60
+
+
+def test_single_loop_candidates_without_span(long_loops):
+    rows, free, weight, records, allow, weights = long_loops
+    want = {(k, *at): x for k, s in rows for at, x in _loops_of(s, free[k], weight)[1].items()}
+    found = candidates.single_loop_candidates(candidates.candidate_pairs(records), ranges=candidates.unpaired_ranges(allow), records=records, weights=weights).collect()
+    got = {(x.seq_id, x.i, x.j, x.p, x.q): (x.l1, x.l2, x.score) for x in found}
+    assert len(got) == len(found) and got.keys() == want.keys()
+    assert all(got[k][:2] == x[:2] and abs(got[k][2] - x[2]) < 1e-9 for k, x in want.items())
+    assert max(a + b for a, b, _ in want.values()) == 40 and max(k[2] - k[1] for k in want) > 70
+
+
 def test_sequential_training_rule(spark):
     w = spark.createDataFrame([("a", 1.0, 4.0), ("b", -0.5, 0.0)], "feature string, w double, sum_sq double")
     g = spark.createDataFrame([(1, "a", 3.0), (1, "c", -2.0)], "seq_id long, feature string, g double")

@@ -4,43 +4,56 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before kept
 all but the last return the columns of documents. Between stages the documents
 are written as Parquet in the shared folder and read again.
 
-Cases: a document is addressed by its doc_id, null included; rows that repeat one
-share its fate, and of those the near-duplicate stage leaves one; a null text fails the quality rules;
+Cases: rows are the same document if they share doc_id, null included, and text;
+they share its fate, and of those the near-duplicate stage leaves one. Unlike texts under one
+doc_id are documents of their own. A null text fails the quality rules;
 an empty table passes through as an empty one; further columns stay up to packing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixmill.llm import decontam, jaccard, packing, pii, quality
 from helixmill.llm.common import release, table, written
 
 
+def _key() -> Column:
+    """A document's key, by which the stages address it."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with their keys for doc_ids."""
+    return docs.withColumn("doc_id", _key())
+
+
 def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    """docs but those with a doc_id in bad."""
+    """docs but those whose key is a doc_id in bad."""
     gone = written(bad.select(F.col("doc_id").alias("gone_")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_")), "left_anti")
+    return docs.join(gone, _key() == F.col("gone_"), "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the outlier test keep."""
-    return _without(docs, quality.judged(docs).where("NOT kept"))
+    return _without(docs, quality.judged(_keyed(docs)).where("NOT kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each class of the Jaccard join."""
-    classes = written(jaccard.jaccard_classes(docs), "classes")
-    kept = _without(docs, classes.where("NOT doc_id <=> component_id"))
-    again = classes.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    """The document with the smallest doc_id, null the largest, of each class of the Jaccard join."""
+    classes = written(jaccard.jaccard_classes(_keyed(docs)).groupBy(F.col("doc_id").alias("key_"), "component_id").count(), "classes")
+    ids = docs.select("doc_id", _key().alias("key_")).distinct().join(classes, "key_")
+    first = written(ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_")).alias("first")).select(F.col("first.key_").alias("first_")), "first")
+    kept = docs.join(first, _key() == F.col("first_"), "left_semi")
+    again = classes.where("count > 1").limit(1).count()
     release(spark)
-    return kept.dropDuplicates(["doc_id"]) if again else kept
+    return kept.dropDuplicates(["doc_id", "text"]) if again else kept
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return _without(docs, decontam.leaks(docs, table(spark, sf_dir, "benchmark")))
+    return _without(docs, decontam.leaks(_keyed(docs), table(spark, sf_dir, "benchmark")))
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from helixmill.llm import decontam, jaccard, licenses, packing, pii, quality, sharding, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, rank int, h long"
@@ -125,6 +126,16 @@ def test_suffix_dedup(docs, nothing):
     assert suffix_dedup.deduplicated(nothing).count() == 0
 
 
+def test_suffix_dedup_keeps_unlike_texts_of_one_doc_id_apart(spark):
+    r = random.Random(12)
+    say = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    common = say(70)
+    rows = [(3, say(40) + common), (None, say(90) + common), (None, say(200)), (None, common + say(150)), (7, say(10) + common + say(9)), (7, say(120)), (7, say(60)), (None, say(30))]
+    want = Counter((d, len(t) - 70 * (common in t and d != 3), 70 * (common in t and d != 3), t.replace(common, "") if d != 3 else t) for d, t in rows)
+    got = suffix_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((x.doc_id, x.n_bytes - x.n_removed, x.n_removed, bytes(x.kept).decode()) for x in got) == want
+
+
 def test_repeated_substrings_by_interval_expansion():
     strings, docs = [b"abcabcabcx", b"zzabcabcq", b"abcabcabcx"], np.array([5, 2, 1])
     which, offset = suffix_dedup.repeated(strings, docs, 6)
@@ -348,6 +359,23 @@ def test_decontamination(spark):
     assert decontam.leaks(frame.where("false"), bench).count() == 0 and decontam.leaks(frame, bench.where("false")).count() == 0
 
 
+def test_pipeline_tells_unlike_texts_of_one_doc_id_apart(spark, tmp_path):
+    r = random.Random(13)
+    say = lambda n: " ".join(f"w{r.randint(0, 5000)}" for _ in range(n))
+    item, near = say(30), say(60)
+    clean = [say(60) for _ in range(5)]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, clean[0]), (None, clean[1]), (None, "too short"), (7, clean[2]), (7, clean[3]), (7, clean[3]), (7, None), (None, say(20) + " " + item), (8, clean[4]), (8, say(9) + " " + item), (None, near), (9, near + " x"), (5, near + " y")]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    told = lambda df: Counter((x.doc_id, x.text) for x in df.collect())
+    want = Counter(x for x in rows if x[1] not in (None, "too short"))
+    assert told(corpus_pipeline.quality_rules(spark, docs, str(tmp_path))) == want
+    want = Counter({x: 1 for x in rows if x != (None, near) and x != (9, near + " x")})
+    assert told(corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))) == want
+    want = Counter(x for x in rows if item not in (x[1] or ""))
+    assert told(corpus_pipeline.decontaminated(spark, docs, str(tmp_path))) == want
+
+
 def test_blocks_cover_the_radius(spark):
     r = random.Random(10)
     pairs = []

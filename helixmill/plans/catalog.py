@@ -31,6 +31,17 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def spanned(name: str, sql: str) -> Callable[[Callable], Callable]:
+    """Registers f(spark, d, span) under a span of SPAN, and as name_whole without one."""
+
+    def keep(f: Callable) -> Callable:
+        query(name, sql)(lambda spark, d: f(spark, d, SPAN))
+        query(f"{name}_whole", sql.replace(BOUND, ""))(lambda spark, d: f(spark, d, -1))
+        return f
+
+    return keep
+
+
 def per_record(rows: DataFrame, *extra: Column) -> DataFrame:
     """Counts and sums of a table of pairs, by record."""
     return rows.groupBy("seq_id").agg(F.count("*").alias("n"), F.sum("i").alias("sum_i"), F.sum(F.col("i") * F.col("j")).alias("sum_ij"), *extra)
@@ -38,6 +49,8 @@ def per_record(rows: DataFrame, *extra: Column) -> DataFrame:
 
 PER_RECORD = "seq_id, count(*) AS n, sum(i)::BIGINT AS sum_i, sum(i * j)::BIGINT AS sum_ij"
 SPAN = 30
+#: What keeps the candidates of CAND within SPAN.
+BOUND = f" AND b.pos <= a.pos + {SPAN}"
 _COMP = "('AU','UA','CG','GC','GU','UG')"
 CAND = f"cand AS (SELECT a.seq_id, a.pos AS i, b.pos AS j FROM fx_bases a JOIN fx_bases b ON a.seq_id = b.seq_id AND b.pos > a.pos AND b.pos <= a.pos + {SPAN} WHERE a.base || b.base IN {_COMP})"
 
@@ -130,9 +143,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 # ---- candidates
 
 
-@query("j1_candidate_pairs", f", {CAND} SELECT {PER_RECORD} FROM cand GROUP BY seq_id".lstrip(","))
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return per_record(candidates.candidate_pairs(X.fx_seq(spark, d), SPAN))
+@spanned("j1_candidate_pairs", f", {CAND} SELECT {PER_RECORD} FROM cand GROUP BY seq_id".lstrip(","))
+def _(spark: SparkSession, d: str, span: int) -> DataFrame:
+    return per_record(candidates.candidate_pairs(X.fx_seq(spark, d), span))
 
 
 @query(
@@ -153,59 +166,59 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return per_record(candidates.constrain_pairs(candidates.candidate_pairs(r), structure.brackets_to_mapping(r)))
 
 
-@query(
+@spanned(
     "j4_unpaired_ranges",
     f", {CAND} SELECT c.seq_id, count(*) AS n, sum(c.i)::BIGINT AS sum_i, sum(c.i * c.j)::BIGINT AS sum_ij FROM cand c WHERE c.j - c.i > 3 AND NOT EXISTS (SELECT 1 FROM fx_pairs p WHERE p.seq_id = c.seq_id AND ((p.i > c.i AND p.i < c.j) OR (p.j > c.i AND p.j < c.j))) GROUP BY c.seq_id".lstrip(","),
 )
-def _(spark: SparkSession, d: str) -> DataFrame:
+def _(spark: SparkSession, d: str, span: int) -> DataFrame:
     r = X.fx_noncanon(spark, d)
     allow = structure.brackets_to_mapping(r).select("seq_id", "pos", (F.col("partner") <= 0).alias("allowed"))
-    return per_record(candidates.free_inside(candidates.candidate_pairs(r, SPAN).where("j - i > 3"), candidates.unpaired_ranges(allow)))
+    return per_record(candidates.free_inside(candidates.candidate_pairs(r, span).where("j - i > 3"), candidates.unpaired_ranges(allow)))
 
 
-@query(
+@spanned(
     "j5_soft_bonus",
     f", {CAND} SELECT c.seq_id, round(sum(ln((a.r_paired + 0.01) / (1 - a.r_paired + 0.01)) + ln((b.r_paired + 0.01) / (1 - b.r_paired + 0.01))), 6) AS bonus FROM cand c JOIN fx_react a ON a.seq_id = c.seq_id AND a.pos = c.i JOIN fx_react b ON b.seq_id = c.seq_id AND b.pos = c.j GROUP BY c.seq_id".lstrip(","),
 )
-def _(spark: SparkSession, d: str) -> DataFrame:
-    bonus = candidates.soft_bonus(candidates.candidate_pairs(X.fx_seq(spark, d), SPAN), X.fx_react(spark, d))
+def _(spark: SparkSession, d: str, span: int) -> DataFrame:
+    bonus = candidates.soft_bonus(candidates.candidate_pairs(X.fx_seq(spark, d), span), X.fx_react(spark, d))
     return bonus.groupBy("seq_id").agg(F.round(F.sum("bonus"), 6).alias("bonus"))
 
 
-@query(
+@spanned(
     "j6_loss_basepair",
     f", {CAND} SELECT c.seq_id, sum(CASE WHEN x.partner = c.j THEN -8.0 WHEN (x.partner >= 0 AND x.partner <> c.j) OR (y.partner >= 0 AND y.partner <> c.i) THEN 1.0 ELSE 0.0 END)::DOUBLE AS penalty FROM cand c JOIN fd_mapping x ON x.seq_id = c.seq_id AND x.pos = c.i JOIN fd_mapping y ON y.seq_id = c.seq_id AND y.pos = c.j GROUP BY c.seq_id".lstrip(","),
 )
-def _(spark: SparkSession, d: str) -> DataFrame:
+def _(spark: SparkSession, d: str, span: int) -> DataFrame:
     r = X.fx_noncanon(spark, d)
-    return candidates.loss_basepair(candidates.candidate_pairs(r, SPAN), structure.brackets_to_mapping(r)).groupBy("seq_id").agg(F.sum("penalty").alias("penalty"))
+    return candidates.loss_basepair(candidates.candidate_pairs(r, span), structure.brackets_to_mapping(r)).groupBy("seq_id").agg(F.sum("penalty").alias("penalty"))
 
 
-@query(
+@spanned(
     "j7_loss_position",
     f", {CAND}, ends AS (SELECT seq_id, i AS pos FROM cand UNION ALL SELECT seq_id, j FROM cand) SELECT e.seq_id, sum(CASE WHEN m.partner > 0 OR m.partner = -2 THEN -0.5 WHEN m.partner = 0 THEN 0.25 ELSE 0 END)::DOUBLE AS penalty FROM ends e JOIN fd_mapping m USING (seq_id, pos) GROUP BY e.seq_id".lstrip(","),
 )
-def _(spark: SparkSession, d: str) -> DataFrame:
+def _(spark: SparkSession, d: str, span: int) -> DataFrame:
     r = X.fx_noncanon(spark, d)
-    return candidates.loss_position(candidates.candidate_pairs(r, SPAN), structure.brackets_to_mapping(r), 1.0, 0.5).groupBy("seq_id").agg(F.sum("penalty").alias("penalty"))
+    return candidates.loss_position(candidates.candidate_pairs(r, span), structure.brackets_to_mapping(r), 1.0, 0.5).groupBy("seq_id").agg(F.sum("penalty").alias("penalty"))
 
 
-@query(
+@spanned(
     "j8_loss_reactivity",
     f", {CAND} SELECT c.seq_id, sum((a.r_paired + b.r_paired) * -0.5 + (2 - a.r_paired - b.r_paired) * 0.25)::DOUBLE AS penalty FROM cand c JOIN fx_react a ON a.seq_id = c.seq_id AND a.pos = c.i JOIN fx_react b ON b.seq_id = c.seq_id AND b.pos = c.j GROUP BY c.seq_id".lstrip(","),
 )
-def _(spark: SparkSession, d: str) -> DataFrame:
-    loss = candidates.loss_reactivity(candidates.candidate_pairs(X.fx_seq(spark, d), SPAN), X.fx_react(spark, d), 1.0, 0.5)
+def _(spark: SparkSession, d: str, span: int) -> DataFrame:
+    loss = candidates.loss_reactivity(candidates.candidate_pairs(X.fx_seq(spark, d), span), X.fx_react(spark, d), 1.0, 0.5)
     return loss.groupBy("seq_id").agg(F.sum("penalty").alias("penalty"))
 
 
-@query(
+@spanned(
     "j9_loss_mapping",
     f", {CAND}, known AS (SELECT seq_id, count(*) FILTER (partner > 0 OR partner = -2) AS np FROM fd_mapping GROUP BY seq_id) SELECT c.seq_id, round(sum(((x.partner >= 0 AND x.partner <> c.j)::INT + (y.partner >= 0 AND y.partner <> c.i)::INT) * 4.0::DOUBLE / greatest(np, 1)), 6) AS penalty FROM cand c JOIN known USING (seq_id) JOIN fd_mapping x ON x.seq_id = c.seq_id AND x.pos = c.i JOIN fd_mapping y ON y.seq_id = c.seq_id AND y.pos = c.j GROUP BY c.seq_id".lstrip(","),
 )
-def _(spark: SparkSession, d: str) -> DataFrame:
+def _(spark: SparkSession, d: str, span: int) -> DataFrame:
     r = X.fx_noncanon(spark, d)
-    loss = candidates.loss_mapping(candidates.candidate_pairs(r, SPAN), structure.brackets_to_mapping(r), 4.0)
+    loss = candidates.loss_mapping(candidates.candidate_pairs(r, span), structure.brackets_to_mapping(r), 4.0)
     return loss.groupBy("seq_id").agg(F.round(F.sum("penalty"), 6).alias("penalty"))
 
 
@@ -404,28 +417,28 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 POST = f"{CAND}, post AS (SELECT seq_id, i, j, (('0x' || substr(md5(seq_id || ':' || i || ':' || j), 1, 4))::INT % 64) / 4096.0 AS p FROM cand)"
 
 
-def fx_posterior(spark: SparkSession, d: str) -> DataFrame:
-    cand = candidates.candidate_pairs(X.fx_seq(spark, d), SPAN).withColumn("name", F.concat_ws(":", "seq_id", "i", "j"))
+def fx_posterior(spark: SparkSession, d: str, span: int) -> DataFrame:
+    cand = candidates.candidate_pairs(X.fx_seq(spark, d), span).withColumn("name", F.concat_ws(":", "seq_id", "i", "j"))
     return cand.select("seq_id", "i", "j", (F.conv(F.substring(F.md5("name"), 1, 4), 16, 10).cast("long") % 64 / 4096.0).alias("p"))
 
 
-@query("q2_threshold_posterior", f"{POST} SELECT {PER_RECORD}, sum(p)::DOUBLE AS sum_p FROM post WHERE p >= 0.0078125 GROUP BY seq_id")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return per_record(posterior.threshold_posterior(posterior.clip_posterior(fx_posterior(spark, d)), 0.0078125), F.sum("p").alias("sum_p"))
+@spanned("q2_threshold_posterior", f"{POST} SELECT {PER_RECORD}, sum(p)::DOUBLE AS sum_p FROM post WHERE p >= 0.0078125 GROUP BY seq_id")
+def _(spark: SparkSession, d: str, span: int) -> DataFrame:
+    return per_record(posterior.threshold_posterior(posterior.clip_posterior(fx_posterior(spark, d, span)), 0.0078125), F.sum("p").alias("sum_p"))
 
 
-@query(
+@spanned(
     "q3_unpaired_posterior",
     f"{POST}, ends AS (SELECT seq_id, i AS pos, p FROM post UNION ALL SELECT seq_id, j, p FROM post), u AS (SELECT b.seq_id, b.pos, 1 - coalesce(sum(p), 0) AS pu FROM fx_bases b LEFT JOIN ends e ON e.seq_id = b.seq_id AND e.pos = b.pos GROUP BY ALL) SELECT seq_id, sum(pu)::DOUBLE AS sum_p, sum(pu * pos)::DOUBLE AS sum_pos FROM u GROUP BY seq_id",
 )
-def _(spark: SparkSession, d: str) -> DataFrame:
-    u = posterior.unpaired_posterior(fx_posterior(spark, d), structure.bases_of(X.fx_seq(spark, d)))
+def _(spark: SparkSession, d: str, span: int) -> DataFrame:
+    u = posterior.unpaired_posterior(fx_posterior(spark, d, span), structure.bases_of(X.fx_seq(spark, d)))
     return u.groupBy("seq_id").agg(F.sum("p_unpaired").alias("sum_p"), F.sum(F.col("p_unpaired") * F.col("pos")).alias("sum_pos"))
 
 
-@query("q4_decode_weights", f"{POST} SELECT seq_id, count(*) AS n, sum(5 * p - 1)::DOUBLE AS sum_w FROM post GROUP BY seq_id")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    post = fx_posterior(spark, d)
+@spanned("q4_decode_weights", f"{POST} SELECT seq_id, count(*) AS n, sum(5 * p - 1)::DOUBLE AS sum_w FROM post GROUP BY seq_id")
+def _(spark: SparkSession, d: str, span: int) -> DataFrame:
+    post = fx_posterior(spark, d, span)
     pairs, _ = posterior.decode_weights(post, structure.bases_of(X.fx_seq(spark, d)), 4.0, "centroid")
     return pairs.groupBy("seq_id").agg(F.count("*").alias("n"), F.sum("w").alias("sum_w"))
 

@@ -15,7 +15,7 @@ Blocks are joined by one newline in page order; references are decoded and white
 space within a block becomes one space.
 
 Cases: null or empty html, or a page without main text, gives an empty text;
-broken markup is closed where its parent ends; a tag cut off at the page's end is markup; repeated
+broken markup is closed where its parent ends, only script, style and textarea run to the page's end; a tag cut off at the page's end is markup; repeated
 rows give repeated results; an empty table gives an empty result; other columns are not read.
 """
 
@@ -34,7 +34,8 @@ from .common import chunks, hash_sample, table
 
 SAMPLE = 150
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])[^>]*/>|<(script|style|noscript|template|svg|iframe|textarea|select)(?=[\s/>])[^>]*>.*?</\1\s*>"
+    r"|<(?:script|style|textarea)(?=[\s/>])[^>]*>.*\Z"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|<[a-zA-Z/!?][^>]*\Z",
     re.S | re.I,
 )

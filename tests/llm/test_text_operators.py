@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from helixmill.llm import decontam, jaccard, licenses, packing, pii, quality, sharding, suffix_dedup
+from helixmill.llm import decontam, html_text, jaccard, licenses, packing, pii, quality, sharding, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, rank int, h long"
 
@@ -336,6 +336,13 @@ def test_scan_finds_what_the_automata_accept_anywhere():
     assert set(found) == set(templates)
 
 
+def test_pages_go_on_behind_custom_and_unclosed_elements():
+    said = lambda html: [t for _, t in html_text.Page(html).blocks]
+    for gone in ("<svg-icon></svg-icon>", "<svg viewBox='0' />", "<svg/>", "<iframe/>", "<select-box>", "<template>", "<svg><path/>x</svg>", "<SCRIPT>a<b</script >", "<iframe src=x>x</iframe>"):
+        assert said(f"<p>one</p>{gone}<p>two</p>") == ["one", "two"]
+    assert said("<p>one</p><script>var a = '<p>two</p>'") == ["one"]
+
+
 def test_decontamination(spark):
     r = random.Random(9)
     say = lambda n: [f"w{r.randint(0, 5000)}" for _ in range(n)]

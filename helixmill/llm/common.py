@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -36,16 +35,77 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Spark removes a query's shuffle files when it ends, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again.
 
     It cuts the lineage and survives lost executors. Unlike checkpoint() it
-    runs the plan once and keeps the columns compressed.
+    runs the plan once and keeps the columns compressed. The shuffle files of
+    the write go with its end.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _stored(df, name)[0]
+
+
+class Tables:
+    """Written tables by name. What a name held before goes once its new table stands, so that rounds leave one table each.
+
+    Used in a with block, it leaves only the tables in `keep` where the block ends, by an error too.
+    """
+
+    def __init__(self, spark: SparkSession, *keep: str):
+        self.spark, self.keep, self.paths = spark, keep, {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        out, path = _stored(df, name)
+        self.drop(name)
+        self.paths[name] = path
+        return out
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that no later step reads."""
+        for name in names:
+            if path := self.paths.pop(name, None):
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, kind: object, *_: object) -> None:
+        self.drop(*[n for n in self.paths if kind or n not in self.keep])
+
+
+#: Rows of at most two 64-bit columns that one broadcast may hold (about 60 MB with its hash table).
+BROADCAST = 1_000_000
+
+
+def near(df: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """df marked for a broadcast if its rows, counted, are at most `most`; else df, which joins by shuffle. df is a written table or cheap to count."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def picked(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """rows(doc_id, key, ..) whose doc_id and key are in ids (left_semi) or not in ids (left_anti); null doc_ids are alike."""
+    ids = near(ids.select(F.col("doc_id").alias("id_"), F.col("key").alias("key_")))
+    return rows.join(ids, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")), how)
 
 
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -66,13 +126,6 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(start)
 
 
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished steps now, not at some later collection of garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def hash_sample(rows: DataFrame, column: str, n: int) -> list:
     """The values of about n distinct rows' column at most, chosen by their hash: the same ones in every run.
 

@@ -87,9 +87,12 @@ def test_signature_tree_prunes_no_link():
     base = [np.unique(r.integers(0, 2**63, int(n), dtype=np.uint64)) for n in r.integers(5, 120, 12)]
     sets = [np.unique(np.concatenate([b[r.random(len(b)) < 0.93], r.integers(0, 2**63, 2, dtype=np.uint64)])) for b in base for _ in range(9)]
     sets.sort(key=len)
-    tree = jaccard.Tree(np.stack([jaccard.bitmap(s) for s in sets]), np.array([len(s) for s in sets]))
+    tree = jaccard.Tree(np.stack([jaccard.bitmap(s, 512) for s in sets]), np.array([len(s) for s in sets]))
     left = {(int(a), int(b)) for x, y in tree.pairs(50) for a, b in zip(x, y, strict=True)}
+    some = jaccard.surviving([jaccard.bitmap(s).tobytes() for s in sets], np.array([len(s) for s in sets]), np.arange(len(sets)))
+    mixed = {(min(int(a), int(b)), max(int(a), int(b))) for a, b in zip(*some[:2], strict=True)}
     linked = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 4 * len(np.intersect1d(sets[a], sets[b])) >= 3 * len(np.union1d(sets[a], sets[b]))}
+    assert linked <= mixed and len(mixed) == len(some[0]) < len(sets) * (len(sets) - 1) / 2
     assert linked and linked <= left and len(left) < len(sets) * (len(sets) - 1) / 2
 
 

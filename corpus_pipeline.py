@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixmill.llm import decontam, jaccard, packing, pii, quality
-from helixmill.llm.common import release, table, written
+from helixmill.llm.common import Tables, table, written
 
 
 def _key() -> Column:
@@ -47,7 +47,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = written(ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_")).alias("first")).select(F.col("first.key_").alias("first_")), "first")
     kept = docs.join(first, _key() == F.col("first_"), "left_semi")
     again = classes.where("count > 1").limit(1).count()
-    release(spark)
     return kept.dropDuplicates(["doc_id", "text"]) if again else kept
 
 
@@ -80,8 +79,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, tables = table(spark, sf_dir, "documents"), Tables(spark)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-        release(spark)
+        docs, before = tables.put(name, stage(spark, docs, sf_dir)), list(tables.paths)
+        tables.drop(*before[:-1])
     return STAGES[-1][1](spark, docs, sf_dir)

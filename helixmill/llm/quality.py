@@ -6,19 +6,22 @@ vector of transformed statistics; per language and source a
 minimum-covariance-determinant estimate is fitted to all of them, and a vector
 whose squared Mahalanobis distance is over the cut is rejected.
 
-The estimate is found by concentration steps on the whole table: distances under
-the current centre and covariance, the half-or-more of rows (`keep`) with
-the smallest ones, their mean and covariance, and so on. A step is one
-aggregation by (group, distance bin), so that a group with a third of all rows
-is summed on the map side and neither a group nor a list of distances is ever
-gathered. Its first centre is the groups' coordinatewise median.
-
-A group of fewer than LEAST vectors is pooled with the small groups of its
-language, and what is still too small with all such rest; a rest under LEAST is not judged.
+The estimate: of each group's n vectors, the h = ceil(3n/4) whose covariance has the least
+determinant. As most texts have no symbol or repeated line, a plain covariance of three
+quarters of them is singular; so the determinant is that of covariance + target, with the
+target's diagonal of least variances (the regularised form, weight a half). Deterministic
+starts: medians with the target, with scaled absolute deviations, with the covariance of
+tanh-transformed values, with that of spatial signs; means with the plain covariance.
+A concentration step takes exactly the h vectors with the least distances, ties ordered by value, and
+their mean and covariance; no step raises the determinant. After two steps the two
+best starts of each group go on until no determinant falls, and the least one is taken.
+
+All of it runs on distinct vectors with their counts. The h-th distance is located by histograms,
+narrowed until few vectors are left around it, so no group is ever gathered or sorted whole, and
+sums have a map side. A group of fewer than LEAST vectors is judged with the estimate over all rows.
 
 Cases: a null or empty text has no words and fails; null language or source
-is a value of its own; repeated rows count each; equal vectors are no problem, as
-each axis keeps a least spread; an empty table gives an empty result; other
+is a value of its own; repeated rows count each; equal vectors are one with a count; an empty table gives an empty result; other
 columns are not read.
 """
 
@@ -33,43 +36,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, table, written
+from .common import Tables, beside, chunks, table
+from .shingles import repeated_words
 
 AXES = ["x0", "x1", "x2", "x3", "x4"]
-#: Least standard deviation of an axis: log words, log mean length, symbols, repeated lines, repeated words (log of 1 + percent).
+#: Square roots of the target's variances: log words, log mean length, symbols, repeated lines, repeated words (log of 1 + percent).
 SPREAD = [0.5, 0.08, 0.3, 0.6, 0.6]
 PAIRS = list(combinations_with_replacement(range(len(AXES)), 2))
 LEAST = 60
 KEEP = 0.75
-STEPS = 4
-#: Distances over this are outliers: far beyond the chi-square quantile of 1 - 1e-6 with 5 degrees (35.9), since lengths of texts have heavy tails.
+#: Steps of all starts; starts that go on; steps at most (determinants fall, and have stopped long before).
+FIRST, BEST, STEPS = 2, 2, 40
+#: Distances over this are outliers: the chi-square quantile of 1 - 1.4e-9 with 5 degrees, as lengths of texts have heavier tails than a normal vector.
 CUT = 50.0
 CHI2_MEDIAN = 4.351
+#: Vectors around the h-th distance that one task may sort.
+SORTED = 200_000
+ALL = "all"
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 _SPACE = "\t\n\v\f\r "
 _SYMBOLS = "#*$%&|<>"
 
 
-def text_counts(text: str) -> tuple[int, int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines of one whole text."""
-    words = text.encode().split()
-    chars = len(text) - sum(map(text.count, _SPACE))
-    symbols = sum(map(text.count, _SYMBOLS))
-    lines = [x for x in text.split("\n") if x.strip(_SPACE)]
-    grams = list(zip(words, words[1:], words[2:], words[3:], words[4:], strict=False))
-    seen = set(grams)
-    repeated = 0
-    if len(seen) < len(grams):
-        # Windows that occur again, then the words under them.
-        again, first = set(), set()
-        for g in grams:
-            (again if g in first else first).add(g)
-        reach = 0
-        for i, g in enumerate(grams):
-            if g in again:
-                repeated += i + 5 - max(i, reach)
-                reach = i + 5
-    return len(words), chars, symbols, len(lines) - len(set(lines)), repeated, len(lines)
+def text_counts(texts: list[str]) -> list[tuple[int, int, int, int, int, int]]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines of whole texts."""
+    out = []
+    for text, words, repeated in zip(texts, *repeated_words([t.encode() for t in texts]), strict=True):
+        chars = len(text) - sum(map(text.count, _SPACE))
+        symbols = sum(map(text.count, _SYMBOLS))
+        lines = [x for x in text.split("\n") if x.strip(_SPACE)]
+        out.append((int(words), chars, symbols, len(lines) - len(set(lines)), int(repeated), len(lines)))
+    return out
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -77,11 +74,11 @@ def counted(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            found = [text_counts(t or "") for t in batch.column("text").to_pylist()]
+            found = text_counts([t or "" for t in batch.column("text").to_pylist()])
             cols = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "lang", "source")] + cols, names=["doc_id", "lang", "source", *[c.split()[0] for c in COUNTS.split(", ")]])
 
-    return docs.select("doc_id", "lang", "source", "text").mapInArrow(run, f"doc_id long, lang string, source string, {COUNTS}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", "text").mapInArrow(run, f"doc_id long, lang string, source string, {COUNTS}")
 
 
 def vectors(counts: DataFrame) -> DataFrame:
@@ -100,29 +97,44 @@ def vectors(counts: DataFrame) -> DataFrame:
 
 
 def grouped(rows: DataFrame, least: int = LEAST) -> DataFrame:
-    """rows with `grp`: language and source, or the pool that a small group falls to; null where a rule failed."""
+    """rows with `grp`: language and source, or ALL for a small group; null where a rule failed."""
     own = F.to_json(F.struct(F.col("lang"), F.col("source")), {"ignoreNullFields": "false"})
-    pool = F.to_json(F.struct(F.col("lang")), {"ignoreNullFields": "false"})
-    sizes = rows.where("NOT base_failed").groupBy(own.alias("own"), pool.alias("pool")).count()
-    small = F.col("count") < least
-    by_pool = F.sum(F.when(small, F.col("count"))).over(Window.partitionBy("pool"))
-    sizes = sizes.withColumn("in_pool", by_pool)
-    named = sizes.select("own", F.when(~small, F.col("own")).when(F.col("in_pool") >= least, F.col("pool")).otherwise(F.lit("rest")).alias("grp"))
-    return rows.withColumn("own", own).join(named, "own", "left").drop("own").withColumn("grp", F.when(~F.col("base_failed"), F.col("grp")))
-
-
-def distance(centre: str = "") -> Column:
-    """Squared Mahalanobis distance from columns m0.. and the inverse's p00.. of a joined estimate."""
-    diff = [F.col(a) - F.col(f"m{i}") for i, a in enumerate(AXES)]
-    terms = [diff[i] * diff[j] * F.col(f"p{i}{j}") * (1 if i == j else 2) for i, j in PAIRS]
+    rows = rows.withColumn("own", F.when(~F.col("base_failed"), own))
+    large = rows.where("own IS NOT NULL").groupBy("own").count().where(F.col("count") >= least).select("own", F.col("own").alias("grp"))
+    good = beside_left(rows.where("own IS NOT NULL"), large)
+    return good.unionByName(rows.where("own IS NULL").withColumn("grp", F.lit(None).cast("string"))).drop("own")
+
+
+def beside_left(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """grp of each row's own group, ALL where it has none. Spark broadcasts or splits the small side's matches as it finds them."""
+    named = large.select(F.col("own").alias("own_"), "grp")
+    return rows.join(named, F.col("own") == F.col("own_"), "left").drop("own_").withColumn("grp", F.coalesce("grp", F.lit(ALL)))
+
+
+def vectors_of(rows: DataFrame) -> DataFrame:
+    """grp, x0.., n: the distinct vectors of each group with their counts, and those of all rows as group ALL."""
+    known = rows.where("grp IS NOT NULL")
+    every = known.select(F.explode(F.array_distinct(F.array("grp", F.lit(ALL)))).alias("grp"), *AXES)
+    return every.groupBy("grp", *AXES).agg(F.count("*").alias("n"))
+
+
+def distance(of: str = "") -> Column:
+    """Squared Mahalanobis distance from columns m0.. and the inverse's p00.. of a joined estimate, or those in the struct `of`."""
+    at = f"{of}." if of else ""
+    diff = [F.col(a) - F.col(f"{at}m{i}") for i, a in enumerate(AXES)]
+    terms = [diff[i] * diff[j] * F.col(f"{at}p{i}{j}") * (1 if i == j else 2) for i, j in PAIRS]
     total = terms[0]
     for t in terms[1:]:
         total = total + t
     return total
 
 
+ESTIMATE = "grp string, start int, h long, logdet double, " + ", ".join(f"m{i} double" for i in range(len(AXES))) + ", " + ", ".join(f"p{i}{j} double" for i, j in PAIRS)
+ONE = ["start", "h", "logdet", *[f"m{i}" for i in range(len(AXES))], *[f"p{i}{j}" for i, j in PAIRS]]
+
+
 def _inverse(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Means and covariances of groups to means and inverse covariances; a row a group."""
+    """Means and covariances s00.. to means, inverses of covariance + target, and log determinants; a row a group and start."""
     k = len(AXES)
     for pdf in rows:
         cov = np.zeros((len(pdf), k, k))
@@ -130,49 +142,130 @@ def _inverse(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             cov[:, i, j] = cov[:, j, i] = pdf[f"s{i}{j}"]
         cov += np.diag(np.square(SPREAD))
         inv = np.linalg.inv(cov) if len(pdf) else cov
-        out = {"grp": pdf["grp"]} | {f"m{i}": pdf[f"m{i}"] for i in range(k)} | {f"p{i}{j}": inv[:, i, j] for i, j in PAIRS}
+        logdet = np.linalg.slogdet(cov)[1] if len(pdf) else np.zeros(0)
+        out = {c: pdf[c] for c in ("grp", "start", "h")} | {"logdet": logdet} | {f"m{i}": pdf[f"m{i}"] for i in range(k)} | {f"p{i}{j}": inv[:, i, j] for i, j in PAIRS}
         yield pd.DataFrame(out)
 
 
-ESTIMATE = "grp string, " + ", ".join(f"m{i} double" for i in range(len(AXES))) + ", " + ", ".join(f"p{i}{j} double" for i, j in PAIRS)
-
-
-def _bin() -> Column:
-    """Distances in sixteenths of an octave."""
-    return F.floor(F.log2(distance() + F.lit(1e-9)) * 16)
-
-
-def mcd(rows: DataFrame, keep: float = KEEP, steps: int = STEPS) -> DataFrame:
-    """Centre, inverse covariance and scale of each group of rows(grp, x0..)."""
-    used = rows.where("grp IS NOT NULL").select("grp", *AXES)
-    # Medians from counts of rounded values: exact to 1/64 and the same in every run.
-    long = used.select("grp", F.posexplode(F.array(*[F.round(F.col(a) * 64).cast("long") for a in AXES])).alias("axis", "v")).groupBy("grp", "axis", "v").count()
-    order = Window.partitionBy("grp", "axis").orderBy("v")
-    long = long.withColumn("upto", F.sum("count").over(order)).withColumn("all", F.sum("count").over(Window.partitionBy("grp", "axis")))
-    medians = long.where("2 * upto >= all").groupBy("grp").agg(F.max("all").alias("all"), *[F.min(F.when(F.col("axis") == i, F.col("v"))).alias(f"m{i}") for i in range(len(AXES))])
-    estimate = medians.where(F.col("all") >= LEAST).select("grp", *[(F.col(f"m{i}") / 64.0).alias(f"m{i}") for i in range(len(AXES))], *[F.lit(float(1 / SPREAD[i] ** 2) if i == j else 0.0).alias(f"p{i}{j}") for i, j in PAIRS])
-    estimate = written(estimate, "mcd-start")
-    for _ in range(steps):
-        sums = [F.sum(a).alias(f"t{i}") for i, a in enumerate(AXES)] + [F.sum(F.col(AXES[i]) * F.col(AXES[j])).alias(f"q{i}{j}") for i, j in PAIRS]
-        bins = used.join(estimate, "grp").withColumn("bin", _bin()).groupBy("grp", "bin").agg(F.count("*").alias("n"), *sums)
-        bins = bins.withColumn("below", F.sum("n").over(Window.partitionBy("grp").orderBy("bin")) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy("grp")))
-        near = bins.where(F.col("below") < keep * F.col("all")).groupBy("grp").agg(F.sum("n").alias("n"), *[F.sum(f"t{i}").alias(f"t{i}") for i in range(len(AXES))], *[F.sum(f"q{i}{j}").alias(f"q{i}{j}") for i, j in PAIRS])
-        means = near.select("grp", *[(F.col(f"t{i}") / F.col("n")).alias(f"m{i}") for i in range(len(AXES))], *[(F.col(f"q{i}{j}") / F.col("n") - F.col(f"t{i}") * F.col(f"t{j}") / F.col("n") / F.col("n")).alias(f"s{i}{j}") for i, j in PAIRS])
-        estimate = written(means.mapInPandas(_inverse, ESTIMATE), "mcd")
-    # The covariance of the near rows is too small: scale it so that the median distance is that of a normal vector.
-    bins = used.join(estimate, "grp").withColumn("bin", _bin()).groupBy("grp", "bin").agg(F.count("*").alias("n"))
-    bins = bins.withColumn("upto", F.sum("n").over(Window.partitionBy("grp").orderBy("bin"))).withColumn("all", F.sum("n").over(Window.partitionBy("grp")))
-    middle = bins.where("2 * upto >= all").groupBy("grp").agg(F.min("bin").alias("bin"))
-    scale = middle.select("grp", F.greatest(F.pow(F.lit(2.0), (F.col("bin") + 1) / 16.0) / CHI2_MEDIAN, F.lit(1.0)).alias("scale"))
-    return estimate.join(scale, "grp")
+def _sums(weight: Column) -> list[Column]:
+    return [F.sum(weight).alias("w")] + [F.sum(weight * F.col(a)).alias(f"t{i}") for i, a in enumerate(AXES)] + [F.sum(weight * F.col(AXES[i]) * F.col(AXES[j])).alias(f"q{i}{j}") for i, j in PAIRS]
+
+
+def _moments(sums: DataFrame) -> DataFrame:
+    """Means m0.. and covariances s00.. from sums w, t0.., q00.. (divided by w)."""
+    mean = [F.col(f"t{i}") / F.col("w") for i in range(len(AXES))]
+    return sums.select("grp", "start", "h", *[m.alias(f"m{i}") for i, m in enumerate(mean)], *[(F.col(f"q{i}{j}") / F.col("w") - mean[i] * mean[j]).alias(f"s{i}{j}") for i, j in PAIRS])
+
+
+def starts(used: DataFrame) -> DataFrame:
+    """The first estimates of each group of used(grp, x0.., n), as ESTIMATE."""
+    k = range(len(AXES))
+
+    def medians(long: DataFrame) -> DataFrame:
+        """grp and the lower median of each axis v0.., from counts of values: a window over bins, each a value rounded to 1/1024."""
+        binned = long.groupBy("grp", "axis", F.round(F.col("v") * 1024).cast("long").alias("bin")).agg(F.sum("n").alias("n"))
+        order = Window.partitionBy("grp", "axis").orderBy("bin")
+        told = binned.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(Window.partitionBy("grp", "axis")))
+        return told.where("2 * upto >= all").groupBy("grp").agg(*[(F.min(F.when(F.col("axis") == i, F.col("bin"))) / 1024.0).alias(f"v{i}") for i in k])
+
+    centre = medians(used.select("grp", "n", F.posexplode(F.array(*AXES)).alias("axis", "v"))).select("grp", *[F.col(f"v{i}").alias(f"c{i}") for i in k])
+    around = beside(used, centre, "grp")
+    spread = medians(around.select("grp", "n", F.posexplode(F.array(*[F.abs(F.col(a) - F.col(f"c{i}")) for i, a in enumerate(AXES)])).alias("axis", "v")))
+    spread = spread.select("grp", *[F.greatest(1.4826 * F.col(f"v{i}"), F.lit(SPREAD[i])).alias(f"d{i}") for i in k])
+    rows = beside(around, spread, "grp")
+    z = [(F.col(a) - F.col(f"c{i}")) / F.col(f"d{i}") for i, a in enumerate(AXES)]
+    norm = F.greatest(F.sqrt(sum((x * x for x in z[1:]), z[0] * z[0])), F.lit(1e-9))
+    n, total = F.col("n"), F.sum("n")
+    cross = lambda name, of: [(F.sum(n * of[i] * of[j]) / total).alias(f"{name}{i}{j}") for i, j in PAIRS]
+    one = rows.groupBy("grp").agg(
+        total.alias("all"), *[F.first(f"{c}{i}").alias(f"{c}{i}") for c in "cd" for i in k], *[(F.sum(n * F.col(a)) / total).alias(f"a{i}") for i, a in enumerate(AXES)],
+        *cross("q", [F.col(a) for a in AXES]), *cross("t", [F.tanh(x) for x in z]), *cross("g", [x / norm for x in z]),
+    )
+    zero, same = F.lit(0.0), lambda i, j, x: x if i == j else F.lit(0.0)
+    covs = [
+        {p: zero for p in PAIRS},
+        {(i, j): same(i, j, F.pow(f"d{i}", F.lit(2.0))) for i, j in PAIRS},
+        {(i, j): F.col(f"t{i}{j}") * F.col(f"d{i}") * F.col(f"d{j}") for i, j in PAIRS},
+        {(i, j): F.col(f"g{i}{j}") * F.col(f"d{i}") * F.col(f"d{j}") * len(AXES) for i, j in PAIRS},
+        {(i, j): F.col(f"q{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}") for i, j in PAIRS},
+    ]
+    h = F.ceil(F.col("all") * KEEP).cast("long").alias("h")
+    each = [F.struct(F.lit(s).alias("start"), h, *[F.col(f"{'a' if s == 4 else 'c'}{i}").alias(f"m{i}") for i in k], *[c[i, j].alias(f"s{i}{j}") for i, j in PAIRS]) for s, c in enumerate(covs)]
+    return one.select("grp", F.explode(F.array(*each)).alias("e")).select("grp", "e.*").mapInPandas(_inverse, ESTIMATE)
+
+
+def measured(used: DataFrame, estimate: DataFrame) -> DataFrame:
+    """used with start, h and the distance d under each of its group's estimates."""
+    per = estimate.groupBy("grp").agg(F.collect_list(F.struct(*ONE)).alias("all_"))  # as many as there are starts
+    rows = beside(used, per, "grp").select("grp", *AXES, "n", F.explode("all_").alias("e"))
+    return rows.select("grp", F.col("e.start").alias("start"), F.col("e.h").alias("h"), *AXES, "n", distance("e").alias("d"))
+
+
+def cut_at(rows: DataFrame, tables: Tables, most: int = SORTED) -> DataFrame:
+    """grp, start, lo, hi, need: of rows(grp, start, h, d, n), the h nearest are those under lo and `need` of those from lo to hi."""
+    order = Window.partitionBy("grp", "start").orderBy("bin")
+    binned = rows.withColumn("bin", F.floor(F.log2(F.col("d") + F.lit(1e-9)) * 64))
+    counts = binned.groupBy("grp", "start", "h", "bin").agg(F.sum("n").alias("m"), F.count("*").alias("vectors"), F.min("d").alias("lo"), F.max("d").alias("hi"))
+    counts = counts.withColumn("need", F.col("h") - F.sum("m").over(order) + F.col("m"))
+    found = tables.put("cut", counts.where("need > 0 AND need <= m").select("grp", "start", "need", "lo", "hi", "vectors"))
+    while (found.agg(F.max(F.when(F.col("lo") < F.col("hi"), F.col("vectors")))).first()[0] or 0) > most:
+        inner = rows.join(F.broadcast(found.select("grp", "start", "need", "lo", "hi")), ["grp", "start"]).where("d >= lo AND d <= hi")
+        inner = inner.withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.floor((F.col("d") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 1024)).otherwise(F.lit(0)))
+        counts = inner.groupBy("grp", "start", F.col("need").alias("h"), "bin").agg(F.sum("n").alias("m"), F.count("*").alias("vectors"), F.min("d").alias("lo"), F.max("d").alias("hi"))
+        counts = counts.withColumn("need", F.col("h") - F.sum("m").over(order) + F.col("m"))
+        found = tables.put("cut", counts.where("need > 0 AND need <= m").select("grp", "start", "need", "lo", "hi", "vectors"))
+    return found
+
+
+def taken(rows: DataFrame, cut: DataFrame) -> DataFrame:
+    """rows with the count w of each vector that is among the h nearest; ties are ordered by value."""
+    told = cut.select(F.col("grp").alias("g_"), F.col("start").alias("s_"), "need", "lo", "hi")
+    near = F.broadcast(told) if told.count() <= 100_000 else told
+    near = rows.join(near, (F.col("grp") == F.col("g_")) & (F.col("start") == F.col("s_")) & (F.col("d") <= F.col("hi"))).drop("g_", "s_")
+    order = Window.partitionBy("grp", "start").orderBy("d", *AXES)
+    rest = near.where("d >= lo").withColumn("w", F.least("n", F.greatest(F.lit(0), F.col("need") - F.sum("n").over(order) + F.col("n"))))
+    return near.where("d < lo").withColumn("w", F.col("n")).unionByName(rest)
+
+
+def concentrated(used: DataFrame, estimate: DataFrame, tables: Tables) -> DataFrame:
+    """One concentration step of each estimate."""
+    rows = measured(used, estimate)
+    sums = taken(rows, cut_at(rows, tables)).groupBy("grp", "start", "h").agg(*_sums(F.col("w")))
+    return _moments(sums).mapInPandas(_inverse, ESTIMATE)
+
+
+def mcd(rows: DataFrame, tables: Tables | None = None) -> DataFrame:
+    """grp, centre m0.., inverse p00.., logdet and scale: the least-determinant estimate of each group of rows(grp, x0..), and of all rows."""
+    tables = tables or Tables(rows.sparkSession)
+    used = tables.put("distinct", vectors_of(rows))
+    estimate = tables.put("starts", starts(used))
+    for step in range(STEPS):
+        new = tables.put("step" if step % 2 else "steps", concentrated(used, estimate, tables))
+        if step + 1 == FIRST:
+            rank = Window.partitionBy("grp").orderBy("logdet", "start")
+            new = tables.put("best", new.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= BEST).drop("rank"))
+        fell = step + 1 <= FIRST or not estimate.alias("a").join(new.alias("b"), ["grp", "start"]).where("b.logdet < a.logdet - 1e-10").isEmpty()
+        estimate = new
+        if not fell:
+            break
+    least = estimate.groupBy("grp").agg(F.min_by(F.struct(*ONE), F.struct("logdet", "start")).alias("e")).select("grp", "e.*")
+    least = tables.put("least", least)
+    # The covariance of the near vectors is too small: scale it so that the median distance is that of a normal vector.
+    half = measured(used, least.drop("h").join(used.groupBy("grp").agg(F.ceil(F.sum("n") / 2).alias("h")), "grp").select(*least.columns))
+    middle = taken(half, cut_at(half, tables)).where("w > 0").groupBy("grp").agg(F.max("d").alias("d"))
+    return tables.put("mcd", least.join(middle, "grp").withColumn("scale", F.greatest(F.col("d") / CHI2_MEDIAN, F.lit(1.0))).drop("d", "h", "start"))
 
 
 def judged(docs: DataFrame, cut: float = CUT) -> DataFrame:
     """Counts, base_failed, distance and kept of every document."""
-    rows = written(grouped(vectors(written(counted(docs), "counts"))), "vectors")
-    d = distance() / F.col("scale")
-    out = rows.join(mcd(rows), "grp", "left").withColumn("distance", d)
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True)))
+    with Tables(docs.sparkSession, "vectors", "mcd") as tables:
+        rows = tables.put("vectors", grouped(vectors(tables.put("counts", counted(docs)))))
+        tables.drop("counts")
+        estimate = mcd(rows, tables)
+        good = beside(rows.where("grp IS NOT NULL"), estimate, "grp").select(*rows.columns, (distance() / F.col("scale")).alias("distance"))
+    # Documents that a rule failed do not go through the join.
+    out = good.unionByName(rows.where("grp IS NULL").withColumn("distance", F.lit(None).cast("double")))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

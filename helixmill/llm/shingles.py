@@ -32,9 +32,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text number of each word of the texts, in order. Words are lower-cased in A-Z only."""
-    joined = np.frombuffer(b"\n".join(texts).translate(_LOWER) + b"\n", np.uint8)
+def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text number of each word of the texts, in order. With `lower`, words are lower-cased in A-Z only."""
+    joined = b"\n".join(texts) + b"\n"
+    joined = np.frombuffer(joined.translate(_LOWER) if lower else joined, np.uint8)
     space = _SPACE[joined]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
@@ -48,13 +49,36 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def shingle_sets(texts: list[bytes], n: int = 5) -> list[np.ndarray]:
-    """The sorted set of shingle hashes of each text: runs of n words, or all words where there are fewer."""
-    hashes, of = word_hashes(texts)
+def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of n words, across texts too."""
     total = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
     for k in range(n):
         total += hashes[k : k + len(total)] * np.uint64(pow(_BASE, k + 1, 1 << 64))
-    total = mix(total)
+    return mix(total)
+
+
+def repeated_words(texts: list[bytes], n: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text, and how many of them stand in runs of n words that the text has twice or more."""
+    hashes, of = word_hashes(texts, lower=False)
+    count = np.bincount(of, minlength=len(texts))
+    again = np.zeros(len(texts), np.int64)
+    if len(hashes) >= n:
+        whole = np.flatnonzero(of[: len(of) - n + 1] == of[n - 1 :])
+        window, text = window_hashes(hashes, n)[whole], of[whole]
+        order = np.lexsort((window, text))
+        same = (window[order][1:] == window[order][:-1]) & (text[order][1:] == text[order][:-1])
+        twice = whole[order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]] if len(whole) else whole
+        edge = np.zeros(len(hashes) + n + 1, np.int64)
+        np.add.at(edge, twice, 1)
+        np.add.at(edge, twice + n, -1)
+        again += np.bincount(of[np.cumsum(edge)[: len(hashes)] > 0], minlength=len(texts))
+    return count, again
+
+
+def shingle_sets(texts: list[bytes], n: int = 5) -> list[np.ndarray]:
+    """The sorted set of shingle hashes of each text: runs of n words, or all words where there are fewer."""
+    hashes, of = word_hashes(texts)
+    total = window_hashes(hashes, n)
     first = np.searchsorted(of, np.arange(len(texts) + 1))
     out = []
     for t in range(len(texts)):

@@ -160,17 +160,51 @@ def test_quality_counts_and_verdicts(docs, nothing):
     assert quality.judged(nothing).count() == 0
 
 
-def test_outliers_against_numpy(spark):
-    """The distributed concentration steps reject planted outliers and keep what a plain estimate keeps."""
+def plain_mcd(x, centre, cov, h):
+    """Concentration steps on sorted distances until the determinant stops falling."""
+    target, det = np.diag(np.square(quality.SPREAD)), np.inf
+    while True:
+        d = np.einsum("ni,ij,nj->n", x - centre, np.linalg.inv(cov), x - centre)
+        near = x[np.lexsort([*x.T[::-1], np.round(d, 9)])[:h]]
+        centre, cov = near.mean(0), np.cov(near.T, bias=True) + target
+        now = np.linalg.slogdet(cov)[1]
+        if now >= det - 1e-10:
+            return det, best
+        det, best = now, (centre, cov)
+
+
+def test_outliers_against_plain_mcd(spark):
+    """The estimate is a plain one's fixed point, its determinant that of the best of many random starts, with ties, a small group and failed rows."""
     r = np.random.default_rng(5)
-    rows = [(i, "en", "a", int(np.exp(r.normal(5, 0.5))), 0, 0, 0, 5) for i in range(400)]
-    rows = [(i, a, b, n, n * 5, s, dl, rw, nl) for (i, a, b, n, s, dl, rw, nl) in rows]
-    rows += [(1000 + i, "en", "a", 200, 1000, 900, 0, 0, 5) for i in range(20)]
-    counts = spark.createDataFrame(rows, "doc_id long, lang string, source string, " + quality.COUNTS)
-    out = quality.grouped(quality.vectors(counts))
-    est = quality.mcd(out)
-    far = {x.doc_id for x in out.join(est, "grp").withColumn("d", quality.distance() / F.col("scale")).where(f"d > {quality.CUT}").collect()}
-    assert far == set(range(1000, 1020))
+    rows = []
+    for grp, size in (("a", 300), ("b", 90), ("small", 12)):
+        for _ in range(size):
+            n = int(np.exp(r.normal(5, 0.4)))
+            rows.append(("en", grp, n, n * 5 + int(r.integers(0, 9)), int(r.integers(0, 3)) * n // 40, 0, 0, 5))
+    rows += rows[:40] + [("en", "a", 200, 1000, 900, 0, 0, 5)] * 20 + [("en", "b", 3, 9, 0, 0, 0, 1)] * 5 + [("en", "small", 200, 1000, 900, 0, 0, 5)]
+    counts = spark.createDataFrame([(k, *x) for k, x in enumerate(rows)], "doc_id long, lang string, source string, " + quality.COUNTS)
+    out = quality.grouped(quality.vectors(counts)).cache()
+    got = {x.grp: x for x in quality.mcd(out).collect()}
+    told = [x for x in out.collect() if x.grp is not None]
+    assert sum(x.grp == quality.ALL for x in told) == 13 and len(got) == 3
+    far = set()
+    for grp, e in got.items():
+        x = np.array([[v[a] for a in quality.AXES] for v in told if grp in (v.grp, quality.ALL)])
+        h, target = -(-3 * len(x) // 4), np.diag(np.square(quality.SPREAD))
+        tries = [plain_mcd(x, np.median(x, 0), target, h)] + [plain_mcd(x, x[p].mean(0), np.cov(x[p].T, bias=True) + target, h) for p in (r.choice(len(x), 8) for _ in range(60))]
+        assert e.logdet <= min(t[0] for t in tries) + 1e-3
+        inverse, centre = np.zeros((5, 5)), np.array([e[f"m{i}"] for i in range(5)])
+        for i, j in quality.PAIRS:
+            inverse[i, j] = inverse[j, i] = e[f"p{i}{j}"]
+        # No plain step lowers the determinant, or moves the centre.
+        det, (moved, cov) = plain_mcd(x, centre, np.linalg.inv(inverse), h)
+        assert abs(det - e.logdet) < 1e-9 and np.allclose(moved, centre, atol=1e-9)
+        d = np.einsum("ni,ij,nj->n", x - centre, np.linalg.inv(cov), x - centre)
+        scale = max(1.0, np.sort(d)[-(-len(d) // 2) - 1] / quality.CHI2_MEDIAN)
+        assert abs(scale - e.scale) < 1e-6
+        far |= {v.doc_id for v in told if v.grp == grp and (y := np.array([v[a] for a in quality.AXES]) - centre) @ np.linalg.inv(cov) @ y / scale > quality.CUT}
+    joined = out.join(quality.mcd(out), "grp").withColumn("d", quality.distance() / F.col("scale"))
+    assert {x.doc_id for x in joined.where(f"d > {quality.CUT}").collect()} == far and len(far) >= 21
 
 
 def test_ring_sharding(docs, nothing):

@@ -7,11 +7,12 @@ into forms that the detectors do not accept (spelled-out '@', phone numbers with
 '+', dotted cards). Its labels are B and I of each kind and O; moves that no label
 sequence can make are barred in the CRF.
 
-A text is read whole. No span can be without a digit or a sign of '@' ("@" or "(at)"), so the
-best path over a stretch farther than REACH characters from all such signs is O throughout; only
-windows around signs are computed. Windows of WINDOW characters overlap by half;
-where two cover a character, their emissions are averaged, weighted toward each
-window's middle, and one Viterbi path is decoded over each whole chain of windows.
+A text is read whole: windows of WINDOW characters, one every HOP, cover all of it, and where two
+cover a character their emissions are averaged, weighted toward each
+window's middle. The best path over the whole text is then found exactly in two steps: a stretch of other labels
+can beat O only if the emissions' lead over O, with the most that any move can
+add, sums to a gain; characters in no such stretch are O, and one Viterbi path is decoded over each
+run of the others, from O to O.
 
 Added spans do not overlap base spans, which all stay.
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +41,13 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_SIGN = re.compile(r"[0-9@]|\((?:at|AT)\)")
-
 _AT = re.compile(r"@|\((?:at|AT)\)")
 _LETTER = re.compile(r"[A-Za-z]")
 
 SAMPLE = 1500
-WINDOW, REACH = 96, 40
-HIDDEN, STEPS, BATCH = 16, 110, 96
+#: Characters of a window read and of one learned from; places between windows; characters read at a time.
+WINDOW, LEARNED, HOP, AT_ONCE = 384, 96, 336, 400_000
+HIDDEN, STEPS, BATCH = 8, 160, 96
 
 
 def luhn(digits: str) -> bool:
@@ -91,8 +91,13 @@ N_TAGS = 1 + 2 * len(KINDS)
 def char_codes(text: str) -> np.ndarray:
     """ASCII as it is, other letters as 1 and the rest as 2."""
     if text.isascii():
-        return np.frombuffer(text.encode(), np.uint8).astype(np.int64)
-    return np.array([ord(c) if ord(c) < 128 else 1 if c.isalpha() else 2 for c in text], np.int64)
+        return np.frombuffer(text.encode(), np.uint8)
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    out = np.minimum(points, 127).astype(np.uint8)
+    wide = np.flatnonzero(points > 127)
+    seen, which = np.unique(points[wide], return_inverse=True)
+    out[wide] = np.array([1 if chr(p).isalpha() else 2 for p in seen.tolist()], np.uint8)[which] if len(wide) else 0
+    return out
 
 
 def barred() -> np.ndarray:
@@ -120,8 +125,46 @@ class Tagger:
         self.p["x"][:, :, hidden : 2 * hidden] += 0.5  # forget gates start open
         self.hidden = hidden
 
-    def emissions(self, codes: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """(windows, length, tags) from character codes (windows, length)."""
+    def emissions(self, codes: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+        """(tags, windows, length) from character codes (windows, length); beyond a window's length its states stay zero.
+
+        As states() below without what the gradients need: gates lie apart, and as sigmoid(x) = tanh(x / 2) / 2 + 1 / 2 one tanh does all four.
+        """
+        n, length = codes.shape
+        d = self.hidden
+        half = np.array([0.5, 0.5, 0.5, 1], np.float32)[None, :, None, None]
+        table = self.p["x"].reshape(2, N_CHARS, 4, d).transpose(0, 2, 1, 3) * half
+        weights = self.p["h"].reshape(2, d, 4, d).transpose(0, 2, 1, 3) * half
+        h, c = np.zeros((2, n, d), np.float32), np.zeros((2, n, d), np.float32)
+        x, z, more = np.empty((2, 4, n, d), np.float32), np.empty((2, 4, n, d), np.float32), np.empty((2, n, d), np.float32)
+        states = np.empty((2, length, n, d), np.float32)
+        by_time = np.ascontiguousarray(codes.T)
+        short = lengths is not None and int(lengths.min()) < length
+        for t in range(length):
+            np.take(table[0], by_time[t], axis=1, out=x[0], mode="clip")
+            np.take(table[1], by_time[length - 1 - t], axis=1, out=x[1], mode="clip")
+            np.matmul(h[:, None], weights, out=z)
+            z += x
+            np.tanh(z, out=z)
+            gates = z[:, :3]
+            gates *= 0.5
+            gates += 0.5
+            c *= z[:, 1]
+            np.multiply(z[:, 0], z[:, 3], out=more)
+            c += more
+            if short:
+                c[0, lengths <= t] = 0
+                c[1, lengths <= length - 1 - t] = 0
+            np.tanh(c, out=h)
+            h *= z[:, 2]
+            states[0, t], states[1, length - 1 - t] = h[0], h[1]
+        out = self.p["o"][0].T @ states[0].reshape(-1, d).T
+        out += self.p["o"][1].T @ states[1].reshape(-1, d).T
+        out += self.p["c"][:, None]
+        return out.reshape(N_TAGS, length, n).transpose(0, 2, 1)
+
+    def states(self, codes: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """(windows, length, tags): emissions as above, with the steps kept for the gradients."""
         n, length = codes.shape
         h, c = np.zeros((2, n, self.hidden), np.float32), np.zeros((2, n, self.hidden), np.float32)
         states = np.empty((2, length, n, self.hidden), np.float32)
@@ -146,7 +189,7 @@ class Tagger:
         """Mean negative log-likelihood of the tags under the CRF, and its gradients."""
         n, length = codes.shape
         keep: list = []
-        e = self.emissions(codes, keep).astype(np.float64)
+        e = self.states(codes, keep).astype(np.float64)
         move = self.p["t"].astype(np.float64) + barred()
 
         def lse(a: np.ndarray, axis: int) -> np.ndarray:
@@ -226,62 +269,115 @@ class Tagger:
         return tags
 
 
-def chains(text: str) -> list[tuple[int, int]]:
-    """Stretches of the text around all signs, joined where they touch."""
-    out: list[list[int]] = []
-    for m in _SIGN.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def read(tagger: Tagger, codes: np.ndarray, pieces: list[tuple[int, int, int, int]]) -> np.ndarray:
+    """Emissions (tags, characters) of all characters of the pieces, one after the other.
+
+    A piece (first, last, a, b) is the part from a to b of a text whose codes stand from first to last. A text's windows
+    begin at every HOP, wherever its pieces do, so that a character's emissions do not depend on the pieces.
+    """
+    sizes = np.array([b - a for _, _, a, b in pieces])
+    put = np.cumsum(sizes) - sizes
+    rows = []  # window's first place in codes, its length, and the place of its first character in the output, which may lie before the piece
+    for k, (first, last, a, b) in enumerate(pieces):
+        n = last - first
+        at = np.arange(max(0, (a - WINDOW) // HOP + 1), -(-b // HOP)) * HOP
+        at = at[(at < n) & ((at == 0) | (at + WINDOW - HOP < n))]  # the last window that ends the text is the last one
+        rows.append(np.stack([at + first, np.minimum(WINDOW, n - at), put[k] + at - a, np.full(len(at), put[k]), np.full(len(at), put[k] + b - a)], 1))
+    rows = np.concatenate(rows) if rows else np.zeros((0, 5), np.int64)
+    total, weight = np.zeros((N_TAGS, int(sizes.sum())), np.float32), np.zeros(int(sizes.sum()), np.float32)
+    rows = rows[np.argsort(rows[:, 1], kind="stable")]
+    for some in np.array_split(rows, max(1, -(-len(rows) // 1024))):
+        if not len(some):
+            continue
+        place = np.arange(int(some[-1, 1]))
+        window = np.where(place < some[:, 1:2], codes[np.minimum(some[:, :1] + place, len(codes) - 1)], 32)
+        e = tagger.emissions(window, some[:, 1])
+        for row, (_, n, to, least, end) in enumerate(some.tolist()):
+            w = np.minimum(np.arange(1, n + 1), np.arange(n, 0, -1)).astype(np.float32) if n < WINDOW else _MIDDLE
+            a, b = max(least - to, 0), min(end - to, n)
+            total[:, to + a : to + b] += e[:, row, a:b] * w[a:b]
+            weight[to + a : to + b] += w[a:b]
+    total /= np.maximum(weight, 1)
+    return total
+
+
+_MIDDLE = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
+
+
+def open_runs(lead: np.ndarray, most: float) -> list[tuple[int, int]]:
+    """Runs of places in some stretch whose leads sum to more than -most."""
+    total = np.concatenate([[0.0], np.cumsum(lead, dtype=np.float64)])
+    ends = total[1:] - np.minimum.accumulate(total[:-1])  # the best stretch that ends here
+    starts = np.maximum.accumulate(total[:0:-1])[::-1] - total[:-1]  # and that starts here
+    held = np.concatenate([[False], ends + starts - lead > -most - 1e-3, [False]])
+    edge = np.flatnonzero(held[1:] != held[:-1])
+    return list(zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
 def decode(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-    """The model's spans of each text: (start, kind number, end)."""
-    places = [(k, a, b) for k, t in enumerate(texts) for a, b in chains(t)]
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    places.sort(key=lambda p: p[2] - p[1])
-    at = 0
-    while at < len(places):
-        # Chains of like length together; about 200,000 characters at a time, or one longer chain.
-        group = [places[at]]
-        while at + len(group) < len(places) and (len(group) + 1) * (places[at + len(group)][2] - places[at + len(group)][1]) <= 200_000:
-            group.append(places[at + len(group)])
-        at += len(group)
-        lengths = np.array([b - a for _, a, b in group])
-        longest = int(lengths.max())
-        codes = np.full((len(group), longest), 32, np.int64)
-        for row, (k, a, b) in enumerate(group):
-            codes[row, : b - a] = char_codes(texts[k][a:b])
-        for row, tags in enumerate(tagger.paths(reconciled(tagger, codes, lengths), lengths)):
-            k, a, b = group[row]
-            i = 0
-            marks = np.flatnonzero(tags)
-            while i < len(marks):
-                j, kind = i, (int(tags[marks[i]]) - 1) // 2
-                while j + 1 < len(marks) and marks[j + 1] == marks[j] + 1 and tags[marks[j + 1]] == 2 + 2 * kind:
-                    j += 1
-                out[k].append((a + int(marks[i]), kind, a + int(marks[j]) + 1))
-                i = j + 1
-    return out
+    """The model's spans of each text: (start, kind number, end).
 
-
-def reconciled(tagger: Tagger, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Emissions of whole chains from overlapping windows."""
-    n, longest = codes.shape
-    total, weight = np.zeros((n, longest, N_TAGS), np.float32), np.zeros((n, longest, 1), np.float32)
-    for first in range(0, max(1, longest - WINDOW // 2), WINDOW // 2):
-        rows = np.flatnonzero(lengths > first)
-        if not len(rows):
-            break
-        end = min(first + WINDOW, longest)
-        for some in np.array_split(rows, -(-len(rows) // 1024)):
-            w = np.minimum(np.arange(1, end - first + 1), np.arange(end - first, 0, -1)).astype(np.float32)[None, :, None]
-            total[some, first:end] += w * tagger.emissions(codes[some, first:end])
-            weight[some, first:end] += w
-    return total / np.maximum(weight, 1)
+    Emissions of texts up to AT_ONCE characters are held while they are decoded. Of a longer text only the leads are, and
+    its runs are read again: some 30 bytes a character.
+    """
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    move = (tagger.p["t"] + barred()).astype(np.float32)
+    apart = move.copy()
+    apart[0, 0] = -np.inf
+    most = max(0.0, float(apart.max() - move[0, 0]))
+    sizes = np.array([len(t) for t in texts])
+
+    def leads(e: np.ndarray) -> np.ndarray:
+        return e[1:].max(0) - e[0] + most
+
+    def solve(e: np.ndarray, runs: list[tuple[int, int, int, int]]) -> None:
+        """Runs (text, first, last, place of the first in e): from O before each and to O behind it, but for the text's ends."""
+        for group in grouped(sorted(runs, key=lambda r: r[2] - r[1]), lambda r: r[2] - r[1]):
+            k, first, last, place = np.array(group).T
+            lengths = last - first
+            step = np.arange(int(lengths.max()))
+            inside = step < lengths[:, None]
+            rows = np.where(inside, e[:, np.where(inside, place[:, None] + step, 0)], 0).transpose(1, 2, 0)
+            rows[:, 0] += np.where(first > 0, 1, 0)[:, None] * move[0]
+            rows[np.arange(len(group)), lengths - 1] += np.where(last < sizes[k], 1, 0)[:, None] * move[:, 0]
+            tags = tagger.paths(rows, lengths)
+            for row in np.flatnonzero(tags.any(1)):
+                i, marks = 0, np.flatnonzero(tags[row])
+                while i < len(marks):
+                    j, kind = i, (int(tags[row, marks[i]]) - 1) // 2
+                    while j + 1 < len(marks) and marks[j + 1] == marks[j] + 1 and tags[row, marks[j + 1]] == 2 + 2 * kind:
+                        j += 1
+                    out[k[row]].append((int(first[row] + marks[i]), kind, int(first[row] + marks[j]) + 1))
+                    i = j + 1
+
+    for names in grouped([k for k, t in enumerate(texts) if 0 < len(t) <= AT_ONCE], lambda k: len(texts[k]), even=False):
+        ends = np.cumsum([len(texts[k]) for k in names]).tolist()
+        pieces = [(end - len(texts[k]), end, 0, len(texts[k])) for k, end in zip(names, ends, strict=True)]
+        e = read(tagger, np.concatenate([char_codes(texts[k]) for k in names]), pieces)
+        lead = leads(e)
+        solve(e, [(k, a, b, f + a) for k, (f, end, _, _) in zip(names, pieces, strict=True) for a, b in open_runs(lead[f:end], most)])
+    for k in (k for k, t in enumerate(texts) if len(t) > AT_ONCE):
+        codes = char_codes(texts[k])
+        n = len(codes)
+        lead = np.concatenate([leads(read(tagger, codes, [(0, n, a, min(a + AT_ONCE, n))])) for a in range(0, n, AT_ONCE)])
+        for group in grouped(open_runs(lead, most), lambda r: r[1] - r[0] + WINDOW, even=False):
+            e, cuts = read(tagger, codes, [(0, n, a, b) for a, b in group]), np.cumsum([0] + [b - a for a, b in group])
+            solve(e, [(k, a, b, cuts[i]) for i, (a, b) in enumerate(group)])
+    return [sorted(o) for o in out]
+
+
+def grouped(items: list, size: Callable[[object], int], even: bool = True) -> Iterator[list]:
+    """The items in order, about AT_ONCE in size at a time; with `even`, where each counts as much as the largest of its group, at most twice the first."""
+    held, total, largest = [], 0, 0
+    for x in items:
+        n = size(x)
+        if held and (((len(held) + 1) * max(largest, n) if even else total + n) > AT_ONCE or (even and n > 2 * size(held[0]))):
+            yield held
+            held, total, largest = [], 0, 0
+        held.append(x)
+        total, largest = total + n, max(largest, n)
+    if held:
+        yield held
 
 
 # ---- labelled spans to learn from
@@ -307,6 +403,11 @@ def examples(texts: list[str], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     codes, tags = [], []
     for text in texts:
         spans = base_spans(text)
+        # A window of the text without a span: prose and its own numbers.
+        at = int(r.integers(0, max(1, len(text) - LEARNED)))
+        if not any(a < at + LEARNED and at < b for a, _, b in spans):
+            codes.append(char_codes(text[at : at + LEARNED].ljust(LEARNED)))
+            tags.append(np.zeros(LEARNED, np.int64))
         for start, kind, end in spans:
             before, after = text[max(0, start - 60) : start], text[end : end + 60]
             if re.search("[0-9@+]", before + after):
@@ -314,9 +415,9 @@ def examples(texts: list[str], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
             said = variant(text[start:end], kind, r)
             put = int(r.integers(0, 56))
             before = before[max(0, len(before) - put) :]
-            line = (before + said + after)[:WINDOW].ljust(WINDOW)
-            row = np.zeros(WINDOW, np.int64)
-            last = min(WINDOW, len(before) + len(said))
+            line = (before + said + after)[:LEARNED].ljust(LEARNED)
+            row = np.zeros(LEARNED, np.int64)
+            last = min(LEARNED, len(before) + len(said))
             row[len(before) : last] = 2 + 2 * kind
             row[len(before)] = 1 + 2 * kind
             codes.append(char_codes(line))
@@ -328,9 +429,9 @@ def examples(texts: list[str], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
                 number = f"{number[:2]}.{number[2:4] or 0}"
             elif form == 1:
                 number = r.bytes(int(r.integers(4, 24))).hex()
-            codes.append(char_codes((before + number + after)[:WINDOW].ljust(WINDOW)))
-            tags.append(np.zeros(WINDOW, np.int64))
-    return (np.stack(codes), np.stack(tags)) if codes else (np.zeros((0, WINDOW), np.int64), np.zeros((0, WINDOW), np.int64))
+            codes.append(char_codes((before + number + after)[:LEARNED].ljust(LEARNED)))
+            tags.append(np.zeros(LEARNED, np.int64))
+    return (np.stack(codes), np.stack(tags)) if codes else (np.zeros((0, LEARNED), np.int64), np.zeros((0, LEARNED), np.int64))
 
 
 def learned(docs: DataFrame, sample: int = SAMPLE) -> Tagger | None:
@@ -371,14 +472,13 @@ def personal_data(docs: DataFrame, tagger: Tagger | None, mask: bool = True) ->
     """Spans of every whole text, and with `mask` the text with all of them masked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=1 << 20):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            signed = [k for k, t in enumerate(texts) if _SIGN.search(t)]
-            more = dict(zip(signed, decode(tagger, [texts[k] for k in signed]), strict=True)) if tagger else {}
+            more = decode(tagger, texts) if tagger else [[] for _ in texts]
             rows = []
-            for k, text in enumerate(texts):
-                base = base_spans(text) if k in more or tagger is None else []
-                spans = with_added(text, base, more.get(k, []))
+            for text, added in zip(texts, more, strict=True):
+                base = base_spans(text)
+                spans = with_added(text, base, added)
                 n = [sum(s[1] == kind for s in base) for kind in range(len(KINDS))]
                 rows.append((*n, hashlib.sha256(told(base).encode()).hexdigest(), told(spans), masked(text, spans) if mask else None))
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.string()] * 3, strict=True)]
@@ -391,12 +491,12 @@ def masked_documents(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
     """docs with all spans masked in text, and n_chars counted anew; a null text stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=1 << 20):
             texts = batch.column("text").to_pylist()
-            signed = [k for k, t in enumerate(texts) if t and _SIGN.search(t)]
-            more = dict(zip(signed, decode(tagger, [texts[k] for k in signed]), strict=True)) if tagger else {}
-            for k in signed:
-                texts[k] = masked(texts[k], with_added(texts[k], base_spans(texts[k]), more.get(k, [])))
+            more = decode(tagger, [t or "" for t in texts]) if tagger else [[] for _ in texts]
+            for k, added in enumerate(more):
+                if texts[k]:
+                    texts[k] = masked(texts[k], with_added(texts[k], base_spans(texts[k]), added))
             cols = {name: batch.column(name) for name in batch.schema.names} | {"text": pa.array(texts, pa.string())}
             if "n_chars" in cols:
                 cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())

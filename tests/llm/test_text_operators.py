@@ -297,6 +297,7 @@ def test_tagger_gradients_and_held_out(spark):
     texts = [f"{' '.join('lorem ipsum dolor'.split()[: r.randint(1, 3)])} {r.choice(['abc.de@mail.example.com', '+1 (337) 555-7349', '129.45.227.94', '4111 1111 1111 1111'])} sit amet" for _ in range(240)]
     codes, tags = pii.examples(texts)
     small = pii.Tagger(hidden=3)
+    assert np.allclose(small.emissions(codes[:5]).transpose(1, 2, 0), small.states(codes[:5]), atol=1e-5)
     small.p = {k: v.astype(np.float64) for k, v in small.p.items()}
     _, grads = small.loss_and_grads(codes[:4, :30], tags[:4, :30])
     for k, g in grads.items():
@@ -309,7 +310,7 @@ def test_tagger_gradients_and_held_out(spark):
         assert abs((ends[0] - ends[1]) / 2e-3 - g[at]) < 1e-3 * max(1, abs(g[at]))
     n = len(codes) * 4 // 5
     tagger = pii.Tagger().fit(codes[:n], tags[:n], steps=60)
-    held = tagger.paths(tagger.emissions(codes[n:]), np.full(len(codes) - n, pii.WINDOW))
+    held = tagger.paths(tagger.states(codes[n:]), np.full(len(codes) - n, pii.LEARNED))
     assert (held == tags[n:]).mean() > 0.97
     docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(PERSONAL + texts[:5])], "doc_id long, text string, n_email int")
     for x in pii.personal_data(docs, tagger).collect():
@@ -323,6 +324,40 @@ def test_tagger_gradients_and_held_out(spark):
     assert pii.personal_data(docs.where("false"), tagger).count() == 0
 
 
+def test_decoding_is_one_path_over_each_whole_text():
+    """Against a plain Viterbi over all characters of each text, with an untrained tagger that labels much, on short and long texts."""
+    r = random.Random(3)
+    tagger = pii.Tagger(hidden=3, seed=1)
+    tagger.p["t"] = np.random.default_rng(2).standard_normal(tagger.p["t"].shape).astype(np.float32)
+    tagger.p["c"][0] += 1.2
+    texts = ["".join(r.choice("ab1@. é") for _ in range(n)) for n in (0, 1, 2, 50, 383, 384, 385, 720, 721, 1000, 30_000)]
+    some = 0
+    for text, got in zip(texts, pii.decode(tagger, texts), strict=True):
+        codes = pii.char_codes(text)
+        e, w = np.zeros((len(text), pii.N_TAGS)), np.zeros((len(text), 1))
+        at = 0
+        while text:
+            part = codes[at : at + pii.WINDOW]
+            each = np.minimum(np.arange(1, len(part) + 1), np.arange(len(part), 0, -1))[:, None]
+            e[at : at + len(part)] += tagger.states(part[None])[0] * each
+            w[at : at + len(part)] += each
+            if at + pii.WINDOW >= len(text):
+                break
+            at += pii.HOP
+        want = []
+        if text:
+            tags = tagger.paths((e / np.maximum(w, 1))[None].astype(np.float32), np.array([len(text)]))[0]
+            for k, tag in enumerate(tags):
+                if tag and tag % 2 == 1:
+                    want.append([k, (tag - 1) // 2, k + 1])
+                elif tag:
+                    want[-1][2] = k + 1
+        assert got == [tuple(x) for x in want]
+        some += len(want)
+    assert some > 20
+    assert pii.open_runs(np.array([-1.0, 2, -1, -9, -1]), 0.0) == [(0, 3)]
+
+
 def test_licenses(spark):
     texts = [
         "All rights reserved. CC BY 4.0. gnu General Public License, all rights reserved all RIGHTS reserved", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated files, to deal in it without restriction",

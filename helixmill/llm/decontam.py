@@ -78,8 +78,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> Da
     items = benchmark.select("item_id", words().alias("w")).distinct().select("item_id", F.size("w").alias("size"), shingle_hashes(F.col("w")).alias("item_hashes")).where(F.size("item_hashes") > 0)
     items = written(items.withColumn("item_print", simhash("item_hashes")), "items")
     told = items.select("item_id", "size", F.explode("item_hashes").alias("h")).distinct()
-    small = told.count() <= SMALL
-    near = F.broadcast if small else (lambda df: df)
+    near = F.broadcast if told.count() <= SMALL else (lambda df: df)
+    # An item's blocks are RADIUS + 1 rows, and its hashes as many as its shingles.
+    sent = F.broadcast if (items.agg(F.sum(F.size("item_hashes") + RADIUS + 1)).first()[0] or 0) <= SMALL else (lambda df: df)
 
     key = [F.col("doc_id"), F.xxhash64("text").alias("text_hash")]
     # Texts with a shared shingle at a place divisible by `every`: no text with a similar window lacks one.
@@ -102,11 +103,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> Da
     cut = texts.join(places.withColumnRenamed("doc_id", "id_"), (F.col("id_").eqNullSafe(F.col("doc_id"))) & (places["text_hash"] == texts["text_hash"]))
     cut = cut.select("doc_id", F.explode(F.transform("places", lambda x: F.struct(x["p"].alias("p"), x["size"].alias("size"), F.slice("w", x["p"] + 1, x["size"]).alias("w")))).alias("x"))
     windows = cut.select("doc_id", "x.p", "x.size", shingle_hashes(F.col("x.w")).alias("hashes")).distinct()
-    windows = windows.withColumn("print", simhash("hashes"))
-    by_block = items.select("*", F.explode(blocks("item_print")).alias("b")).select("item_id", "size", "item_hashes", "item_print", "b.block", "b.value")
-    found = windows.select("*", F.explode(blocks("print")).alias("b")).select("doc_id", "p", "size", "hashes", "print", "b.block", "b.value")
-    pairs = found.join(near(by_block), ["size", "block", "value"]).withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))))
-    pairs = pairs.where(F.col("distance") <= RADIUS).withColumn("similarity", weighted_similarity("hashes", "item_hashes")).where(F.col("similarity") >= similar)
+    windows = written(windows.withColumn("print", simhash("hashes")).withColumn("window", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "p", "hashes")), "windows")
+    by_block = items.select("item_id", "size", "item_print", F.explode(blocks("item_print")).alias("b")).select("item_id", "size", "item_print", "b.block", "b.value")
+    found = windows.select("window", "p", "size", "print", F.explode(blocks("print")).alias("b")).select("window", "p", "size", "print", "b.block", "b.value")
+    pairs = found.join(sent(by_block), ["size", "block", "value"]).withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))))
+    # Prints within the radius meet in several blocks: a pair counts once, and only then are the shingles compared.
+    pairs = pairs.where(F.col("distance") <= RADIUS).select("window", "p", "size", "item_id", "distance").distinct()
+    pairs = pairs.join(windows.select("window", "p", "size", "doc_id", "hashes"), ["window", "p", "size"]).join(sent(items.select("item_id", "size", "item_hashes")), ["item_id", "size"])
+    pairs = pairs.withColumn("similarity", weighted_similarity("hashes", "item_hashes")).where(F.col("similarity") >= similar)
     best = F.max_by(F.struct(F.col("p").alias("first_word"), "distance"), F.struct("similarity", -F.col("p")))
     return pairs.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), best.alias("best")).select("doc_id", "item_id", "similarity", "best.first_word", "best.distance")
 

@@ -212,16 +212,37 @@ def _(spark: SparkSession, d: str, span: int) -> DataFrame:
     return loss.groupBy("seq_id").agg(F.sum("penalty").alias("penalty"))
 
 
-@spanned(
-    "j9_loss_mapping",
-    f", {CAND}, known AS (SELECT seq_id, count(*) FILTER (partner > 0 OR partner = -2) AS np FROM fd_mapping GROUP BY seq_id) SELECT c.seq_id, round(sum(((x.partner >= 0 AND x.partner <> c.j)::INT + (y.partner >= 0 AND y.partner <> c.i)::INT) * 4.0::DOUBLE / greatest(np, 1)), 6) AS penalty FROM cand c JOIN known USING (seq_id) JOIN fd_mapping x ON x.seq_id = c.seq_id AND x.pos = c.i JOIN fd_mapping y ON y.seq_id = c.seq_id AND y.pos = c.j GROUP BY c.seq_id".lstrip(","),
-)
+_WRONG = "(({0} > 0 OR {0} = -2) AND {0} <> {1})::INT"
+_J9 = f"SELECT c.seq_id, round(sum(({_WRONG.format('x.partner', 'c.j')} + {_WRONG.format('y.partner', 'c.i')}) * 4.0::DOUBLE / greatest(np, 1)), 6) AS penalty FROM cand c JOIN known USING (seq_id) JOIN coded x ON x.seq_id = c.seq_id AND x.pos = c.i JOIN coded y ON y.seq_id = c.seq_id AND y.pos = c.j GROUP BY c.seq_id"
+_KNOWN = "known AS (SELECT seq_id, count(*) FILTER (partner > 0 OR partner = -2) AS np FROM coded GROUP BY seq_id)"
+_CODED = "coded AS (SELECT seq_id, pos, CASE WHEN r_unpaired >= 0.75 THEN 0 WHEN 1 - r_paired >= 0.5 THEN -2 ELSE -1 END AS partner FROM fx_react)"
+
+
+@spanned("j9_loss_mapping", f"{CAND}, coded AS (SELECT * FROM fd_mapping), {_KNOWN} {_J9}")
 def _(spark: SparkSession, d: str, span: int) -> DataFrame:
     r = X.fx_noncanon(spark, d)
     loss = candidates.loss_mapping(candidates.candidate_pairs(r, span), structure.brackets_to_mapping(r), 4.0)
     return loss.groupBy("seq_id").agg(F.round(F.sum("penalty"), 6).alias("penalty"))
 
 
+@query("j9_loss_mapping_coded", f"{CAND}, {_CODED}, {_KNOWN} {_J9}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Positions known from reactivity: unpaired (0), paired with an unknown partner (-2) or unknown (-1)."""
+    known = structure.discretize_reactivity(X.fx_react(spark, d), 0.75, 0.5)
+    loss = candidates.loss_mapping(candidates.candidate_pairs(X.fx_seq(spark, d), SPAN), known, 4.0)
+    return loss.groupBy("seq_id").agg(F.round(F.sum("penalty"), 6).alias("penalty"))
+
+
+@query(
+    "j9_loss_unpaired",
+    "SELECT seq_id, round(sum(upto), 6) AS upto FROM (SELECT m.seq_id, count(*) FILTER (o.partner > 0 OR o.partner = -2) * 4.0 / greatest(any_value(np), 1) AS upto FROM fd_mapping m JOIN fd_mapping o ON o.seq_id = m.seq_id AND o.pos <= m.pos JOIN (SELECT seq_id, count(*) FILTER (partner > 0 OR partner = -2) AS np FROM fd_mapping GROUP BY seq_id) k ON k.seq_id = m.seq_id GROUP BY m.seq_id, m.pos) GROUP BY seq_id",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """What leaving the first positions of a record unpaired costs, summed over all ends of such a range."""
+    cost = candidates.loss_mapping_unpaired(structure.brackets_to_mapping(X.fx_noncanon(spark, d)), 4.0)
+    return cost.groupBy("seq_id").agg(F.round(F.sum("upto"), 6).alias("upto"))
+
+
 @query("j10_hairpin_candidates", f", {CAND} SELECT seq_id, count(*) AS n, sum(j - i - 1)::BIGINT AS sum_n FROM cand WHERE j - i > 3 GROUP BY seq_id".lstrip(","))
 def _(spark: SparkSession, d: str) -> DataFrame:
     out = candidates.hairpin_candidates(candidates.candidate_pairs(X.fx_seq(spark, d), SPAN))

@@ -14,7 +14,7 @@ starts: medians with the target, with scaled absolute deviations, with the covar
 tanh-transformed values, with that of spatial signs; means with the plain covariance.
 A concentration step takes exactly the h vectors with the least distances, ties ordered by value, and
 their mean and covariance; no step raises the determinant. After two steps the two
-best starts of each group go on until no determinant falls, and the least one is taken.
+best starts of each group go on until no determinant falls by a millionth, and the least one is taken.
 
 All of it runs on distinct vectors with their counts. The h-th distance is located by histograms,
 narrowed until few vectors are left around it, so no group is ever gathered or sorted whole, and
@@ -244,7 +244,7 @@ def mcd(rows: DataFrame, tables: Tables | None = None) -> DataFrame:
         if step + 1 == FIRST:
             rank = Window.partitionBy("grp").orderBy("logdet", "start")
             new = tables.put("best", new.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= BEST).drop("rank"))
-        fell = step + 1 <= FIRST or not estimate.alias("a").join(new.alias("b"), ["grp", "start"]).where("b.logdet < a.logdet - 1e-10").isEmpty()
+        fell = step + 1 <= FIRST or not estimate.alias("a").join(new.alias("b"), ["grp", "start"]).where("b.logdet < a.logdet - 1e-6").isEmpty()
         estimate = new
         if not fell:
             break

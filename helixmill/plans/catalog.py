@@ -345,7 +345,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("seq_id", "kind").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("n_unpaired", "n_branch", "l1", "l2")])
 
 
-@query("l4_validate_structures", "SELECT seq_id, 'OK' AS status FROM fx_folded WHERE structure NOT LIKE '%?%'")
+@query("l4_validate_structures", "SELECT seq_id, CASE WHEN structure LIKE '%?%' THEN 'UNKNOWN' ELSE 'OK' END AS status FROM fx_folded")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return loops.validate_structures(X.fx_folded(spark, d))
 
@@ -464,6 +464,39 @@ def _(spark: SparkSession, d: str, span: int) -> DataFrame:
     return pairs.groupBy("seq_id").agg(F.count("*").alias("n"), F.sum("w").alias("sum_w"))
 
 
+@spanned("q1_clip_posterior", f"{POST} SELECT seq_id, sum(greatest(0, least(1, p * 256 - 1)))::DOUBLE AS sum_p FROM post GROUP BY seq_id")
+def _(spark: SparkSession, d: str, span: int) -> DataFrame:
+    """Values from -1 to 3, cut to 0 to 1."""
+    wide = fx_posterior(spark, d, span).withColumn("p", F.col("p") * 256 - 1)
+    return posterior.clip_posterior(wide).groupBy("seq_id").agg(F.sum("p").alias("sum_p"))
+
+
+# ---- more expressions
+
+
+@query(
+    "e2_normalize_brackets",
+    "SELECT seq_id, CASE WHEN NOT regexp_matches(s, '[^?.()]') THEN s END AS structure FROM (SELECT seq_id, translate(CASE WHEN seq_id % 7 = 0 THEN structure || '[' ELSE translate(structure, '.', '-') END, '-', '.') AS s FROM fx_folded)",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = F.when(F.col("seq_id") % 7 == 0, F.concat("structure", F.lit("["))).otherwise(F.translate("structure", ".", "-"))
+    return X.fx_folded(spark, d).select("seq_id", E.normalize_brackets(s).alias("structure"))
+
+
+@query(
+    "e5_letter_positions",
+    "SELECT seq_id, count(*) + 1 AS n, sum(k)::BIGINT AS total FROM (SELECT seq_id, translate(seq, 'A', '-') AS s, unnest(range(length(seq))) AS k FROM fx_seq) WHERE regexp_matches(substr(s, k + 1, 1), '[A-Za-z]') GROUP BY seq_id",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    at = X.fx_seq(spark, d).select("seq_id", E.letter_positions(F.translate("seq", "A", "-")).alias("at"))
+    return at.select("seq_id", F.size("at").cast("long").alias("n"), F.aggregate("at", F.lit(0).cast("long"), lambda n, k: n + k).alias("total")).where("n > 1")
+
+
+@query("e9_soft_threshold", "SELECT seq_id, sum(sign(r_paired - 0.5) * greatest(abs(r_paired - 0.5) - 0.25, 0))::DOUBLE AS total FROM fx_react GROUP BY seq_id")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return X.fx_react(spark, d).groupBy("seq_id").agg(F.sum(E.soft_threshold(F.col("r_paired") - 0.5, F.lit(0.25))).alias("total"))
+
+
 # ---- training
 
 @query(

@@ -6,6 +6,7 @@ rows are many times the input; all records and whole texts take part.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..operators import alignment, candidates, features, lengths, loops, posterior, structure, training
+from ..sources import readers, writers
+from ..sources.shared import shared_path
 from . import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,7 +99,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "m3_validate_mapping",
-    "SELECT seq_id, pos, 'not reciprocal' AS reason FROM (SELECT seq_id, 8 AS pos FROM fx_seq WHERE seq_id % 10 = 0 UNION ALL SELECT seq_id, 5 AS pos FROM fx_seq WHERE seq_id % 10 = 8)",
+    f"""m AS (SELECT seq_id, pos, CASE WHEN seq_id % 10 = 0 AND pos = 8 THEN 35 WHEN seq_id % 10 = 8 AND pos = 5 THEN 1 ELSE partner END AS partner FROM fd_mapping)
+    SELECT * FROM (SELECT m.seq_id, m.pos, CASE WHEN m.partner NOT BETWEEN 1 AND {X.LENGTH} THEN 'out of range' WHEN m.partner = m.pos THEN 'paired with itself' WHEN o.partner IS DISTINCT FROM m.pos THEN 'not reciprocal' END AS reason
+      FROM m LEFT JOIN m o ON o.seq_id = m.seq_id AND o.pos = m.partner WHERE m.partner NOT IN (0, -1)) WHERE reason IS NOT NULL""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     m = structure.brackets_to_mapping(X.fx_folded(spark, d))
@@ -106,7 +111,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "m4_has_pseudoknot",
-    "SELECT DISTINCT seq_id, seq_id % 10 = 0 AS crossing FROM fx_pairs",
+    "p AS (SELECT seq_id, i, j FROM fx_pairs UNION ALL SELECT seq_id, 8, 35 FROM fx_seq WHERE seq_id % 10 = 0) SELECT a.seq_id, bool_or(b.i IS NOT NULL) AS crossing FROM p a LEFT JOIN p b ON b.seq_id = a.seq_id AND a.i < b.i AND b.i < a.j AND a.j < b.j GROUP BY a.seq_id",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     return structure.has_pseudoknot(X.fx_crossing(spark, d))
@@ -510,7 +515,152 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return training.adagrad_update(start, grad).withColumn("w", F.round("w", 6))
 
 
-@query("t7_epoch_order")
+#: Features of the stand-in predictions: the tables of FEATS under other names, over the structures of fx_pred.
+_OWN = r"\b(eff|nest|free|kids|loose|loops|lp|br|starts|broken|hel|rows_|feats)\b"
+BOTH = f"""{FEATS},
+fp_folded AS (SELECT f.seq_id, f.seq, t.structure FROM fx_folded f JOIN tpl t ON t.no = (f.seq_id + 1) % 9),
+fp_pairs AS (SELECT seq_id, i, j FROM fx_seq JOIN tpl_pairs ON no = (seq_id + 1) % 9),
+{re.sub(_OWN, r"p_\1", FEATS).replace("fx_folded", "fp_folded").replace("fx_pairs", "fp_pairs")},
+diff AS (SELECT seq_id, feature, sum(g) AS g FROM (SELECT seq_id, feature, cnt AS g FROM p_feats UNION ALL SELECT seq_id, feature, -cnt FROM feats) GROUP BY ALL HAVING sum(g) <> 0)"""
+
+
+def _true_and_predicted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return features.feature_counts(X.fx_folded(spark, d)), features.feature_counts(X.fx_pred(spark, d))
+
+
+def _gradient(spark: SparkSession, d: str) -> DataFrame:
+    true, predicted = _true_and_predicted(spark, d)
+    return training.gradient(predicted, true)
+
+
+@query("t1_gradient", f"{BOTH} SELECT seq_id, count(*) AS n, sum(abs(g))::DOUBLE AS size, sum(g)::DOUBLE AS total FROM diff GROUP BY seq_id")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _gradient(spark, d).groupBy("seq_id").agg(F.count("*").alias("n"), F.sum(F.abs("g")).alias("size"), F.sum("g").alias("total"))
+
+
+@query(
+    "t2_hinge_loss",
+    f"""{BOTH}, w AS (SELECT feature, ((('0x' || substr(md5(feature), 1, 4))::INT % 2048) - 1024) / 1024.0 AS w FROM (SELECT feature FROM feats UNION SELECT feature FROM p_feats)),
+    a AS (SELECT seq_id, sum(cnt * w) AS s FROM p_feats JOIN w USING (feature) GROUP BY seq_id), b AS (SELECT seq_id, sum(cnt * w) AS s FROM feats JOIN w USING (feature) GROUP BY seq_id)
+    SELECT a.seq_id, (a.s - b.s + 8.0 * (SELECT count(*) FROM fx_pairs p WHERE p.seq_id = a.seq_id))::DOUBLE AS loss FROM a JOIN b USING (seq_id)""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The base-pair loss puts 8 for each known pair into its constant."""
+    true, predicted = _true_and_predicted(spark, d)
+    weights = _weights(true.unionByName(predicted))
+    const = candidates.loss_basepair_constant(structure.brackets_to_mapping(X.fx_folded(spark, d)))
+    return training.hinge_loss(features.score_structures(predicted, weights), features.score_structures(true, weights), const)
+
+
+def _weighted(spark: SparkSession, d: str) -> DataFrame:
+    """Each third record is weak: an eighth of its gradient counts, at half the rate."""
+    kinds = X.fx_folded(spark, d).select("seq_id", F.when(F.pmod("seq_id", F.lit(3)) == 0, "unpaired").otherwise("none").alias("label_kind"))
+    return training.apply_record_weights(_gradient(spark, d), kinds, 0.125, 0.5)
+
+
+@query("t3_record_weights", f"{BOTH} SELECT feature, sum(CASE WHEN seq_id % 3 = 0 THEN g / 8 ELSE g END)::DOUBLE AS g, sum(CASE WHEN seq_id % 3 = 0 THEN g / 16 ELSE g END)::DOUBLE AS step FROM diff GROUP BY feature")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _weighted(spark, d).groupBy("feature").agg(F.sum("g").alias("g"), F.sum("step").alias("step"))
+
+
+#: A step along the gradient of all records, and one along that of the even ones, where each third record is weak.
+STEPS = f"""{BOTH}, one AS (SELECT feature, -0.5 * sign(sum(g)) AS w, sum(g) * sum(g) AS q FROM diff GROUP BY feature),
+two AS (SELECT feature, sum(CASE WHEN seq_id % 3 = 0 THEN g / 8 ELSE g END) AS g, sum(CASE WHEN seq_id % 3 = 0 THEN g / 16 ELSE g END) AS step FROM diff WHERE seq_id % 2 = 0 GROUP BY feature),
+after AS (SELECT feature, CASE WHEN coalesce(g, 0) <> 0 THEN w - 0.5 / sqrt(q + g * g) * step ELSE w END AS w, q + coalesce(g, 0) * coalesce(g, 0) AS q FROM one LEFT JOIN two USING (feature))"""
+
+
+def _two_steps(spark: SparkSession, d: str) -> DataFrame:
+    start = spark.createDataFrame([], "feature string, w double, sum_sq double")
+    first = training.adagrad_update(start, _gradient(spark, d))
+    return training.adagrad_update(first, _weighted(spark, d).where("seq_id % 2 = 0"))
+
+
+@query("t4_adagrad_second_step", f"{STEPS} SELECT feature, round(w, 6)::DOUBLE AS w, q::DOUBLE AS sum_sq FROM after")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _two_steps(spark, d).withColumn("w", F.round("w", 6))
+
+
+@query("t5_l1_shrink", f"{STEPS} SELECT feature, round(CASE WHEN q > 0 THEN sign(w) * greatest(abs(w) - 0.5 / sqrt(q) * 4, 0) ELSE w END, 6)::DOUBLE AS w FROM after")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return training.l1_regularize(_two_steps(spark, d), lam=4.0).select("feature", F.round("w", 6).alias("w"))
+
+
+@query("j6_loss_constant", "SELECT seq_id, (count(*) FILTER (partner > pos) * 8.0)::DOUBLE AS const FROM fd_mapping GROUP BY seq_id")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return candidates.loss_basepair_constant(structure.brackets_to_mapping(X.fx_folded(spark, d)))
+
+
+#: The cells (i, j) of a record, with what its ends are known for.
+_CELLS = "SELECT a.seq_id, {0} AS const FROM {1} a JOIN {1} b ON b.seq_id = a.seq_id AND b.pos > a.pos GROUP BY a.seq_id"
+
+
+@query("j7_loss_constant", _CELLS.format("sum(((a.partner > 0 OR a.partner = -2)::INT + (b.partner > 0 OR b.partner = -2)::INT) * 0.5)::DOUBLE", "fd_mapping"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return candidates.loss_position_constant(structure.brackets_to_mapping(X.fx_folded(spark, d)), 1.0)
+
+
+@query("j8_loss_constant", _CELLS.format("sum((a.r_paired + b.r_paired) * 0.5)::DOUBLE", "fx_react"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return candidates.loss_reactivity_constant(X.fx_react(spark, d), 1.0)
+
+
+@query(
+    "q4_decode_weights_mea",
+    f"{POST}, ends AS (SELECT seq_id, i AS pos, p FROM post UNION ALL SELECT seq_id, j, p FROM post), u AS (SELECT b.seq_id, b.pos, 1 - coalesce(sum(p), 0) AS pu FROM fx_bases b LEFT JOIN ends e ON e.seq_id = b.seq_id AND e.pos = b.pos GROUP BY ALL), both_ AS (SELECT seq_id, 0 AS u, p AS w FROM post UNION ALL SELECT seq_id, 1, pu / 8 FROM u) SELECT seq_id, coalesce(sum(w) FILTER (u = 0), 0)::DOUBLE AS sum_pairs, sum(w) FILTER (u = 1)::DOUBLE AS sum_unpaired FROM both_ GROUP BY seq_id",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    post = fx_posterior(spark, d, SPAN)
+    pairs, alone = posterior.decode_weights(post, posterior.unpaired_posterior(post, structure.bases_of(X.fx_seq(spark, d))), 4.0, "mea")
+    rows = pairs.select("seq_id", F.lit(0).alias("u"), "w").unionByName(alone.select("seq_id", F.lit(1).alias("u"), "w"))
+    return rows.groupBy("seq_id").agg(F.coalesce(F.sum(F.when(F.col("u") == 0, F.col("w"))), F.lit(0.0)).alias("sum_pairs"), F.sum(F.when(F.col("u") == 1, F.col("w"))).alias("sum_unpaired"))
+
+
+_FAMILY = "(SELECT sum(w) FROM wts WHERE feature LIKE '{0}_at_least_%' AND regexp_extract(feature, '[0-9]+$')::INT <= {1})"
+
+
+@query(
+    "w2_single_length_table",
+    f"""{FEATS}, {WEIGHTS}, grid AS (SELECT l1, l2 FROM (SELECT unnest(range(0, 41))::INT AS l1) JOIN (SELECT unnest(range(0, 41))::INT AS l2) ON l1 + l2 BETWEEN 1 AND 40)
+    SELECT l1, l2, (CASE WHEN l1 = 0 OR l2 = 0 THEN coalesce({_FAMILY.format('bulge_length', 'l1 + l2')}, 0) ELSE
+      coalesce((SELECT any_value(w) FROM wts WHERE l1 <= 4 AND l2 <= 4 AND feature = 'internal_explicit_' || least(l1, l2) || '_' || greatest(l1, l2)), 0) + coalesce({_FAMILY.format('internal_length', 'l1 + l2')}, 0)
+      + coalesce({_FAMILY.format('internal_asymmetry', 'abs(l1 - l2)')}, 0) + CASE WHEN l1 = l2 THEN coalesce({_FAMILY.format('internal_symmetric_length', 'l1')}, 0) ELSE 0 END END)::DOUBLE AS score FROM grid""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return lengths.single_length_table(_weights(features.feature_counts(X.fx_folded(spark, d))))
+
+
+# ---- files: what a writer left, read again
+
+
+@query("k3_s8_weights", f"{FEATS}, {WEIGHTS} SELECT feature, w::DOUBLE AS w FROM wts WHERE w <> 0")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "weights")
+    writers.write_weights(_weights(features.feature_counts(X.fx_folded(spark, d))), path)
+    return readers.read_weights(spark, path)
+
+
+@query("k4_s9_optimizer", f"{FEATS}, {WEIGHTS} SELECT feature, w::DOUBLE AS w, (w * w)::DOUBLE AS sum_sq FROM wts WHERE w <> 0")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "optimizer")
+    writers.write_optimizer(_weights(features.feature_counts(X.fx_folded(spark, d))).withColumn("sum_sq", F.col("w") * F.col("w")), path, 0.5, 0.001, 0.0)
+    return readers.read_optimizer(spark, path)[0]
+
+
+@query("k5_report", "SELECT 'record ' || seq_id || CASE WHEN structure LIKE '%?%' THEN ' UNKNOWN' ELSE ' OK' END AS line FROM fx_folded")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "report")
+    writers.write_report(loops.validate_structures(X.fx_folded(spark, d)).withColumn("name", F.concat(F.lit("record "), "seq_id")), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@query("k6_feature_counts", f"{FEATS} SELECT feature, sum(cnt)::DOUBLE AS cnt FROM feats GROUP BY feature")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "counts")
+    writers.write_feature_counts(g2(spark, d), path)
+    return readers.read_weights(spark, path).withColumnRenamed("w", "cnt")
+
+
+@query("t7_epoch_order", "SELECT (('0x' || substr(md5(seq_id || ':0:7'), 1, 15))::BIGINT % 16)::INT AS batch, count(*) AS count FROM fx_folded GROUP BY ALL")
 def _(spark: SparkSession, d: str) -> DataFrame:
     records = X.fx_folded(spark, d).withColumn("label_kind", F.lit("none"))
     return training.in_batches(training.epoch_order(records, 0, seed=7), 16).groupBy("batch").count()

@@ -162,6 +162,14 @@ def test_sequential_training_rule(spark):
     assert got["c"] == pytest.approx((shrink(0.5, 0.025), 4.0))
 
 
+def test_weak_records_have_a_rate_of_their_own(spark, tmp_path):
+    records = spark.createDataFrame([(1, "none"), (2, "unpaired")], "seq_id long, label_kind string")
+    g = spark.createDataFrame([(1, "a", 2.0), (2, "b", 4.0)], "seq_id long, feature string, g double")
+    empty = spark.createDataFrame([], "feature string, w double, sum_sq double")
+    got = {x.feature: (x.w, x.sum_sq) for x in training.adagrad_update(empty, training.apply_record_weights(g, records, 0.5, 0.25), 0.5).collect()}
+    assert got == {"a": (-0.5, 4.0), "b": (-0.125, 4.0)}
+
+
 def test_restart(spark):
     done = spark.createDataFrame([(0,), (1,), (2,), (5,)], "step int")
     assert sorted(x.step for x in training.resume_from(done, spark.range(8).select(F.col("id").cast("int").alias("step"))).collect()) == [2, 3, 4, 5, 6, 7]
@@ -204,3 +212,10 @@ def test_files(spark, tmp_path):
     assert readers.read_weights(spark, str(part)).count() == 1
     writers.write_bpseq(records, str(tmp_path / "out"))
     assert next((tmp_path / "out").rglob("part-*")).read_text().split("\n")[:2] == ["1 G 9", "2 G 8"]
+    put("strong.lst", f"{tmp_path}/a.bp {tmp_path}/a.fa\n{tmp_path}/b.bp")
+    put("weak.lst", f"{tmp_path}/w.react\n")
+    put("w.react", "1 G 0.25\n2 A 0.5\n")
+    every, faults = readers.read_corpus(spark, [str(tmp_path / "strong.lst")], [str(tmp_path / "weak.lst")])
+    assert Counter((x.seq_id[-4:], x.label_kind) for x in every.collect()) == {("a.bp", "none"): 3, ("a.fa", "none"): 9, ("eact", "unpaired"): 2}
+    assert [(x.partner, x.r_unpaired) for x in every.where("label_kind = 'unpaired'").orderBy("pos").collect()] == [(-1, 0.25), (-1, 0.5)]
+    assert [x.path[-4:] for x in faults.collect()] == ["b.bp"] and readers.read_corpus(spark, [])[0].isEmpty()

@@ -102,9 +102,9 @@ def near(df: DataFrame, most: int = BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def beside(rows: DataFrame, told: DataFrame, key: str, most: int = 20_000, salts: int = 64) -> DataFrame:
-    """rows joined with told(key, ..), one row a key: broadcast if counted to be small, else with both salted, as a key may have a third of the rows."""
-    if told.count() <= most:
+def beside(rows: DataFrame, told: DataFrame, key: str, most: int = 20_000, salts: int = 64, known: int | None = None) -> DataFrame:
+    """rows joined with told(key, ..), a bounded number of rows a key: broadcast if counted (or known) to have few keys, else with both salted, as a key may have a third of the rows."""
+    if (told.count() if known is None else known) <= most:
         return rows.join(F.broadcast(told), key)
     told = told.withColumn("salt_", F.explode(F.array(*map(F.lit, range(salts)))))
     return rows.withColumn("salt_", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).join(told, [key, "salt_"]).drop("salt_")

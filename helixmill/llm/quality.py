@@ -15,6 +15,7 @@ tanh-transformed values, with that of spatial signs; means with the plain covari
 A concentration step takes exactly the h vectors with the least distances, ties ordered by value, and
 their mean and covariance; no step raises the determinant. After two steps the two
 best starts of each group go on until no determinant falls by a millionth, and the least one is taken.
+A step is one job; how many groups there are and how large they get is counted once, before the first.
 
 All of it runs on distinct vectors with their counts. The h-th distance is located by histograms,
 narrowed until few vectors are left around it, so no group is ever gathered or sorted whole, and
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations_with_replacement
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -52,6 +54,8 @@ CUT = 50.0
 CHI2_MEDIAN = 4.351
 #: Vectors around the h-th distance that one task may sort.
 SORTED = 200_000
+#: Groups whose estimates (five rows of about 200 bytes each) are broadcast, and inverted in one task.
+FEW = 20_000
 ALL = "all"
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 _SPACE = "\t\n\v\f\r "
@@ -118,18 +122,35 @@ def vectors_of(rows: DataFrame) -> DataFrame:
     return every.groupBy("grp", *AXES).agg(F.count("*").alias("n"))
 
 
-def distance(of: str = "") -> Column:
-    """Squared Mahalanobis distance from columns m0.. and the inverse's p00.. of a joined estimate, or those in the struct `of`."""
-    at = f"{of}." if of else ""
-    diff = [F.col(a) - F.col(f"{at}m{i}") for i, a in enumerate(AXES)]
-    terms = [diff[i] * diff[j] * F.col(f"{at}p{i}{j}") * (1 if i == j else 2) for i, j in PAIRS]
+class Sizes(NamedTuple):
+    """How many groups there are, the distinct vectors of the largest, and how many of them one task may sort."""
+
+    groups: int
+    largest: int
+    most: int
+
+    @property
+    def few(self) -> bool:
+        return self.groups <= FEW
+
+
+def sizes_of(used: DataFrame, most: int = SORTED) -> Sizes:
+    """Sizes of used(grp, x0.., n)."""
+    groups, largest = used.groupBy("grp").count().agg(F.count("*"), F.max("count")).first()
+    return Sizes(groups, largest or 0, most)
+
+
+def distance() -> Column:
+    """Squared Mahalanobis distance from columns m0.. and the inverse's p00.. of a joined estimate."""
+    diff = [F.col(a) - F.col(f"m{i}") for i, a in enumerate(AXES)]
+    terms = [diff[i] * diff[j] * F.col(f"p{i}{j}") * (1 if i == j else 2) for i, j in PAIRS]
     total = terms[0]
     for t in terms[1:]:
         total = total + t
     return total
 
 
-ESTIMATE = "grp string, start int, h long, logdet double, " + ", ".join(f"m{i} double" for i in range(len(AXES))) + ", " + ", ".join(f"p{i}{j} double" for i, j in PAIRS)
+ESTIMATE = "grp string, start int, h long, before double, logdet double, " + ", ".join(f"m{i} double" for i in range(len(AXES))) + ", " + ", ".join(f"p{i}{j} double" for i, j in PAIRS)
 ONE = ["start", "h", "logdet", *[f"m{i}" for i in range(len(AXES))], *[f"p{i}{j}" for i, j in PAIRS]]
 
 
@@ -143,10 +164,15 @@ def _inverse(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cov += np.diag(np.square(SPREAD))
         inv = np.linalg.inv(cov) if len(pdf) else cov
         logdet = np.linalg.slogdet(cov)[1] if len(pdf) else np.zeros(0)
-        out = {c: pdf[c] for c in ("grp", "start", "h")} | {"logdet": logdet} | {f"m{i}": pdf[f"m{i}"] for i in range(k)} | {f"p{i}{j}": inv[:, i, j] for i, j in PAIRS}
+        out = {c: pdf[c] for c in ("grp", "start", "h", "before")} | {"logdet": logdet} | {f"m{i}": pdf[f"m{i}"] for i in range(k)} | {f"p{i}{j}": inv[:, i, j] for i, j in PAIRS}
         yield pd.DataFrame(out)
 
 
+def inverted(moments: DataFrame, sizes: Sizes) -> DataFrame:
+    """ESTIMATE from means and covariances. Few rows need one Python worker, and leave one file."""
+    return (moments.repartition(1) if sizes.few else moments).mapInPandas(_inverse, ESTIMATE)
+
+
 def _sums(weight: Column) -> list[Column]:
     return [F.sum(weight).alias("w")] + [F.sum(weight * F.col(a)).alias(f"t{i}") for i, a in enumerate(AXES)] + [F.sum(weight * F.col(AXES[i]) * F.col(AXES[j])).alias(f"q{i}{j}") for i, j in PAIRS]
 
@@ -154,10 +180,10 @@ def _sums(weight: Column) -> list[Column]:
 def _moments(sums: DataFrame) -> DataFrame:
     """Means m0.. and covariances s00.. from sums w, t0.., q00.. (divided by w)."""
     mean = [F.col(f"t{i}") / F.col("w") for i in range(len(AXES))]
-    return sums.select("grp", "start", "h", *[m.alias(f"m{i}") for i, m in enumerate(mean)], *[(F.col(f"q{i}{j}") / F.col("w") - mean[i] * mean[j]).alias(f"s{i}{j}") for i, j in PAIRS])
+    return sums.select("grp", "start", "h", "before", *[m.alias(f"m{i}") for i, m in enumerate(mean)], *[(F.col(f"q{i}{j}") / F.col("w") - mean[i] * mean[j]).alias(f"s{i}{j}") for i, j in PAIRS])
 
 
-def starts(used: DataFrame) -> DataFrame:
+def starts(used: DataFrame, sizes: Sizes) -> DataFrame:
     """The first estimates of each group of used(grp, x0.., n), as ESTIMATE."""
     k = range(len(AXES))
 
@@ -169,10 +195,10 @@ def starts(used: DataFrame) -> DataFrame:
         return told.where("2 * upto >= all").groupBy("grp").agg(*[(F.min(F.when(F.col("axis") == i, F.col("bin"))) / 1024.0).alias(f"v{i}") for i in k])
 
     centre = medians(used.select("grp", "n", F.posexplode(F.array(*AXES)).alias("axis", "v"))).select("grp", *[F.col(f"v{i}").alias(f"c{i}") for i in k])
-    around = beside(used, centre, "grp")
+    around = beside(used, centre, "grp", known=sizes.groups)
     spread = medians(around.select("grp", "n", F.posexplode(F.array(*[F.abs(F.col(a) - F.col(f"c{i}")) for i, a in enumerate(AXES)])).alias("axis", "v")))
     spread = spread.select("grp", *[F.greatest(1.4826 * F.col(f"v{i}"), F.lit(SPREAD[i])).alias(f"d{i}") for i in k])
-    rows = beside(around, spread, "grp")
+    rows = beside(around, spread, "grp", known=sizes.groups)
     z = [(F.col(a) - F.col(f"c{i}")) / F.col(f"d{i}") for i, a in enumerate(AXES)]
     norm = F.greatest(F.sqrt(sum((x * x for x in z[1:]), z[0] * z[0])), F.lit(1e-9))
     n, total = F.col("n"), F.sum("n")
@@ -190,26 +216,32 @@ def starts(used: DataFrame) -> DataFrame:
         {(i, j): F.col(f"q{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}") for i, j in PAIRS},
     ]
     h = F.ceil(F.col("all") * KEEP).cast("long").alias("h")
-    each = [F.struct(F.lit(s).alias("start"), h, *[F.col(f"{'a' if s == 4 else 'c'}{i}").alias(f"m{i}") for i in k], *[c[i, j].alias(f"s{i}{j}") for i, j in PAIRS]) for s, c in enumerate(covs)]
-    return one.select("grp", F.explode(F.array(*each)).alias("e")).select("grp", "e.*").mapInPandas(_inverse, ESTIMATE)
+    each = [F.struct(F.lit(s).alias("start"), h, F.lit(float("inf")).alias("before"), *[F.col(f"{'a' if s == 4 else 'c'}{i}").alias(f"m{i}") for i in k], *[c[i, j].alias(f"s{i}{j}") for i, j in PAIRS]) for s, c in enumerate(covs)]
+    return inverted(one.select("grp", F.explode(F.array(*each)).alias("e")).select("grp", "e.*"), sizes)
+
 
+def measured(used: DataFrame, estimate: DataFrame, sizes: Sizes) -> DataFrame:
+    """used with start, h, the determinant before and the distance d under each of its group's estimates."""
+    rows = beside(used, estimate, "grp", known=sizes.groups)
+    return rows.select("grp", "start", "h", F.col("logdet").alias("before"), *AXES, "n", distance().alias("d"))
 
-def measured(used: DataFrame, estimate: DataFrame) -> DataFrame:
-    """used with start, h and the distance d under each of its group's estimates."""
-    per = estimate.groupBy("grp").agg(F.collect_list(F.struct(*ONE)).alias("all_"))  # as many as there are starts
-    rows = beside(used, per, "grp").select("grp", *AXES, "n", F.explode("all_").alias("e"))
-    return rows.select("grp", F.col("e.start").alias("start"), F.col("e.h").alias("h"), *AXES, "n", distance("e").alias("d"))
 
+def cut_at(rows: DataFrame, tables: Tables, sizes: Sizes) -> DataFrame:
+    """grp, start, lo, hi, need: of rows(grp, start, h, d, n), the h nearest are those under lo and `need` of those from lo to hi.
 
-def cut_at(rows: DataFrame, tables: Tables, most: int = SORTED) -> DataFrame:
-    """grp, start, lo, hi, need: of rows(grp, start, h, d, n), the h nearest are those under lo and `need` of those from lo to hi."""
+    Where even the largest group could be sorted in one task, no bin of it needs narrowing.
+    """
     order = Window.partitionBy("grp", "start").orderBy("bin")
     binned = rows.withColumn("bin", F.floor(F.log2(F.col("d") + F.lit(1e-9)) * 64))
     counts = binned.groupBy("grp", "start", "h", "bin").agg(F.sum("n").alias("m"), F.count("*").alias("vectors"), F.min("d").alias("lo"), F.max("d").alias("hi"))
     counts = counts.withColumn("need", F.col("h") - F.sum("m").over(order) + F.col("m"))
-    found = tables.put("cut", counts.where("need > 0 AND need <= m").select("grp", "start", "need", "lo", "hi", "vectors"))
-    while (found.agg(F.max(F.when(F.col("lo") < F.col("hi"), F.col("vectors")))).first()[0] or 0) > most:
-        inner = rows.join(F.broadcast(found.select("grp", "start", "need", "lo", "hi")), ["grp", "start"]).where("d >= lo AND d <= hi")
+    found = counts.where("need > 0 AND need <= m").select("grp", "start", "need", "lo", "hi", "vectors")
+    if sizes.largest <= sizes.most:
+        return found
+    found = tables.put("cut", found)
+    while (found.agg(F.max(F.when(F.col("lo") < F.col("hi"), F.col("vectors")))).first()[0] or 0) > sizes.most:
+        told = found.select("grp", "start", "need", "lo", "hi")
+        inner = rows.drop("h").join(F.broadcast(told) if sizes.few else told, ["grp", "start"]).where("d >= lo AND d <= hi")
         inner = inner.withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.floor((F.col("d") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 1024)).otherwise(F.lit(0)))
         counts = inner.groupBy("grp", "start", F.col("need").alias("h"), "bin").agg(F.sum("n").alias("m"), F.count("*").alias("vectors"), F.min("d").alias("lo"), F.max("d").alias("hi"))
         counts = counts.withColumn("need", F.col("h") - F.sum("m").over(order) + F.col("m"))
@@ -217,42 +249,44 @@ def cut_at(rows: DataFrame, tables: Tables, most: int = SORTED) -> DataFrame:
     return found
 
 
-def taken(rows: DataFrame, cut: DataFrame) -> DataFrame:
+def taken(rows: DataFrame, cut: DataFrame, sizes: Sizes) -> DataFrame:
     """rows with the count w of each vector that is among the h nearest; ties are ordered by value."""
     told = cut.select(F.col("grp").alias("g_"), F.col("start").alias("s_"), "need", "lo", "hi")
-    near = F.broadcast(told) if told.count() <= 100_000 else told
+    near = F.broadcast(told) if sizes.few else told
     near = rows.join(near, (F.col("grp") == F.col("g_")) & (F.col("start") == F.col("s_")) & (F.col("d") <= F.col("hi"))).drop("g_", "s_")
     order = Window.partitionBy("grp", "start").orderBy("d", *AXES)
     rest = near.where("d >= lo").withColumn("w", F.least("n", F.greatest(F.lit(0), F.col("need") - F.sum("n").over(order) + F.col("n"))))
     return near.where("d < lo").withColumn("w", F.col("n")).unionByName(rest)
 
 
-def concentrated(used: DataFrame, estimate: DataFrame, tables: Tables) -> DataFrame:
-    """One concentration step of each estimate."""
-    rows = measured(used, estimate)
-    sums = taken(rows, cut_at(rows, tables)).groupBy("grp", "start", "h").agg(*_sums(F.col("w")))
-    return _moments(sums).mapInPandas(_inverse, ESTIMATE)
+def concentrated(used: DataFrame, estimate: DataFrame, tables: Tables, sizes: Sizes) -> DataFrame:
+    """One concentration step of each estimate; `before` is the determinant that it had."""
+    rows = measured(used, estimate, sizes)
+    sums = taken(rows, cut_at(rows, tables, sizes), sizes).groupBy("grp", "start", "h", "before").agg(*_sums(F.col("w")))
+    return inverted(_moments(sums), sizes)
 
 
-def mcd(rows: DataFrame, tables: Tables | None = None) -> DataFrame:
+def mcd(rows: DataFrame, tables: Tables | None = None, most: int = SORTED) -> DataFrame:
     """grp, centre m0.., inverse p00.., logdet and scale: the least-determinant estimate of each group of rows(grp, x0..), and of all rows."""
     tables = tables or Tables(rows.sparkSession)
     used = tables.put("distinct", vectors_of(rows))
-    estimate = tables.put("starts", starts(used))
+    sizes = sizes_of(used, most)
+    estimate = tables.put("starts", starts(used, sizes))
     for step in range(STEPS):
-        new = tables.put("step" if step % 2 else "steps", concentrated(used, estimate, tables))
+        new = tables.put("step" if step % 2 else "steps", concentrated(used, estimate, tables, sizes))
+        fell = step + 1 <= FIRST or not new.where("logdet < before - 1e-6").isEmpty()
         if step + 1 == FIRST:
             rank = Window.partitionBy("grp").orderBy("logdet", "start")
             new = tables.put("best", new.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= BEST).drop("rank"))
-        fell = step + 1 <= FIRST or not estimate.alias("a").join(new.alias("b"), ["grp", "start"]).where("b.logdet < a.logdet - 1e-6").isEmpty()
         estimate = new
         if not fell:
             break
     least = estimate.groupBy("grp").agg(F.min_by(F.struct(*ONE), F.struct("logdet", "start")).alias("e")).select("grp", "e.*")
-    least = tables.put("least", least)
+    least = tables.put("least", least.repartition(1) if sizes.few else least)
     # The covariance of the near vectors is too small: scale it so that the median distance is that of a normal vector.
-    half = measured(used, least.drop("h").join(used.groupBy("grp").agg(F.ceil(F.sum("n") / 2).alias("h")), "grp").select(*least.columns))
-    middle = taken(half, cut_at(half, tables)).where("w > 0").groupBy("grp").agg(F.max("d").alias("d"))
+    middle = used.groupBy("grp").agg(F.ceil(F.sum("n") / 2).alias("h"))
+    half = measured(used, least.drop("h").join(middle, "grp"), sizes)
+    middle = taken(half, cut_at(half, tables, sizes), sizes).where("w > 0").groupBy("grp").agg(F.max("d").alias("d"))
     return tables.put("mcd", least.join(middle, "grp").withColumn("scale", F.greatest(F.col("d") / CHI2_MEDIAN, F.lit(1.0))).drop("d", "h", "start"))
 
 

@@ -219,6 +219,17 @@ def test_ring_sharding(docs, nothing):
     assert sharding.ring_shards(sized.where("false"), "doc_id", ["size"], 7).count() == 0
 
 
+def test_op2_shard_rows(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sharding.op2_shard(spark, str(tmp_path)).collect()
+    told = lambda t: (len((t or "").encode()) + 16, zlib.crc32((t or "").encode()))
+    assert Counter((x.doc_id, x["size"], x.text_crc32) for x in rows) == Counter((d, *told(t)) for d, t, *_ in corpus())
+    assert {(x.law, x.grown_shard) for x in rows} == {("rows", None)}
+    loads = Counter(x.shard for x in rows)
+    assert set(loads) <= set(range(40)) and max(loads.values()) - min(loads[k] for k in range(40)) <= 1
+    assert Counter((x.shard, x.slot) for x in rows) == Counter((k, i) for k, n in loads.items() for i in range(n))
+
+
 def test_ring_moves_little(spark):
     keys = spark.range(20000).select(F.col("id").alias("doc_id"))
     a = {x.doc_id: x.shard for x in sharding.ring_shards(keys, "doc_id", [], 20).collect()}

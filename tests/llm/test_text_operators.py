@@ -429,6 +429,20 @@ def test_pages_go_on_behind_custom_and_unclosed_elements():
     assert said("<p>one</p><script>var a = '<p>two</p>'") == ["one"]
 
 
+def test_op7_pages(spark, tmp_path):
+    """Articles whole and in order, references decoded; null, empty and repeated pages; further columns; an empty table."""
+    lines = ["A first line of the article, with &amp; in it and\n  white   space.", "Another line says more about it, and then some more words.", "The last line of it ends here, as all things do in time."]
+    want = "\n".join(" ".join(x.replace("&amp;", "&").split()) for x in lines)
+    html = "<html><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/b'>News</a></li></ul></nav><article>" + "".join(f"<p>{x}</p>" for x in lines) + "</article><footer><p>Imprint</p></footer><script>var a = 1</script></body></html>"
+    rows = [(1, "u", html), (1, "u", html), (2, None, None), (3, "v", ""), (None, "w", html.replace("<p>", "<p class='x'>"))]
+    pages = spark.createDataFrame([(*x, "other", 5) for x in rows], "page_id long, url string, html string, text string, n_chars long")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = Counter(tuple(x) for x in html_text.op7_main_text(spark, str(tmp_path)).select("page_id", "url", "text", "n_chars").collect())
+    assert got == Counter((p, u, want if h else "", len(want) if h else 0) for p, u, h in rows)
+    pages.where("false").write.parquet(f"{tmp_path}/none/pages.parquet")
+    assert html_text.op7_main_text(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_decontamination(spark):
     r = random.Random(9)
     say = lambda n: [f"w{r.randint(0, 5000)}" for _ in range(n)]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, html_text, jaccard, licenses, packing, pii, quality, sharding, suffix_dedup
+from . import chat, decontam, fim, html_text, jaccard, licenses, packing, pii, quality, sharding, suffix_dedup, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pack": packing.op8_pack,
         "op9_chat_format": chat.op9_chat_format,
         "op10_decontaminate": decontam.op10_decontaminate,
+        "op11_fill_in_middle": fim.op11_fill_in_middle,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_format": chat.OP9_SQL, "op10_decontaminate": decontam.OP10_SQL}
+    return {"op9_chat_format": chat.OP9_SQL, "op10_decontaminate": decontam.OP10_SQL, "op11_fill_in_middle": fim.OP11_SQL}

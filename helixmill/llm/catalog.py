@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, fim, html_text, jaccard, licenses, packing, pii, quality, sharding, suffix_dedup, whitening
+from . import chat, decontam, fim, html_text, jaccard, licenses, packing, pii, quality, sharding, suffix_dedup, toxicity, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_chat_format": chat.op9_chat_format,
         "op10_decontaminate": decontam.op10_decontaminate,
         "op11_fill_in_middle": fim.op11_fill_in_middle,
+        "op12_toxicity": toxicity.op12_toxicity,
         "op13_whitening": whitening.op13_whitening,
     }
 

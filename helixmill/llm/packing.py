@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, table, written
+from .common import Tables, chunks, table, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -75,11 +75,12 @@ class ChunkIds:
         for chunk in new:
             bare = chunk.rstrip(MARKS)
             core, mark = bare.decode(), chunk[len(bare) :]
-            if not core[-1:].isalpha():
+            plain = core.isalpha() and (core.isascii() or (max(core) < "\u0250" and "\u0130" not in core and is_normalized("NFC", core)))
+            if not plain:
+                # Other letters may change when lower-cased, or end in a combining mark, which takes the marks behind it: whole.
                 core, mark = chunk.decode(), b""
             elif mark and mark not in self.ids:
                 rest.add(mark)
-            plain = core.isalpha() and (core.isascii() or (max(core) < "\u0250" and "\u0130" not in core and is_normalized("NFC", core)))
             if plain:
                 core = core.lower()
             key = core.encode()
@@ -202,29 +203,29 @@ def _packer(capacity: int, turn: int, final: bool) -> Callable[[tuple, pd.DataFr
         if not final:
             # Bins over the bound, and those that the bound's rounding up alone allows: the emptiest ones.
             gap = len(fill) - lower_bound(lengths, capacity)
-            back[np.argsort(fill, kind="stable")[: 8 * (gap + 1)]] = True
+            emptiest = np.argsort(fill, kind="stable")[: 8 * (gap + 1)]
+            # At most half of the pieces, so that the rounds come to an end.
+            back[emptiest[np.cumsum(np.bincount(bins, minlength=len(fill))[emptiest]) <= len(lengths) // 2]] = True
             back &= fill < capacity
         return rows.drop(columns="dealt").assign(sequence_id=(((turn << 24) | int(key[0])) << 32) + bins, offset=offsets, back=back[bins])
 
     return packed
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, part: int = PART, rounds: int = 8) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, part: int = PART) -> DataFrame:
     """items(doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
     out = items.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", sequence_id long, offset long, back boolean"
     done: list[DataFrame] = []
-    n = items.count()
-    for turn in range(rounds):
+    n, turn = items.count(), -1
+    while n or turn < 0:
+        turn += 1
         parts = max(1, -(-n // part))
-        final = parts == 1 or turn == rounds - 1
-
+        final = parts == 1
         dealt = items.withColumn("dealt", F.pmod(F.xxhash64(F.lit(turn), "doc_id", "piece", "ids_crc32"), F.lit(parts)))
         now = written(dealt.groupBy("dealt").applyInPandas(_packer(capacity, turn, final), out), "packed")
         done.append(now.where("NOT back").drop("back"))
         items = now.where("back").drop("back", "sequence_id", "offset")
         n = 0 if final else items.count()
-        if n == 0:
-            break
     all_ = done[0]
     for more in done[1:]:
         all_ = all_.unionByName(more)
@@ -237,5 +238,7 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
-    out = pack(written(pieces(docs), "pieces"))
+    tables = Tables(docs.sparkSession)
+    out = pack(tables.put("pieces", pieces(docs)))
+    tables.drop("pieces")  # the packed tables hold them all
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

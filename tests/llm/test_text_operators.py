@@ -262,6 +262,19 @@ def test_packing(docs, nothing):
     assert packing.packed_documents(nothing).count() == 0
 
 
+def test_token_ids_of_random_strings():
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    of = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    r, ids = random.Random(7), packing.ChunkIds("word_bpe_49k.json")
+    letters = [*"abIiZß.,;:!?%#$*&|()\"/-'0 9_@", *"İéÉǅŉΣς漢ſﬁÅ…’əñÑœёй", "\u0307", "\u0301", "\u0345", "\u0306", "\u212b"]
+    texts = ["BİLGİ,", "İ.", "a\u0307,"] + ["".join(r.choice(letters) for _ in range(r.randint(1, 9))) for _ in range(30_000)]
+    want = of.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(g, "<u4").tolist() for g in ids.of([t.encode() for t in texts])] == [w.ids for w in want]
+
+
 def test_packing_exchanges_between_partitions(spark):
     r = np.random.default_rng(6)
     items = [(i, 0, 0, int(n), 0) for i, n in enumerate(r.integers(1, 61, 3000))]

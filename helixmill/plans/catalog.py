@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..operators import alignment, candidates, features, lengths, loops, posterior, structure, training
+from ..operators import alignment, candidates, expansion, features, lengths, loops, posterior, structure, training
 from ..sources import readers, writers
 from ..sources.shared import shared_path
 from . import fixtures as X
@@ -34,15 +34,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-def spanned(name: str, sql: str) -> Callable[[Callable], Callable]:
-    """Registers f(spark, d, span) under a span of SPAN, and as name_whole without one."""
-
-    def keep(f: Callable) -> Callable:
-        query(name, sql)(lambda spark, d: f(spark, d, SPAN))
-        query(f"{name}_whole", sql.replace(BOUND, ""))(lambda spark, d: f(spark, d, -1))
-        return f
-
-    return keep
+def whole(name: str, sql: str) -> Callable[[Query], Query]:
+    """A job over all candidates of a record, without a span."""
+    return query(f"{name}_whole", sql)
 
 
 def per_record(rows: DataFrame, *extra: Column) -> DataFrame:
@@ -52,10 +46,8 @@ def per_record(rows: DataFrame, *extra: Column) -> DataFrame:
 
 PER_RECORD = "seq_id, count(*) AS n, sum(i)::BIGINT AS sum_i, sum(i * j)::BIGINT AS sum_ij"
 SPAN = 30
-#: What keeps the candidates of CAND within SPAN.
-BOUND = f" AND b.pos <= a.pos + {SPAN}"
 _COMP = "('AU','UA','CG','GC','GU','UG')"
-CAND = f"cand AS (SELECT a.seq_id, a.pos AS i, b.pos AS j FROM fx_bases a JOIN fx_bases b ON a.seq_id = b.seq_id AND b.pos > a.pos AND b.pos <= a.pos + {SPAN} WHERE a.base || b.base IN {_COMP})"
+CAND = f"cand AS (SELECT a.seq_id, a.pos AS i, b.pos AS j FROM fx_bases a JOIN fx_bases b ON a.seq_id = b.seq_id AND b.pos > a.pos WHERE a.base || b.base IN {_COMP})"
 
 # ---- expressions
 
@@ -148,9 +140,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 # ---- candidates
 
 
-@spanned("j1_candidate_pairs", f", {CAND} SELECT {PER_RECORD} FROM cand GROUP BY seq_id".lstrip(","))
-def _(spark: SparkSession, d: str, span: int) -> DataFrame:
-    return per_record(candidates.candidate_pairs(X.fx_seq(spark, d), span))
+@query("j1_candidate_pairs", f"{CAND} SELECT {PER_RECORD} FROM cand WHERE j <= i + {SPAN} GROUP BY seq_id")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The span is the feature here; the job without one is j1_candidate_pairs_whole."""
+    return per_record(candidates.candidate_pairs(X.fx_seq(spark, d), SPAN))
+
+
+@whole("j1_candidate_pairs", f"{CAND} SELECT {PER_RECORD} FROM cand GROUP BY seq_id")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return per_record(candidates.candidate_pairs(X.fx_seq(spark, d)))
 
 
 @query(
@@ -171,49 +169,49 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return per_record(candidates.constrain_pairs(candidates.candidate_pairs(r), structure.brackets_to_mapping(r)))
 
 
-@spanned(
+@whole(
     "j4_unpaired_ranges",
     f", {CAND} SELECT c.seq_id, count(*) AS n, sum(c.i)::BIGINT AS sum_i, sum(c.i * c.j)::BIGINT AS sum_ij FROM cand c WHERE c.j - c.i > 3 AND NOT EXISTS (SELECT 1 FROM fx_pairs p WHERE p.seq_id = c.seq_id AND ((p.i > c.i AND p.i < c.j) OR (p.j > c.i AND p.j < c.j))) GROUP BY c.seq_id".lstrip(","),
 )
-def _(spark: SparkSession, d: str, span: int) -> DataFrame:
+def _(spark: SparkSession, d: str) -> DataFrame:
     r = X.fx_noncanon(spark, d)
     allow = structure.brackets_to_mapping(r).select("seq_id", "pos", (F.col("partner") <= 0).alias("allowed"))
-    return per_record(candidates.free_inside(candidates.candidate_pairs(r, span).where("j - i > 3"), candidates.unpaired_ranges(allow)))
+    return per_record(candidates.free_inside(candidates.candidate_pairs(r).where("j - i > 3"), candidates.unpaired_ranges(allow)))
 
 
-@spanned(
+@whole(
     "j5_soft_bonus",
     f", {CAND} SELECT c.seq_id, round(sum(ln((a.r_paired + 0.01) / (1 - a.r_paired + 0.01)) + ln((b.r_paired + 0.01) / (1 - b.r_paired + 0.01))), 6) AS bonus FROM cand c JOIN fx_react a ON a.seq_id = c.seq_id AND a.pos = c.i JOIN fx_react b ON b.seq_id = c.seq_id AND b.pos = c.j GROUP BY c.seq_id".lstrip(","),
 )
-def _(spark: SparkSession, d: str, span: int) -> DataFrame:
-    bonus = candidates.soft_bonus(candidates.candidate_pairs(X.fx_seq(spark, d), span), X.fx_react(spark, d))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    bonus = candidates.soft_bonus(candidates.candidate_pairs(X.fx_seq(spark, d)), X.fx_react(spark, d))
     return bonus.groupBy("seq_id").agg(F.round(F.sum("bonus"), 6).alias("bonus"))
 
 
-@spanned(
+@whole(
     "j6_loss_basepair",
     f", {CAND} SELECT c.seq_id, sum(CASE WHEN x.partner = c.j THEN -8.0 WHEN (x.partner >= 0 AND x.partner <> c.j) OR (y.partner >= 0 AND y.partner <> c.i) THEN 1.0 ELSE 0.0 END)::DOUBLE AS penalty FROM cand c JOIN fd_mapping x ON x.seq_id = c.seq_id AND x.pos = c.i JOIN fd_mapping y ON y.seq_id = c.seq_id AND y.pos = c.j GROUP BY c.seq_id".lstrip(","),
 )
-def _(spark: SparkSession, d: str, span: int) -> DataFrame:
+def _(spark: SparkSession, d: str) -> DataFrame:
     r = X.fx_noncanon(spark, d)
-    return candidates.loss_basepair(candidates.candidate_pairs(r, span), structure.brackets_to_mapping(r)).groupBy("seq_id").agg(F.sum("penalty").alias("penalty"))
+    return candidates.loss_basepair(candidates.candidate_pairs(r), structure.brackets_to_mapping(r)).groupBy("seq_id").agg(F.sum("penalty").alias("penalty"))
 
 
-@spanned(
+@whole(
     "j7_loss_position",
     f", {CAND}, ends AS (SELECT seq_id, i AS pos FROM cand UNION ALL SELECT seq_id, j FROM cand) SELECT e.seq_id, sum(CASE WHEN m.partner > 0 OR m.partner = -2 THEN -0.5 WHEN m.partner = 0 THEN 0.25 ELSE 0 END)::DOUBLE AS penalty FROM ends e JOIN fd_mapping m USING (seq_id, pos) GROUP BY e.seq_id".lstrip(","),
 )
-def _(spark: SparkSession, d: str, span: int) -> DataFrame:
+def _(spark: SparkSession, d: str) -> DataFrame:
     r = X.fx_noncanon(spark, d)
-    return candidates.loss_position(candidates.candidate_pairs(r, span), structure.brackets_to_mapping(r), 1.0, 0.5).groupBy("seq_id").agg(F.sum("penalty").alias("penalty"))
+    return candidates.loss_position(candidates.candidate_pairs(r), structure.brackets_to_mapping(r), 1.0, 0.5).groupBy("seq_id").agg(F.sum("penalty").alias("penalty"))
 
 
-@spanned(
+@whole(
     "j8_loss_reactivity",
     f", {CAND} SELECT c.seq_id, sum((a.r_paired + b.r_paired) * -0.5 + (2 - a.r_paired - b.r_paired) * 0.25)::DOUBLE AS penalty FROM cand c JOIN fx_react a ON a.seq_id = c.seq_id AND a.pos = c.i JOIN fx_react b ON b.seq_id = c.seq_id AND b.pos = c.j GROUP BY c.seq_id".lstrip(","),
 )
-def _(spark: SparkSession, d: str, span: int) -> DataFrame:
-    loss = candidates.loss_reactivity(candidates.candidate_pairs(X.fx_seq(spark, d), span), X.fx_react(spark, d), 1.0, 0.5)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    loss = candidates.loss_reactivity(candidates.candidate_pairs(X.fx_seq(spark, d)), X.fx_react(spark, d), 1.0, 0.5)
     return loss.groupBy("seq_id").agg(F.sum("penalty").alias("penalty"))
 
 
@@ -223,10 +221,10 @@ _KNOWN = "known AS (SELECT seq_id, count(*) FILTER (partner > 0 OR partner = -2)
 _CODED = "coded AS (SELECT seq_id, pos, CASE WHEN r_unpaired >= 0.75 THEN 0 WHEN 1 - r_paired >= 0.5 THEN -2 ELSE -1 END AS partner FROM fx_react)"
 
 
-@spanned("j9_loss_mapping", f"{CAND}, coded AS (SELECT * FROM fd_mapping), {_KNOWN} {_J9}")
-def _(spark: SparkSession, d: str, span: int) -> DataFrame:
+@whole("j9_loss_mapping", f"{CAND}, coded AS (SELECT * FROM fd_mapping), {_KNOWN} {_J9}")
+def _(spark: SparkSession, d: str) -> DataFrame:
     r = X.fx_noncanon(spark, d)
-    loss = candidates.loss_mapping(candidates.candidate_pairs(r, span), structure.brackets_to_mapping(r), 4.0)
+    loss = candidates.loss_mapping(candidates.candidate_pairs(r), structure.brackets_to_mapping(r), 4.0)
     return loss.groupBy("seq_id").agg(F.round(F.sum("penalty"), 6).alias("penalty"))
 
 
@@ -234,7 +232,7 @@ def _(spark: SparkSession, d: str, span: int) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Positions known from reactivity: unpaired (0), paired with an unknown partner (-2) or unknown (-1)."""
     known = structure.discretize_reactivity(X.fx_react(spark, d), 0.75, 0.5)
-    loss = candidates.loss_mapping(candidates.candidate_pairs(X.fx_seq(spark, d), SPAN), known, 4.0)
+    loss = candidates.loss_mapping(candidates.candidate_pairs(X.fx_seq(spark, d)), known, 4.0)
     return loss.groupBy("seq_id").agg(F.round(F.sum("penalty"), 6).alias("penalty"))
 
 
@@ -248,42 +246,20 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return cost.groupBy("seq_id").agg(F.round(F.sum("upto"), 6).alias("upto"))
 
 
-@query("j10_hairpin_candidates", f", {CAND} SELECT seq_id, count(*) AS n, sum(j - i - 1)::BIGINT AS sum_n FROM cand WHERE j - i > 3 GROUP BY seq_id".lstrip(","))
-def _(spark: SparkSession, d: str) -> DataFrame:
-    out = candidates.hairpin_candidates(candidates.candidate_pairs(X.fx_seq(spark, d), SPAN))
-    return out.groupBy("seq_id").agg(F.count("*").alias("n"), F.sum("n").alias("sum_n"))
-
-
-@query(
-    "j11_single_loops",
-    f", {CAND.replace(f'+ {SPAN}', '+ 14')} SELECT o.seq_id, count(*) AS n, sum(n.i - o.i - 1)::BIGINT AS sum_l1, sum(o.j - n.j - 1)::BIGINT AS sum_l2 FROM cand o JOIN cand n ON n.seq_id = o.seq_id AND n.i > o.i AND n.j < o.j WHERE (n.i - o.i - 1) + (o.j - n.j - 1) BETWEEN 1 AND 40 GROUP BY o.seq_id".lstrip(","),
-)
-def _(spark: SparkSession, d: str) -> DataFrame:
-    met = candidates.single_loop_candidates(candidates.candidate_pairs(X.fx_seq(spark, d), 14))
-    return met.groupBy("seq_id").agg(F.count("*").alias("n"), F.sum("l1").alias("sum_l1"), F.sum("l2").alias("sum_l2"))
-
-
-def _free(spark: SparkSession, d: str) -> DataFrame:
+def _allowed(spark: SparkSession, d: str) -> DataFrame:
     r = X.fx_noncanon(spark, d)
-    return candidates.unpaired_ranges(candidates.allow_unpaired(structure.brackets_to_mapping(r), structure.bases_of(r)))
+    return candidates.allow_unpaired(structure.brackets_to_mapping(r), structure.bases_of(r))
 
 
-@query("j10_hairpin_candidates_scored")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    """No span; the inside may be unpaired. Tests hold it against brute force."""
-    r = X.fx_seq(spark, d)
-    out = candidates.free_inside(candidates.candidate_pairs(r), _free(spark, d))
-    out = candidates.score_hairpins(candidates.hairpin_candidates(out), r, _weights(features.feature_counts(X.fx_folded(spark, d))))
-    return out.groupBy("seq_id").agg(F.count("*").alias("n"), F.sum("n").alias("sum_n"), F.round(F.sum("score"), 6).alias("score"))
+def _stored_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Weights of all features, written once as several lookups read them."""
+    path = shared_path(spark, "loop-weights")
+    _weights(features.feature_counts(X.fx_folded(spark, d))).write.parquet(path)
+    return spark.read.parquet(path)
 
 
-@query("j11_single_loops_scored")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    """No span; both gaps may be unpaired. Too many rows for SQL; tests hold it against brute force."""
-    r = X.fx_seq(spark, d)
-    weights = _weights(features.feature_counts(X.fx_folded(spark, d)))
-    met = candidates.single_loop_candidates(candidates.candidate_pairs(r), ranges=_free(spark, d), records=r, weights=weights)
-    return met.groupBy("seq_id").agg(F.count("*").alias("n"), F.sum("l1").alias("sum_l1"), F.sum("l2").alias("sum_l2"), F.round(F.sum("score"), 6).alias("score"))
+def _scored(loops_: DataFrame, *sums: str) -> DataFrame:
+    return loops_.groupBy("seq_id").agg(F.count("*").alias("n"), *[F.sum(c).alias(f"sum_{c}") for c in sums], F.round(F.sum("score"), 6).alias("score"))
 
 
 # ---- loops and features
@@ -416,6 +392,71 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return lengths.length_score_table(_weights(features.feature_counts(X.fx_folded(spark, d))))
 
 
+# ---- hairpins and single loops, scored
+
+#: The positions that may not be unpaired under fx_noncanon, and how many there are up to each one.
+BARRED = f"""bar AS (SELECT m.seq_id, m.pos, NOT (m.partner IN (0, -1) OR (m.partner > 0 AND (abs(m.pos - m.partner) <= 3 OR NOT coalesce(a.base || b.base IN {_COMP}, FALSE)))) AS barred
+  FROM fd_mapping m JOIN fx_bases a USING (seq_id, pos) LEFT JOIN fx_bases b ON b.seq_id = m.seq_id AND b.pos = m.partner),
+upto AS MATERIALIZED (SELECT seq_id, array_agg(n ORDER BY pos) AS b FROM (SELECT seq_id, pos, sum(barred::INT) OVER (PARTITION BY seq_id ORDER BY pos)::INT AS n FROM bar) GROUP BY seq_id)"""
+_W = "coalesce((SELECT w FROM wts WHERE feature = {0}), 0)"
+
+
+@query(
+    "j10_hairpin_candidates_scored",
+    f"""{FEATS}, {WEIGHTS.replace(" AS (", " AS MATERIALIZED (")}, {BARRED}, {CAND},
+    long AS (SELECT n, coalesce((SELECT sum(w) FROM wts WHERE feature LIKE 'hairpin_length_at_least_%' AND regexp_extract(feature, '[0-9]+$')::INT <= n), 0) AS s FROM (SELECT unnest(range(0, 31)) AS n)),
+    hp AS (SELECT c.seq_id, i, j, j - i - 1 AS n, s.seq FROM cand c JOIN fx_seq s USING (seq_id) JOIN upto u USING (seq_id) WHERE j - i > 3 AND u.b[i] = u.b[j - 1])
+    SELECT hp.seq_id, count(*) AS n, sum(hp.n)::BIGINT AS sum_n, round(sum(coalesce(c.w, 0) + coalesce(m.w, 0) + coalesce(x.w, 0) + long.s), 6)::DOUBLE AS score
+      FROM hp JOIN long ON long.n = least(hp.n, 30) LEFT JOIN wts c ON c.feature = 'helix_closing_' || seq[i] || seq[j] LEFT JOIN wts m ON m.feature = 'terminal_mismatch_' || seq[i] || seq[j] || seq[i+1] || seq[j-1]
+      LEFT JOIN wts x ON hp.n <= 7 AND x.feature = 'hairpin_nucleotides_' || seq[i+1:j-1] GROUP BY hp.seq_id""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """No span; the inside may be unpaired."""
+    r = X.fx_seq(spark, d)
+    return _scored(expansion.hairpin_candidates(candidates.candidate_pairs(r), r, _allowed(spark, d), _stored_weights(spark, d)), "n")
+
+
+def _single_loops(spark: SparkSession, d: str) -> DataFrame:
+    r = X.fx_seq(spark, d)
+    return _scored(expansion.single_loop_candidates(candidates.candidate_pairs(r), r, _allowed(spark, d), _stored_weights(spark, d)), "l1", "l2")
+
+
+@query("j11_single_loops_scored")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """No span; both gaps may be unpaired. Too many rows for SQL, which answers the same job over the benchmark table; tests hold it against brute force."""
+    return _single_loops(spark, d)
+
+
+_SINGLES = f"""{FEATS}, {WEIGHTS.replace(" AS (", " AS MATERIALIZED (")}, {BARRED}, {CAND.replace(" AS (", " AS MATERIALIZED (")},
+fam AS MATERIALIZED (SELECT regexp_extract(feature, '^(.*)_at_least_', 1) AS family, regexp_extract(feature, '[0-9]+$')::INT AS k, w FROM wts WHERE contains(feature, '_at_least_')),
+cum AS MATERIALIZED (SELECT family, n, sum(w) FILTER (k <= n) AS s FROM fam, (SELECT unnest(range(0, 41)) AS n) GROUP BY ALL),
+long AS MATERIALIZED (SELECT l1, l2, coalesce(b.s, 0) + coalesce(e.w, 0) + coalesce(t.s, 0) + coalesce(y.s, 0) + coalesce(a.s, 0) AS s
+  FROM (SELECT unnest(range(0, 41)) AS l1) JOIN (SELECT unnest(range(0, 41)) AS l2) ON l1 + l2 BETWEEN 1 AND 40
+  LEFT JOIN cum b ON b.family = 'bulge_length' AND b.n = least(l1 + l2, 30) AND (l1 = 0 OR l2 = 0)
+  LEFT JOIN wts e ON l1 BETWEEN 1 AND 4 AND l2 BETWEEN 1 AND 4 AND e.feature = 'internal_explicit_' || least(l1, l2) || '_' || greatest(l1, l2)
+  LEFT JOIN cum t ON t.family = 'internal_length' AND t.n = least(l1 + l2, 30) AND l1 > 0 AND l2 > 0
+  LEFT JOIN cum y ON y.family = 'internal_symmetric_length' AND y.n = least(l1, 15) AND l1 = l2
+  LEFT JOIN cum a ON a.family = 'internal_asymmetry' AND a.n = least(abs(l1 - l2), 28) AND l1 > 0 AND l2 > 0),
+ends AS MATERIALIZED (SELECT c.seq_id, i, j, seq, b, coalesce(o.w, 0) + coalesce(x.w, 0) AS out_s, coalesce(n.w, 0) + coalesce(y.w, 0) AS in_s FROM cand c JOIN fx_seq s USING (seq_id) JOIN upto USING (seq_id)
+  LEFT JOIN wts o ON o.feature = 'helix_closing_' || seq[i] || seq[j] LEFT JOIN wts x ON x.feature = 'terminal_mismatch_' || seq[i] || seq[j] || seq[i+1] || seq[j-1]
+  LEFT JOIN wts n ON n.feature = 'helix_closing_' || seq[j] || seq[i] LEFT JOIN wts y ON y.feature = 'terminal_mismatch_' || seq[j] || seq[i] || seq[j+1] || seq[i-1]),
+met AS (SELECT o.seq_id, n.i - o.i - 1 AS l1, o.j - n.j - 1 AS l2, o.out_s + n.in_s AS s, CASE WHEN n.i - o.i + o.j - n.j - 2 <= 7 THEN
+    least(o.seq[o.i+1:n.i-1] || '_' || reverse(o.seq[n.j+1:o.j-1]), o.seq[n.j+1:o.j-1] || '_' || reverse(o.seq[o.i+1:n.i-1])) END AS inside
+  FROM ends o JOIN (SELECT unnest(range(1, 42)) AS step) ON TRUE JOIN ends n ON n.seq_id = o.seq_id AND n.i = o.i + step AND n.j < o.j
+  WHERE (n.i - o.i - 1) + (o.j - n.j - 1) BETWEEN 1 AND 40 AND o.b[n.i - 1] = o.b[o.i] AND o.b[o.j - 1] = o.b[n.j])
+SELECT met.seq_id, count(*) AS n, sum(met.l1)::BIGINT AS sum_l1, sum(met.l2)::BIGINT AS sum_l2, round(sum(met.s + long.s + coalesce(x.w, 0)), 6)::DOUBLE AS score
+  FROM met JOIN long ON long.l1 = met.l1 AND long.l2 = met.l2 LEFT JOIN wts x ON x.feature = 'internal_nucleotides_' || met.inside GROUP BY met.seq_id"""
+
+
+@query("j11_benchmark_loops_scored", _SINGLES)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The same job over the whole benchmark table, whose texts give few enough records for SQL."""
+    return _single_loops(spark, X.Source(d, "benchmark", "item_id"))
+
+
+_SQL["j11_benchmark_loops_scored"] = f"WITH documents AS (SELECT item_id AS doc_id, text FROM benchmark), {X.SQL}, {_SINGLES}"
+
+
 # ---- alignments and posteriors
 
 
@@ -443,36 +484,36 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 POST = f"{CAND}, post AS (SELECT seq_id, i, j, (('0x' || substr(md5(seq_id || ':' || i || ':' || j), 1, 4))::INT % 64) / 4096.0 AS p FROM cand)"
 
 
-def fx_posterior(spark: SparkSession, d: str, span: int) -> DataFrame:
-    cand = candidates.candidate_pairs(X.fx_seq(spark, d), span).withColumn("name", F.concat_ws(":", "seq_id", "i", "j"))
+def fx_posterior(spark: SparkSession, d: str) -> DataFrame:
+    cand = candidates.candidate_pairs(X.fx_seq(spark, d)).withColumn("name", F.concat_ws(":", "seq_id", "i", "j"))
     return cand.select("seq_id", "i", "j", (F.conv(F.substring(F.md5("name"), 1, 4), 16, 10).cast("long") % 64 / 4096.0).alias("p"))
 
 
-@spanned("q2_threshold_posterior", f"{POST} SELECT {PER_RECORD}, sum(p)::DOUBLE AS sum_p FROM post WHERE p >= 0.0078125 GROUP BY seq_id")
-def _(spark: SparkSession, d: str, span: int) -> DataFrame:
-    return per_record(posterior.threshold_posterior(posterior.clip_posterior(fx_posterior(spark, d, span)), 0.0078125), F.sum("p").alias("sum_p"))
+@whole("q2_threshold_posterior", f"{POST} SELECT {PER_RECORD}, sum(p)::DOUBLE AS sum_p FROM post WHERE p >= 0.0078125 GROUP BY seq_id")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return per_record(posterior.threshold_posterior(posterior.clip_posterior(fx_posterior(spark, d)), 0.0078125), F.sum("p").alias("sum_p"))
 
 
-@spanned(
+@whole(
     "q3_unpaired_posterior",
     f"{POST}, ends AS (SELECT seq_id, i AS pos, p FROM post UNION ALL SELECT seq_id, j, p FROM post), u AS (SELECT b.seq_id, b.pos, 1 - coalesce(sum(p), 0) AS pu FROM fx_bases b LEFT JOIN ends e ON e.seq_id = b.seq_id AND e.pos = b.pos GROUP BY ALL) SELECT seq_id, sum(pu)::DOUBLE AS sum_p, sum(pu * pos)::DOUBLE AS sum_pos FROM u GROUP BY seq_id",
 )
-def _(spark: SparkSession, d: str, span: int) -> DataFrame:
-    u = posterior.unpaired_posterior(fx_posterior(spark, d, span), structure.bases_of(X.fx_seq(spark, d)))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    u = posterior.unpaired_posterior(fx_posterior(spark, d), structure.bases_of(X.fx_seq(spark, d)))
     return u.groupBy("seq_id").agg(F.sum("p_unpaired").alias("sum_p"), F.sum(F.col("p_unpaired") * F.col("pos")).alias("sum_pos"))
 
 
-@spanned("q4_decode_weights", f"{POST} SELECT seq_id, count(*) AS n, sum(5 * p - 1)::DOUBLE AS sum_w FROM post GROUP BY seq_id")
-def _(spark: SparkSession, d: str, span: int) -> DataFrame:
-    post = fx_posterior(spark, d, span)
+@whole("q4_decode_weights", f"{POST} SELECT seq_id, count(*) AS n, sum(5 * p - 1)::DOUBLE AS sum_w FROM post GROUP BY seq_id")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    post = fx_posterior(spark, d)
     pairs, _ = posterior.decode_weights(post, structure.bases_of(X.fx_seq(spark, d)), 4.0, "centroid")
     return pairs.groupBy("seq_id").agg(F.count("*").alias("n"), F.sum("w").alias("sum_w"))
 
 
-@spanned("q1_clip_posterior", f"{POST} SELECT seq_id, sum(greatest(0, least(1, p * 256 - 1)))::DOUBLE AS sum_p FROM post GROUP BY seq_id")
-def _(spark: SparkSession, d: str, span: int) -> DataFrame:
+@whole("q1_clip_posterior", f"{POST} SELECT seq_id, sum(greatest(0, least(1, p * 256 - 1)))::DOUBLE AS sum_p FROM post GROUP BY seq_id")
+def _(spark: SparkSession, d: str) -> DataFrame:
     """Values from -1 to 3, cut to 0 to 1."""
-    wide = fx_posterior(spark, d, span).withColumn("p", F.col("p") * 256 - 1)
+    wide = fx_posterior(spark, d).withColumn("p", F.col("p") * 256 - 1)
     return posterior.clip_posterior(wide).groupBy("seq_id").agg(F.sum("p").alias("sum_p"))
 
 
@@ -609,7 +650,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     f"{POST}, ends AS (SELECT seq_id, i AS pos, p FROM post UNION ALL SELECT seq_id, j, p FROM post), u AS (SELECT b.seq_id, b.pos, 1 - coalesce(sum(p), 0) AS pu FROM fx_bases b LEFT JOIN ends e ON e.seq_id = b.seq_id AND e.pos = b.pos GROUP BY ALL), both_ AS (SELECT seq_id, 0 AS u, p AS w FROM post UNION ALL SELECT seq_id, 1, pu / 8 FROM u) SELECT seq_id, coalesce(sum(w) FILTER (u = 0), 0)::DOUBLE AS sum_pairs, sum(w) FILTER (u = 1)::DOUBLE AS sum_unpaired FROM both_ GROUP BY seq_id",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    post = fx_posterior(spark, d, SPAN)
+    post = fx_posterior(spark, d)
     pairs, alone = posterior.decode_weights(post, posterior.unpaired_posterior(post, structure.bases_of(X.fx_seq(spark, d))), 4.0, "mea")
     rows = pairs.select("seq_id", F.lit(0).alias("u"), "w").unionByName(alone.select("seq_id", F.lit(1).alias("u"), "w"))
     return rows.groupBy("seq_id").agg(F.coalesce(F.sum(F.when(F.col("u") == 0, F.col("w"))), F.lit(0.0)).alias("sum_pairs"), F.sum(F.when(F.col("u") == 1, F.col("w"))).alias("sum_unpaired"))

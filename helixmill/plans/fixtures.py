@@ -33,9 +33,21 @@ TEMPLATES = [
 TEMPLATES = [t.ljust(LENGTH, ".") for t in TEMPLATES]
 
 
+class Source(str):
+    """A folder of tables, with the table whose texts give the records: documents unless another one is named."""
+
+    name, key = "documents", "doc_id"
+
+    def __new__(cls, sf_dir: str, name: str, key: str) -> Source:
+        out = super().__new__(cls, sf_dir)
+        out.name, out.key = name, key
+        return out
+
+
 def fx_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq_id and LENGTH letters of each record."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    of = sf_dir if isinstance(sf_dir, Source) else Source
+    docs = spark.read.parquet(f"{sf_dir}/{of.name}.parquet").withColumnRenamed(of.key, "doc_id")
     s = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]", "")
     runs = F.transform(F.sequence(F.lit(0), F.ceil(F.length("s") / LENGTH).cast("int") - 1), lambda k: F.struct(k.alias("k"), F.rpad(F.substring(F.col("s"), k * LENGTH + 1, F.lit(LENGTH)), LENGTH, "a").alias("seq")))
     return docs.select("doc_id", s.alias("s")).where("s <> ''").select("doc_id", F.explode(runs).alias("r")).select((F.col("doc_id") * PER_DOC + F.col("r.k")).alias("seq_id"), "r.seq")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixmill.functions import expr
-from helixmill.operators import candidates, features, lengths, loops, solve, structure, training
+from helixmill.operators import candidates, expansion, features, lengths, loops, solve, structure, training
 from helixmill.plans.fixtures import partner_places
 from helixmill.sources import readers, writers
 
@@ -99,10 +99,10 @@ def test_length_scores_start_anew_behind_barred_lengths(spark):
     assert lengths.single_length_table(w).count() == 860
 
 
-def test_single_loops_meet_in_buckets(records, plain):
+def test_single_loops_of_given_candidates(records, plain):
     cand = candidates.candidate_pairs(records, 25)
     rows = {(x.seq_id, x.i, x.j) for x in cand.collect()}
-    got = {(x.seq_id, x.i, x.j, x.p, x.q) for x in candidates.single_loop_candidates(cand, 9).collect()}
+    got = {(x.seq_id, x.i, x.j, x.p, x.q) for x in expansion.single_loop_candidates(cand, records, max_single=9).collect()}
     assert got == {(s, i, j, p, q) for s, i, j in rows for t, p, q in rows if s == t and i < p and q < j and 1 <= p - i - 1 + j - q - 1 <= 9}
 
 
@@ -137,15 +137,14 @@ def long_loops(spark):
 def test_hairpin_candidates_without_span(long_loops):
     rows, free, weight, records, allow, weights = long_loops
     want = {(k, *at): x for k, s in rows for at, x in _loops_of(s, free[k], weight)[0].items()}
-    cand = candidates.free_inside(candidates.candidate_pairs(records), candidates.unpaired_ranges(allow))
-    got = {(x.seq_id, x.i, x.j): (x.n, x.score) for x in candidates.score_hairpins(candidates.hairpin_candidates(cand), records, weights).collect()}
+    got = {(x.seq_id, x.i, x.j): (x.n, x.score) for x in expansion.hairpin_candidates(candidates.candidate_pairs(records), records, allow, weights).collect()}
     assert got == {k: pytest.approx(x) for k, x in want.items()} and max(x[0] for x in want.values()) > 60
 
 
 def test_single_loop_candidates_without_span(long_loops):
     rows, free, weight, records, allow, weights = long_loops
     want = {(k, *at): x for k, s in rows for at, x in _loops_of(s, free[k], weight)[1].items()}
-    found = candidates.single_loop_candidates(candidates.candidate_pairs(records), ranges=candidates.unpaired_ranges(allow), records=records, weights=weights).collect()
+    found = expansion.single_loop_candidates(candidates.candidate_pairs(records), records, allow, weights).collect()
     got = {(x.seq_id, x.i, x.j, x.p, x.q): (x.l1, x.l2, x.score) for x in found}
     assert len(got) == len(found) and got.keys() == want.keys()
     assert all(got[k][:2] == x[:2] and abs(got[k][2] - x[2]) < 1e-9 for k, x in want.items())

@@ -91,7 +91,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "m3_validate_mapping",
-    f"""m AS (SELECT seq_id, pos, CASE WHEN seq_id % 10 = 0 AND pos = 8 THEN 35 WHEN seq_id % 10 = 8 AND pos = 5 THEN 1 ELSE partner END AS partner FROM fd_mapping)
+    f"""m AS MATERIALIZED (SELECT seq_id, pos, CASE WHEN seq_id % 10 = 0 AND pos = 8 THEN 35 WHEN seq_id % 10 = 8 AND pos = 5 THEN 1 ELSE partner END AS partner FROM fd_mapping)
     SELECT * FROM (SELECT m.seq_id, m.pos, CASE WHEN m.partner NOT BETWEEN 1 AND {X.LENGTH} THEN 'out of range' WHEN m.partner = m.pos THEN 'paired with itself' WHEN o.partner IS DISTINCT FROM m.pos THEN 'not reciprocal' END AS reason
       FROM m LEFT JOIN m o ON o.seq_id = m.seq_id AND o.pos = m.partner WHERE m.partner NOT IN (0, -1)) WHERE reason IS NOT NULL""",
 )
@@ -457,6 +457,28 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 _SQL["j11_benchmark_loops_scored"] = f"WITH documents AS (SELECT item_id AS doc_id, text FROM benchmark), {X.SQL}, {_SINGLES}"
 
 
+_PAIR = "least(seq[i] || seq[j], seq[j] || seq[i])"
+_STACK = "least(seq[i-1] || seq[j+1] || seq[i] || seq[j], seq[j] || seq[i] || seq[j+1] || seq[i-1])"
+
+
+@query(
+    "w3_helix_scores",
+    f"""{FEATS}, {WEIGHTS.replace(" AS (", " AS MATERIALIZED (")}, {CAND},
+    far AS MATERIALIZED (SELECT d, sum(w) AS s FROM (SELECT unnest(range(0, 78)) AS d) JOIN (VALUES (0,3),(1,9),(2,12),(3,16),(4,21),(5,26),(6,34),(7,47),(8,71),(9,132)) t(k, least_) ON least_ <= d JOIN wts ON feature = 'base_pair_dist_at_least_' || k GROUP BY d),
+    long AS MATERIALIZED (SELECT m, coalesce((SELECT sum(w) FROM wts WHERE feature LIKE 'helix_length_at_least_%' AND regexp_extract(feature, '[0-9]+$')::INT <= least(m, 30)), 0) AS s FROM (SELECT unnest(range(1, 40)) AS m)),
+    gains AS MATERIALIZED (SELECT c.seq_id, i, j, i - row_number() OVER (PARTITION BY c.seq_id, i + j ORDER BY i) AS run, coalesce(p.w, 0) + coalesce(far.s, 0) + coalesce(k.w, 0) AS gain FROM cand c JOIN fx_seq USING (seq_id)
+      LEFT JOIN far ON far.d = j - i LEFT JOIN wts p ON p.feature = 'base_pair_' || {_PAIR} LEFT JOIN wts k ON i > 1 AND k.feature = 'helix_stacking_' || {_STACK}),
+    pairs_ AS (SELECT a.seq_id, a.i, b.i - a.i + 1 AS m, sum(x.gain) - any_value(a.gain) AS s FROM gains a JOIN gains b ON b.seq_id = a.seq_id AND b.i + b.j = a.i + a.j AND b.run = a.run AND b.i >= a.i JOIN gains x ON x.seq_id = a.seq_id AND x.i + x.j = a.i + a.j AND x.i BETWEEN a.i AND b.i GROUP BY a.seq_id, a.i, a.j, b.i)
+    SELECT seq_id, count(*) AS n, sum(p.m)::BIGINT AS sum_m, sum(i * p.m)::BIGINT AS sum_im, round(sum(p.s + long.s), 6)::DOUBLE AS score FROM pairs_ p JOIN long USING (m) GROUP BY seq_id""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """All helices of all lengths among a record's candidates."""
+    r, weights = X.fx_seq(spark, d), _stored_weights(spark, d)
+    found = expansion.helix_scores(expansion.helix_steps(candidates.candidate_pairs(r), r, weights), weights)
+    im = (F.col("i") * F.col("m")).alias("im")
+    return found.select("seq_id", "m", im, "score").groupBy("seq_id").agg(F.count("*").alias("n"), F.sum("m").alias("sum_m"), F.sum("im").alias("sum_im"), F.round(F.sum("score"), 6).alias("score"))
+
+
 # ---- alignments and posteriors
 
 

@@ -1,8 +1,8 @@
 """Corpora that Spark derives from the documents table, as tables of sequences and structures.
 
 Each document's whole text gives records: its letters are cut into runs of LENGTH,
-the last one filled up with 'a'; run k of document d is record d * 100000 + k. The
-same tables stand as SQL in SQL, for DuckDB.
+the last one filled up with 'a'; run k of document d is record d * PER_DOC + k, and no text
+can have as many runs, as a string ends at 2 ** 31 bytes. The same tables stand as SQL in SQL, for DuckDB.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.structure import bases_of, brackets_to_pairs
 
 LENGTH = 78
-PER_DOC = 100_000
+PER_DOC = 100_000_000
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 BASES = "ACGUACGUACGUACGUACGUACGUAC"
 #: Balanced structures written for this repository: external hairpins, a bulge, internal loops, a multi-branch
@@ -135,9 +135,9 @@ tpl_pairs AS (SELECT no, (places[j] + 1)::INT AS i, j::INT AS j FROM (SELECT no,
 fx_pairs AS (SELECT seq_id, i, j FROM fx_seq JOIN tpl_pairs ON no = seq_id % 10),
 fx_bases AS (SELECT seq_id, p::INT AS pos, seq[p] AS base FROM (SELECT seq_id, seq, unnest(range(1, {LENGTH + 1})) AS p FROM fx_seq)),
 fd_bases AS (SELECT seq_id, p::INT AS pos, seq[p] AS base FROM (SELECT seq_id, seq, unnest(range(1, {LENGTH + 1})) AS p FROM fx_folded)),
-fd_mapping AS (SELECT seq_id, p::INT AS pos, CASE WHEN structure[p] = '?' THEN -1 ELSE partner END AS partner
-  FROM (SELECT f.seq_id, structure, p, coalesce(max(CASE WHEN x.i = p THEN x.j WHEN x.j = p THEN x.i END), 0)::INT AS partner
-        FROM (SELECT seq_id, structure, unnest(range(1, {LENGTH + 1})) AS p FROM fx_folded) f LEFT JOIN tpl_pairs x ON x.no = f.seq_id % 10 AND (x.i = p OR x.j = p) GROUP BY ALL)),
+tpl_ends AS (SELECT no, i AS p, j AS partner FROM tpl_pairs UNION ALL SELECT no, j, i FROM tpl_pairs),
+fd_mapping AS (SELECT f.seq_id, f.p::INT AS pos, CASE WHEN structure[f.p] = '?' THEN -1 ELSE coalesce(e.partner, 0) END::INT AS partner
+  FROM (SELECT seq_id, structure, unnest(range(1, {LENGTH + 1})) AS p FROM fx_folded) f LEFT JOIN tpl_ends e ON e.no = f.seq_id % 10 AND e.p = f.p),
 fx_react AS (SELECT seq_id, pos, base, ((pos * 37 + seq_id * 11) % 129) / 128.0 AS r_unpaired, ((pos * 53 + seq_id * 7) % 129) / 128.0 AS r_paired FROM fx_bases),
 fx_aln AS (SELECT seq_id // 4 AS aln_id, (seq_id % 4)::INT AS row_no, pos, CASE WHEN (pos + seq_id % 4) % 11 = 0 THEN '-' WHEN (pos + seq_id) % 5 = 0 THEN lower(base) ELSE base END AS sym FROM fx_bases)
 """

@@ -151,6 +151,31 @@ def test_single_loop_candidates_without_span(long_loops):
     assert max(a + b for a, b, _ in want.values()) == 40 and max(k[2] - k[1] for k in want) > 70
 
 
+def test_helices_stay_in_unbroken_runs(spark, long_loops):
+    cand = spark.createDataFrame([(1, 1, 10), (1, 3, 8), (1, 4, 7)], "seq_id long, i int, j int").withColumn("gain", F.lit(1.5))
+    none = spark.createDataFrame([("helix_length_at_least_2", 0.25)], "feature string, w double")
+    assert {(x.i, x.j, x.m): x.score for x in expansion.helix_scores(cand, none).collect()} == {(1, 10, 1): 0, (3, 8, 1): 0, (3, 8, 2): 1.75, (4, 7, 1): 0}
+    rows, _, weight, records, _, weights = long_loops
+    r = random.Random(2)
+    weight = weight | {f"base_pair_{x}{y}": r.uniform(-1, 1) for x in "ACGU" for y in "ACGU" if x <= y} | {f"helix_stacking_{x}{y}{a}{b}": r.uniform(-1, 1) for x in "ACGU" for y in "ACGU" for a in "ACGU" for b in "ACGU" if x + y + a + b <= b + a + y + x}
+    weights = spark.createDataFrame(list(weight.items()), "feature string, w double")
+    got = {(x.seq_id, x.i, x.j, x.m): x.score for x in expansion.helix_scores(expansion.helix_steps(candidates.candidate_pairs(records), records, weights), weights).collect()}
+    want = {}
+    for k, s in rows:
+        can = {(i, j) for i in range(1, 79) for j in range(i + 1, 79) if s[i - 1] + s[j - 1] in expr.PAIRS}
+        for i, j in can:
+            m, total = 1, 0.0
+            while (i + m - 1, j - m + 1) in can:
+                if m > 1:
+                    a, b = i + m - 1, j - m + 1
+                    names = [f"base_pair_{min(s[a - 1] + s[b - 1], s[b - 1] + s[a - 1])}"] + [f"base_pair_dist_at_least_{q}" for q, d in enumerate(features.DISTANCES) if d <= b - a]
+                    four = s[a - 2] + s[b] + s[a - 1] + s[b - 1]
+                    total += sum(weight.get(x, 0.0) for x in [*names, f"helix_stacking_{min(four, four[::-1])}"])
+                want[k, i, j, m] = total + sum(weight.get(f"helix_length_at_least_{q}", 0.0) for q in range(min(m, 30) + 1))
+                m += 1
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
+
+
 def test_sequential_training_rule(spark):
     w = spark.createDataFrame([("a", 1.0, 4.0), ("b", -0.5, 0.0)], "feature string, w double, sum_sq double")
     g = spark.createDataFrame([(1, "a", 3.0), (1, "c", -2.0)], "seq_id long, feature string, g double")

@@ -21,13 +21,44 @@ def bases_of(records: DataFrame) -> DataFrame:
     return records.select("seq_id", F.posexplode(letters("seq")).alias("p", "base")).select("seq_id", (F.col("p") + 1).alias("pos"), "base")
 
 
+#: Positions of a record that one window takes at a time. Longer records are cut into blocks of so many.
+BLOCK = 1 << 16
+
+
+def block_of(pos: str) -> Column:
+    """The block of a 1-based position."""
+    return F.expr(f"cast(({pos} - 1) div {BLOCK} as int)")
+
+
+def text_blocks(records: DataFrame, col: str, beside: str | None = None) -> DataFrame:
+    """seq_id, block, text: a record's string in blocks, with the same places of another one as `beside`."""
+    last = F.expr(f"cast(greatest(length({col}) - 1, 0) div {BLOCK} as int)")
+    names = {"text": col} | ({"beside": beside} if beside else {})
+    cut = records.select("seq_id", *[F.col(c).alias(f"{k}_") for k, c in names.items()], F.explode(F.sequence(F.lit(0), last)).alias("block"))
+    part = lambda k: F.when(F.length(f"{k}_") <= BLOCK, F.col(f"{k}_")).otherwise(F.substring(f"{k}_", F.col("block") * BLOCK + 1, F.lit(BLOCK)))
+    return cut.select("seq_id", "block", *[part(k).alias(k) for k in names])
+
+
+def with_entry(rows: DataFrame) -> DataFrame:
+    """rows(seq_id, block, change, ..), one a block, with entry: the changes of all blocks before."""
+    before = Window.partitionBy("seq_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("entry", F.coalesce(F.sum("change").over(before), F.lit(0)))
+
+
 def _levels(records: DataFrame) -> DataFrame:
-    """Each bracket with its nesting level and its number among those of its kind on the level."""
-    marks = records.select("seq_id", F.posexplode(letters("structure")).alias("p", "c")).where(F.col("c").isin("(", ")"))
-    by_pos = Window.partitionBy("seq_id").orderBy("p")
-    depth = F.sum(F.when(F.col("c") == "(", 1).otherwise(-1)).over(by_pos)
-    marks = marks.withColumn("depth", depth).withColumn("level", F.col("depth") + (F.col("c") == ")").cast("int"))
-    return marks.withColumn("ordinal", F.row_number().over(Window.partitionBy("seq_id", "level", "c").orderBy("p")))
+    """seq_id, block, p, c, base, depth, level: each bracket (p from 0) with its letter, the depth behind it and its nesting level.
+
+    Blocks are reduced to their change of depth, a scan over a record's blocks gives the depth on
+    entry, and the windows over positions stay inside blocks, which are dealt over the tasks.
+    """
+    cut = text_blocks(records, "structure", "seq" if "seq" in records.columns else "structure")
+    opens, closes = (F.length(F.regexp_replace("text", f"[^{c}]", "")) for c in (r"\\(", r"\\)"))
+    blocks = with_entry(cut.withColumn("change", opens - closes)).where("text <> ''").repartition("seq_id", "block")
+    marks = blocks.select("seq_id", "block", "entry", "beside", F.posexplode(letters("text")).alias("at", "c")).where(F.col("c").isin("(", ")"))
+    marks = marks.select("seq_id", "block", "entry", "at", "c", F.substring("beside", F.col("at") + 1, F.lit(1)).alias("base"))
+    within = Window.partitionBy("seq_id", "block").orderBy("at")
+    marks = marks.withColumn("depth", F.col("entry") + F.sum(F.when(F.col("c") == "(", 1).otherwise(-1)).over(within))
+    return marks.select("seq_id", "block", (F.col("block") * BLOCK + F.col("at")).alias("p"), "c", "base", "depth", (F.col("depth") + (F.col("c") == ")").cast("int")).alias("level"))
 
 
 def unbalanced(records: DataFrame) -> DataFrame:
@@ -36,14 +67,27 @@ def unbalanced(records: DataFrame) -> DataFrame:
     return depth.where("low < 0 OR end <> 0").select("seq_id")
 
 
-def brackets_to_pairs(records: DataFrame) -> DataFrame:
-    """seq_id, i, j with i < j. An opening bracket and the next closing one of its level close each other.
+def pairs_with_bases(records: DataFrame) -> DataFrame:
+    """seq_id, i, j, a, b: the pairs with the letters at their ends, which the brackets bring with them.
 
-    On one level they alternate, so both halves of a pair have one ordinal: a group-by, no join.
+    On one level brackets alternate, so that a closing one is matched with the one before it. Most are matched inside
+    their block. Of a level, a block leaves at most its first closing bracket and its last opening
+    one, so that at most two a block and level meet across blocks; a pair matched before stays by itself there.
     """
-    closed = _levels(records).where("level > 0").groupBy("seq_id", "level", "ordinal")
-    ends = closed.agg(F.min(F.when(F.col("c") == "(", F.col("p") + 1)).alias("i"), F.min(F.when(F.col("c") == ")", F.col("p") + 1)).alias("j"))
-    return ends.where("i IS NOT NULL AND j > i").select("seq_id", "i", "j")
+    marks = _levels(records).where("level > 0")
+    opening = F.when(F.col("c") == "(", F.struct((F.col("p") + 1).alias("i"), F.col("base").alias("a")))
+    within = Window.partitionBy("seq_id", "block", "level").orderBy("p")
+    told = marks.withColumns({"open": opening, "next": F.lead("c").over(within), "near": F.lag(opening).over(within)})
+    rows = told.where((F.col("c") == ")") | F.coalesce(F.col("next") != ")", F.lit(True)))
+    alone = F.when(F.col("near").isNotNull() & (F.col("c") == ")"), F.col("p")).otherwise(-1)
+    across = Window.partitionBy("seq_id", "level", "alone").orderBy("p")
+    met = rows.withColumn("alone", alone).withColumn("far", F.lag("open").over(across)).where("c = ')'").withColumn("open", F.coalesce("near", "far"))
+    return met.where("open IS NOT NULL").select("seq_id", "open.i", (F.col("p") + 1).alias("j"), "open.a", F.col("base").alias("b"))
+
+
+def brackets_to_pairs(records: DataFrame) -> DataFrame:
+    """seq_id, i, j with i < j."""
+    return pairs_with_bases(records).select("seq_id", "i", "j")
 
 
 def pairs_to_mapping(records: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -82,14 +126,29 @@ def validate_mapping(mapping: DataFrame) -> DataFrame:
     return asked.select("seq_id", "pos", reason.alias("reason")).where("reason IS NOT NULL")
 
 
+def depths(ends: DataFrame) -> DataFrame:
+    """ends(seq_id, p, step, ..), where step is 1 at an opening and -1 at a closing end, with block, blocks and depth, the sum of steps up to p.
+
+    The sums of blocks are scanned by record; the windows over positions stay inside blocks.
+    """
+    dealt = ends.withColumn("block", block_of("p")).repartition("seq_id", "block")
+    sums = with_entry(dealt.groupBy("seq_id", "block").agg(F.sum("step").alias("change")))
+    sums = sums.select("seq_id", "block", "entry", F.count("*").over(Window.partitionBy("seq_id")).alias("blocks"))
+    met = dealt.join(sums.hint("shuffle_hash"), ["seq_id", "block"])
+    return met.withColumn("depth", F.col("entry") + F.sum("step").over(Window.partitionBy("seq_id", "block").orderBy("p"))).drop("entry")
+
+
 def has_pseudoknot(pairs: DataFrame) -> DataFrame:
     """seq_id, crossing. The ends are matched anew as brackets; a pair that is not matched to itself crosses."""
     ends = pairs.select("seq_id", "i", "j", F.inline(F.array(F.struct(F.col("i").alias("p"), F.lit(1).alias("step")), F.struct(F.col("j").alias("p"), F.lit(-1).alias("step")))))
-    depth = ends.withColumn("depth", F.sum("step").over(Window.partitionBy("seq_id").orderBy("p")))
-    level = depth.withColumn("level", F.col("depth") + (F.col("step") < 0).cast("int"))
-    ordinal = level.withColumn("ordinal", F.row_number().over(Window.partitionBy("seq_id", "level", "step").orderBy("p")))
-    met = ordinal.groupBy("seq_id", "level", "ordinal").agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.count("*").alias("n"))
-    return met.groupBy("seq_id").agg(F.max((F.col("lo") != F.col("hi")) | (F.col("n") != 2)).alias("crossing"))
+    level = depths(ends).withColumn("level", F.col("depth") + (F.col("step") < 0).cast("int"))
+    within = Window.partitionBy("seq_id", "block", "level").orderBy("p")
+    told = level.withColumns({"before": F.lag(F.when(F.col("step") == 1, F.col("i"))).over(within), "next": F.lead("step").over(within)})
+    left = told.where("(step = -1 AND before IS NULL) OR (step = 1 AND coalesce(next, 1) <> -1)").select("seq_id", "level", "p", "step", "i")
+    across = Window.partitionBy("seq_id", "level").orderBy("p")
+    far = left.withColumn("before", F.lag(F.when(F.col("step") == 1, F.col("i"))).over(across)).where("step = -1").select("seq_id", "i", "before")
+    closed = told.where("step = -1 AND before IS NOT NULL").select("seq_id", "i", "before").unionByName(far)
+    return closed.groupBy("seq_id").agg(F.max(F.coalesce(F.col("i") != F.col("before"), F.lit(True))).alias("crossing"))
 
 
 def drop_noncomplementary(mapping: DataFrame, bases: DataFrame) -> DataFrame:

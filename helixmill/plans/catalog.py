@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from ..operators import alignment, candidates, expansion, features, lengths, loops, posterior, structure, training
 from ..sources import readers, writers
-from ..sources.shared import shared_path
+from ..sources.shared import shared_path, stored
 from . import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -253,9 +253,7 @@ def _allowed(spark: SparkSession, d: str) -> DataFrame:
 
 def _stored_weights(spark: SparkSession, d: str) -> DataFrame:
     """Weights of all features, written once as several lookups read them."""
-    path = shared_path(spark, "loop-weights")
-    _weights(features.feature_counts(X.fx_folded(spark, d))).write.parquet(path)
-    return spark.read.parquet(path)
+    return _corpus_weights(X.fx_folded(spark, d))
 
 
 def _scored(loops_: DataFrame, *sums: str) -> DataFrame:
@@ -316,25 +314,44 @@ WEIGHTS = "wts AS (SELECT DISTINCT feature, ((('0x' || substr(md5(feature), 1, 4
 @query("l1_effective_pairs", f"{EFF} SELECT {PER_RECORD} FROM eff GROUP BY seq_id")
 def _(spark: SparkSession, d: str) -> DataFrame:
     r = X.fx_folded(spark, d)
-    return per_record(loops.effective_pairs(structure.brackets_to_pairs(r), r))
+    return per_record(loops.known_pairs(r))
 
 
 @query("l2_classify_loops", f"{EFF} SELECT seq_id, kind, count(*) AS n, sum(nu)::BIGINT AS n_unpaired, sum(nb)::BIGINT AS n_branch, sum(l1)::BIGINT AS l1, sum(l2)::BIGINT AS l2 FROM loops GROUP BY seq_id, kind")
 def _(spark: SparkSession, d: str) -> DataFrame:
     r = X.fx_folded(spark, d)
-    out = loops.classify_loops(loops.effective_pairs(structure.brackets_to_pairs(r), r), r)
+    out = loops.classify_loops(loops.known_pairs(r), r)
     return out.groupBy("seq_id", "kind").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("n_unpaired", "n_branch", "l1", "l2")])
 
 
-@query("l4_validate_structures", "SELECT seq_id, CASE WHEN structure LIKE '%?%' THEN 'UNKNOWN' ELSE 'OK' END AS status FROM fx_folded")
+_WIDE = f"""wide_tpl AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{w}', {[p for p in X.partner_places(w)]})" for k, w in enumerate(X.WIDE))}) AS t(no, structure, places)),
+wide AS MATERIALIZED (SELECT seq_id, seq, structure, no FROM fx_seq JOIN wide_tpl ON no = seq_id % {len(X.WIDE)}),
+wide_pairs AS (SELECT no, (places[j] + 1)::INT AS i, j::INT AS j FROM (SELECT no, places, unnest(range(1, {X.LENGTH + 1})) AS j FROM wide_tpl) WHERE places[j] >= 0),
+weff AS MATERIALIZED (SELECT seq_id, i, j FROM wide JOIN wide_pairs USING (no) WHERE j - i > 3 AND seq[i] || seq[j] IN {_COMP}),
+wnest AS (SELECT c.seq_id, c.i, c.j, max(o.i) AS pi, min(o.j) AS pj FROM weff c JOIN weff o ON o.seq_id = c.seq_id AND o.i < c.i AND o.j > c.j GROUP BY ALL),
+wlong AS MATERIALIZED (SELECT seq_id, pi AS i, pj AS j, any_value(i) AS p, any_value(j) AS q FROM wnest GROUP BY seq_id, pi, pj HAVING count(*) = 1 AND (any_value(i) - pi - 1) + (pj - any_value(j) - 1) > 40),
+free_ AS (SELECT w.seq_id, l.i, l.j, l.p, l.q, u, w.seq FROM wlong l JOIN (SELECT seq_id, seq, structure, unnest(range(1, {X.LENGTH + 1})) AS u FROM wide) w ON w.seq_id = l.seq_id WHERE w.structure[u] = '?' AND u > l.i AND u < l.j AND (u < l.p OR u > l.q)),
+two_ AS MATERIALIZED (SELECT a.seq_id, a.i, a.j, a.p, a.q, a.u, b.u AS v FROM free_ a JOIN free_ b ON b.seq_id = a.seq_id AND b.i = a.i AND a.u + 3 < b.u AND a.seq[a.u] || a.seq[b.u] IN {_COMP}),
+fine AS (SELECT seq_id, i FROM two_ WHERE v < p OR u > q OR (u < p AND v > q AND (u - i - 1) + (j - v - 1) <= 40 AND (p - u - 1) + (v - q - 1) <= 40)
+  UNION SELECT a.seq_id, a.i FROM two_ a JOIN two_ b ON b.seq_id = a.seq_id AND b.i = a.i AND a.u < b.u AND b.v < a.v WHERE a.u < a.p AND a.v > a.q AND b.u < a.p AND b.v > a.q AND (a.u - a.i - 1) + (a.j - a.v - 1) <= 40 AND (b.u - a.u - 1) + (a.v - b.v - 1) <= 40 AND (a.p - b.u - 1) + (b.v - a.q - 1) <= 40),
+ng AS (SELECT DISTINCT seq_id FROM wlong l WHERE NOT EXISTS (SELECT 1 FROM fine f WHERE f.seq_id = l.seq_id AND f.i = l.i))"""
+
+
+@query("l4_validate_structures", "SELECT seq_id, 'OK' AS status FROM fx_folded")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return loops.validate_structures(X.fx_folded(spark, d))
 
 
+@query("l4_validate_wide_structures", f"{_WIDE} SELECT wide.seq_id, CASE WHEN ng.seq_id IS NULL THEN 'OK' ELSE 'NG' END AS status FROM wide LEFT JOIN ng ON ng.seq_id = wide.seq_id")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Single loops over the limit, of which unknown positions can split some."""
+    return loops.validate_structures(X.fx_wide(spark, d))
+
+
 @query("w4_parent_pair", f"{EFF} SELECT seq_id, count(*) AS n, coalesce(sum(pi), 0)::BIGINT AS sum_parent, sum(coalesce(pi, 0) * i)::BIGINT AS sum_pi FROM (SELECT seq_id, i, pi FROM nest UNION ALL SELECT seq_id, pos, pi FROM free) GROUP BY seq_id")
 def _(spark: SparkSession, d: str) -> DataFrame:
     r = X.fx_folded(spark, d)
-    out = loops.parent_pair(loops.effective_pairs(structure.brackets_to_pairs(r), r), r)
+    out = loops.parent_pair(loops.known_pairs(r), r)
     p = F.coalesce("parent_i", F.lit(0))
     return out.groupBy("seq_id").agg(F.count("*").alias("n"), F.sum(p).alias("sum_parent"), F.sum(p * F.col("i")).alias("sum_pi"))
 
@@ -342,7 +359,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("w5_helices", f"{FEATS} SELECT seq_id, count(*) AS n, sum(i)::BIGINT AS sum_i, sum(len * len)::BIGINT AS sum_sq FROM hel GROUP BY seq_id")
 def _(spark: SparkSession, d: str) -> DataFrame:
     r = X.fx_folded(spark, d)
-    out = loops.helices(loops.effective_pairs(structure.brackets_to_pairs(r), r))
+    out = loops.helices(loops.known_pairs(r))
     return out.groupBy("seq_id").agg(F.count("*").alias("n"), F.sum("i").alias("sum_i"), F.sum(F.col("len") * F.col("len")).alias("sum_sq"))
 
 
@@ -355,17 +372,22 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("g2_corpus_feature_counts", f"{FEATS} SELECT feature, sum(cnt)::DOUBLE AS cnt FROM feats GROUP BY feature")
 def g2(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: feature counts over a corpus of known structures."""
-    return features.corpus_feature_counts(features.feature_counts(X.fx_folded(spark, d)))
+    return features.corpus_counts(X.fx_folded(spark, d))
 
 
 def _weights(feats: DataFrame) -> DataFrame:
     return features.feature_vocabulary(feats).withColumn("w", X.weight_of())
 
 
+def _corpus_weights(records: DataFrame) -> DataFrame:
+    """A weight for every feature of the corpus, written once, as scores read them more than once."""
+    return stored(features.corpus_counts(records).select("feature", X.weight_of().alias("w")), "corpus-weights")
+
+
 @query("g3_score_structures", f"{FEATS}, {WEIGHTS} SELECT seq_id, sum(cnt * w)::DOUBLE AS score FROM feats JOIN wts USING (feature) GROUP BY seq_id")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    feats = features.feature_counts(X.fx_folded(spark, d))
-    return features.score_structures(feats, _weights(feats))
+    r = X.fx_folded(spark, d)
+    return features.score_structures(features.exact_feature_counts(r), features.exact_weights(_corpus_weights(r)))
 
 
 @query(
@@ -373,9 +395,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     f"{FEATS}, {WEIGHTS} SELECT seq_id, sum(cnt * w)::DOUBLE AS score, sum(CASE WHEN feature LIKE 'h%' THEN cnt * w ELSE 0 END)::DOUBLE AS base_score, (sum(cnt * w) - sum(CASE WHEN feature LIKE 'h%' THEN cnt * w ELSE 0 END))::DOUBLE AS rest FROM feats JOIN wts USING (feature) GROUP BY seq_id",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    feats = features.feature_counts(X.fx_folded(spark, d))
-    w = _weights(feats)
-    return features.score_breakdown(feats, w, w.where("feature LIKE 'h%'"))
+    r = X.fx_folded(spark, d)
+    w = _corpus_weights(r)
+    return features.score_breakdown(features.exact_feature_counts(r), features.exact_weights(w), features.exact_weights(w.where("feature LIKE 'h%'")))
 
 
 @query("g5_unseen_features", f"{FEATS} SELECT DISTINCT feature FROM feats WHERE feature LIKE 'd%'")
@@ -389,7 +411,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     f"{FEATS}, {WEIGHTS}, fam AS (SELECT family, unnest(range(0, cap + 1)) AS len FROM (VALUES ('hairpin_length', 30), ('helix_length', 30), ('bulge_length', 30), ('internal_length', 30), ('internal_symmetric_length', 15), ('internal_asymmetry', 28), ('base_pair_dist', 9)) t(family, cap)) SELECT a.family, a.len::INT AS len, sum(coalesce(w, 0))::DOUBLE AS score FROM fam a JOIN fam b ON b.family = a.family AND b.len <= a.len LEFT JOIN wts ON feature = b.family || '_at_least_' || b.len GROUP BY ALL",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return lengths.length_score_table(_weights(features.feature_counts(X.fx_folded(spark, d))))
+    return lengths.length_score_table(_stored_weights(spark, d))
 
 
 # ---- hairpins and single loops, scored
@@ -689,7 +711,7 @@ _FAMILY = "(SELECT sum(w) FROM wts WHERE feature LIKE '{0}_at_least_%' AND regex
       + coalesce({_FAMILY.format('internal_asymmetry', 'abs(l1 - l2)')}, 0) + CASE WHEN l1 = l2 THEN coalesce({_FAMILY.format('internal_symmetric_length', 'l1')}, 0) ELSE 0 END END)::DOUBLE AS score FROM grid""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return lengths.single_length_table(_weights(features.feature_counts(X.fx_folded(spark, d))))
+    return lengths.single_length_table(_stored_weights(spark, d))
 
 
 # ---- files: what a writer left, read again
@@ -709,10 +731,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_optimizer(spark, path)[0]
 
 
-@query("k5_report", "SELECT 'record ' || seq_id || CASE WHEN structure LIKE '%?%' THEN ' UNKNOWN' ELSE ' OK' END AS line FROM fx_folded")
+@query("k5_report", f"{_WIDE} SELECT 'record ' || wide.seq_id || CASE WHEN ng.seq_id IS NULL THEN ' OK' ELSE ' NG' END AS line FROM wide LEFT JOIN ng ON ng.seq_id = wide.seq_id")
 def _(spark: SparkSession, d: str) -> DataFrame:
     path = shared_path(spark, "report")
-    writers.write_report(loops.validate_structures(X.fx_folded(spark, d)).withColumn("name", F.concat(F.lit("record "), "seq_id")), path)
+    writers.write_report(loops.validate_structures(X.fx_wide(spark, d)).withColumn("name", F.concat(F.lit("record "), "seq_id")), path)
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 

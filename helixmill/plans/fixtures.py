@@ -95,6 +95,21 @@ def fx_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx_folded(spark, sf_dir).withColumn("structure", template(1, 9))
 
 
+#: Structures with single loops of 60 unpaired positions: none unknown; two unknown in one gap; one in each gap; two pairs' worth, of which a chain may be needed.
+WIDE = [
+    "((((" + "." * 46 + "(((....)))" + "." * 14 + "))))",
+    "((((" + "." * 10 + "?" + "." * 20 + "?" + "." * 14 + "(((....)))" + "." * 14 + "))))",
+    "((((" + "." * 20 + "?" + "." * 25 + "(((....)))" + "." * 6 + "?" + "." * 7 + "))))",
+    "((((" + "." * 3 + "?" + "." * 40 + "?." + "(((....)))" + "." * 5 + "?" + "." * 6 + "?." + "))))",
+]
+
+
+def fx_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records under the structures of WIDE; their pairs stay as their letters are, so that some do not count."""
+    no = (F.pmod("seq_id", F.lit(len(WIDE))) + 1).cast("int")
+    return fx_seq(spark, sf_dir).withColumn("structure", F.element_at(F.array(*map(F.lit, WIDE)), no))
+
+
 def fx_crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of the folded records; those of the first template get one that crosses its first stem."""
     pairs = brackets_to_pairs(fx_folded(spark, sf_dir))

@@ -78,6 +78,41 @@ def test_conservation(records, plain):
     assert {x.seq_id: x.n for x in loops.helices(pairs).groupBy("seq_id").agg(F.sum("len").alias("n")).collect()} == {k: len(pairs_of(s)) for k, _, s in plain if "(" in s}
 
 
+def test_blocks_of_long_records(spark, monkeypatch):
+    """The same tables from blocks of seven positions as from whole records, with one record that many tasks share."""
+    r = random.Random(9)
+    rows = [(k, "".join(r.choice("ACGU") for _ in range(n)), nested(r, n)) for k, n in enumerate([1, 6, 7, 8, 14, 15, 100, 300, 300])]
+    records = spark.createDataFrame([*rows, (50, "ACGU" * 9, "(" * 18 + ")" * 18), (51, "A" * 40, "." * 40), (52, "ACG", "())"), (53, "AC" * 20, "(" * 40)], "seq_id long, seq string, structure string")
+    crossed = spark.createDataFrame([(1, 2, 20), (1, 9, 40), (2, 1, 30), (2, 3, 29), (3, 4, 5), (3, 6, 90), (4, 1, 9), (4, 20, 60), (4, 30, 80)], "seq_id long, i int, j int")
+
+    def tables():
+        pairs = structure.brackets_to_pairs(records)
+        eff = loops.effective_pairs(pairs, records)
+        frames = [pairs, structure.unbalanced(records), eff, loops.parent_pair(pairs, records), loops.pair_parents(eff), loops.classify_loops(pairs, records), structure.has_pseudoknot(crossed)]
+        return [sorted(map(str, f.collect())) for f in frames]
+
+    whole = tables()
+    monkeypatch.setattr(structure, "BLOCK", 7)
+    monkeypatch.setattr(loops, "BLOCK", 7)
+    assert tables() == whole and "Row(seq_id=4, crossing=True)" in whole[-1] and "Row(seq_id=2, crossing=False)" in whole[-1]
+    depth = structure._levels(records).where("seq_id = 7").groupBy("block").count()
+    assert depth.count() > 30
+
+
+def test_scores_with_weights_beyond_a_broadcast(spark, records):
+    exact = features.exact_feature_counts(records, allow_nc=True)
+    r = random.Random(4)
+    weights = spark.createDataFrame([(x.feature, r.randint(-9, 9) / 8) for x in features.feature_counts(records, allow_nc=True).select("feature").distinct().collect()], "feature string, w double")
+    want = {}
+    at = {x.feature: x.w for x in weights.collect()}
+    for x in features.feature_counts(records, allow_nc=True).collect():
+        want[x.seq_id] = want.get(x.seq_id, 0.0) + x.cnt * at[x.feature]
+    assert {x.seq_id: x.score for x in features.score_structures(exact, features.exact_weights(weights)).collect()} == want
+    split = features.with_weights(exact, features.exact_weights(weights), most=0)
+    assert {x.seq_id: x.s for x in split.groupBy("seq_id").agg(F.sum(F.col("cnt") * F.col("w")).alias("s")).collect()} == want
+    assert "BroadcastHashJoin" in split._jdf.queryExecution().toString() and "SortMergeJoin" in split._jdf.queryExecution().toString()
+
+
 def test_too_long_a_loop_is_ng(records):
     status = {x.seq_id: x.status for x in loops.validate_structures(records).collect()}
     assert status[90] == "NG" and status[2] == "OK"

@@ -245,21 +245,25 @@ def test_files(spark, tmp_path):
     put = lambda n, t: (tmp_path / n).write_text(t)
     put("a.fa", "> one\nGGGA\nAACCC\n\n>two\nGGGAA-CCC\n>s\n(((...)))\n")
     put("b.fa", "GGG\n>x\nA\n")
+    put("f.fa", "")
+    put("g.fa", "\t>tab\t\nAC\t\n G U \n")
+    put("h.fa", ">only a name\n")
     put("c.fa", ">x\nAA\n>y\nA\n")
     put("d.fa", ">x\nA*\n")
     put("e.fa", ">x\nAA\n>s\n..\n>t\n..\n")
     good, bad = readers.read_fasta(spark, str(tmp_path / "*.fa"))
-    assert {x.path[-4:]: x.reason for x in bad.collect()} == {"b.fa": "text before a header", "c.fa": "unequal lengths"}
+    assert {x.path[-4:]: x.reason for x in bad.collect()} == {"b.fa": "text before a header", "c.fa": "unequal lengths", "f.fa": "text before a header", "h.fa": "empty sequence"}
     records, rows, worse = readers.split_consensus(good)
-    assert [(x.name, x.seq, x.structure) for x in records.collect()] == [(" one", "GGGAAACCC", "(((...)))")]
-    assert rows.where("aln_id LIKE '%a.fa'").count() == 2 and {x.path[-4:]: x.reason for x in worse.collect()} == {"d.fa": "bad sequence", "e.fa": "two structures"}
+    assert sorted((x.name, x.seq, x.structure) for x in records.collect()) == [(" one", "GGGAAACCC", "(((...)))"), ("tab", "ACGU", "????")]
+    assert rows.where("aln_id LIKE '%/a.fa'").count() == 2 and {x.path[-4:]: x.reason for x in worse.collect()} == {"d.fa": "bad sequence", "e.fa": "two structures"}
     put("a.bp", "1 G 3\n2 A 0\n3 C 1\n")
     put("b.bp", "1 G 0\n3 A 0\n")
     put("c.bp", "1 GG 0\n")
     put("d.bp", "1 G -3\n")
+    put("e.bp", "")
     mapping, bad = readers.read_bpseq(spark, str(tmp_path / "*.bp"))
     assert [(x.pos, x.base, x.partner) for x in mapping.orderBy("pos").collect()] == [(1, "G", 3), (2, "A", 0), (3, "C", 1)]
-    assert {x.path[-4:]: x.reason for x in bad.collect()} == {"b.bp": "index out of order", "c.bp": "base of more than one letter", "d.bp": "bad partner"}
+    assert {x.path[-4:]: x.reason for x in bad.collect()} == {"b.bp": "index out of order", "c.bp": "base of more than one letter", "d.bp": "bad partner", "e.bp": "empty"}
     put("a.raw", "GG A\nCC")
     assert {x.path.rsplit("/", 1)[1]: x.fmt for x in readers.detect_format(readers.files(spark, str(tmp_path / "a.*"))).collect()} == {"a.fa": "fasta", "a.bp": "bpseq", "a.raw": "raw"}
     assert readers.read_raw(spark, str(tmp_path / "a.raw"))[0].first().seq == "GGACC"

@@ -15,11 +15,17 @@ tanh-transformed values, with that of spatial signs; means with the plain covari
 A concentration step takes exactly the h vectors with the least distances, ties ordered by value, and
 their mean and covariance; no step raises the determinant. After two steps the two
 best starts of each group go on until no determinant falls by a millionth, and the least one is taken.
+Determinants cannot fall under the target's, so the steps end.
+
+Every group has an estimate, down to one vector, and so has every language and the whole. A vector is
+judged with its group's centre and covariance, weighted by n / (n + PRIOR), beside its language's, which are
+themselves weighted so beside those of all rows. The weight grows smoothly with the group's n vectors,
+so that no size switches from one estimate to another.
 A step is one job; how many groups there are and how large they get is counted once, before the first.
 
 All of it runs on distinct vectors with their counts. The h-th distance is located by histograms,
 narrowed until few vectors are left around it, so no group is ever gathered or sorted whole, and
-sums have a map side. A group of fewer than LEAST vectors is judged with the estimate over all rows.
+sums have a map side.
 
 Cases: a null or empty text has no words and fails; null language or source
 is a value of its own; repeated rows count each; equal vectors are one with a count; an empty table gives an empty result; other
@@ -29,7 +35,7 @@ columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations_with_replacement
+from itertools import combinations_with_replacement, count
 from typing import NamedTuple
 
 import numpy as np
@@ -45,10 +51,11 @@ AXES = ["x0", "x1", "x2", "x3", "x4"]
 #: Square roots of the target's variances: log words, log mean length, symbols, repeated lines, repeated words (log of 1 + percent).
 SPREAD = [0.5, 0.08, 0.3, 0.6, 0.6]
 PAIRS = list(combinations_with_replacement(range(len(AXES)), 2))
-LEAST = 60
 KEEP = 0.75
-#: Steps of all starts; starts that go on; steps at most (determinants fall, and have stopped long before).
-FIRST, BEST, STEPS = 2, 2, 40
+#: Vectors at which a group's own estimate weighs as much as its language's, and a language's as much as that of all rows.
+PRIOR = 60
+#: Steps of all starts; starts that go on.
+FIRST, BEST = 2, 2
 #: Distances over this are outliers: the chi-square quantile of 1 - 1.4e-9 with 5 degrees, as lengths of texts have heavier tails than a normal vector.
 CUT = 50.0
 CHI2_MEDIAN = 4.351
@@ -100,26 +107,17 @@ def vectors(counts: DataFrame) -> DataFrame:
     )
 
 
-def grouped(rows: DataFrame, least: int = LEAST) -> DataFrame:
-    """rows with `grp`: language and source, or ALL for a small group; null where a rule failed."""
-    own = F.to_json(F.struct(F.col("lang"), F.col("source")), {"ignoreNullFields": "false"})
-    rows = rows.withColumn("own", F.when(~F.col("base_failed"), own))
-    large = rows.where("own IS NOT NULL").groupBy("own").count().where(F.col("count") >= least).select("own", F.col("own").alias("grp"))
-    good = beside_left(rows.where("own IS NOT NULL"), large)
-    return good.unionByName(rows.where("own IS NULL").withColumn("grp", F.lit(None).cast("string"))).drop("own")
-
-
-def beside_left(rows: DataFrame, large: DataFrame) -> DataFrame:
-    """grp of each row's own group, ALL where it has none. Spark broadcasts or splits the small side's matches as it finds them."""
-    named = large.select(F.col("own").alias("own_"), "grp")
-    return rows.join(named, F.col("own") == F.col("own_"), "left").drop("own_").withColumn("grp", F.coalesce("grp", F.lit(ALL)))
+def grouped(rows: DataFrame) -> DataFrame:
+    """rows with `grp`, language and source, and `wider`, the language alone; null where a rule failed."""
+    told = lambda *c: F.when(~F.col("base_failed"), F.to_json(F.struct(*map(F.col, c)), {"ignoreNullFields": "false"}))
+    return rows.withColumns({"grp": told("lang", "source"), "wider": told("lang")})
 
 
 def vectors_of(rows: DataFrame) -> DataFrame:
-    """grp, x0.., n: the distinct vectors of each group with their counts, and those of all rows as group ALL."""
-    known = rows.where("grp IS NOT NULL")
-    every = known.select(F.explode(F.array_distinct(F.array("grp", F.lit(ALL)))).alias("grp"), *AXES)
-    return every.groupBy("grp", *AXES).agg(F.count("*").alias("n"))
+    """grp, x0.., n: the distinct vectors of each group with their counts, and those of each language and of all rows (group ALL)."""
+    known = rows.where("grp IS NOT NULL").groupBy("grp", "wider", *AXES).agg(F.count("*").alias("n"))
+    every = known.select(F.explode(F.array("grp", "wider", F.lit(ALL))).alias("grp"), *AXES, "n")
+    return every.groupBy("grp", *AXES).agg(F.sum("n").alias("n"))
 
 
 class Sizes(NamedTuple):
@@ -267,12 +265,12 @@ def concentrated(used: DataFrame, estimate: DataFrame, tables: Tables, sizes: Si
 
 
 def mcd(rows: DataFrame, tables: Tables | None = None, most: int = SORTED) -> DataFrame:
-    """grp, centre m0.., inverse p00.., logdet and scale: the least-determinant estimate of each group of rows(grp, x0..), and of all rows."""
+    """grp, centre m0.., inverse p00.., logdet, scale and n: the least-determinant estimate of each group of rows(grp, wider, x0..), of each language and of all rows."""
     tables = tables or Tables(rows.sparkSession)
     used = tables.put("distinct", vectors_of(rows))
     sizes = sizes_of(used, most)
     estimate = tables.put("starts", starts(used, sizes))
-    for step in range(STEPS):
+    for step in count():
         new = tables.put("step" if step % 2 else "steps", concentrated(used, estimate, tables, sizes))
         fell = step + 1 <= FIRST or not new.where("logdet < before - 1e-6").isEmpty()
         if step + 1 == FIRST:
@@ -284,19 +282,52 @@ def mcd(rows: DataFrame, tables: Tables | None = None, most: int = SORTED) -> Da
     least = estimate.groupBy("grp").agg(F.min_by(F.struct(*ONE), F.struct("logdet", "start")).alias("e")).select("grp", "e.*")
     least = tables.put("least", least.repartition(1) if sizes.few else least)
     # The covariance of the near vectors is too small: scale it so that the median distance is that of a normal vector.
-    middle = used.groupBy("grp").agg(F.ceil(F.sum("n") / 2).alias("h"))
-    half = measured(used, least.drop("h").join(middle, "grp"), sizes)
+    total = tables.put("total", used.groupBy("grp").agg(F.sum("n").alias("n")))
+    half = measured(used, least.drop("h").join(total.select("grp", F.ceil(F.col("n") / 2).alias("h")), "grp"), sizes)
     middle = taken(half, cut_at(half, tables, sizes), sizes).where("w > 0").groupBy("grp").agg(F.max("d").alias("d"))
-    return tables.put("mcd", least.join(middle, "grp").withColumn("scale", F.greatest(F.col("d") / CHI2_MEDIAN, F.lit(1.0))).drop("d", "h", "start"))
+    return tables.put("mcd", least.join(middle, "grp").join(total, "grp").withColumn("scale", F.greatest(F.col("d") / CHI2_MEDIAN, F.lit(1.0))).drop("d", "h", "start"))
+
+
+WEIGHED = "grp string, " + ", ".join(f"m{i} double" for i in range(len(AXES))) + ", " + ", ".join(f"p{i}{j} double" for i, j in PAIRS)
+
+
+def weighed(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+    """grp, centre m0.. and inverse p00.. (scaled) of each group of rows(grp, wider), from its own, its language's and the whole's of mcd()."""
+    k = range(len(AXES))
+    told = ["n", "scale", *[f"m{i}" for i in k], *[f"p{i}{j}" for i, j in PAIRS]]
+    of_all = estimate.where(F.col("grp") == ALL).select(*told).first()
+    if of_all is None:
+        return rows.sparkSession.createDataFrame([], WEIGHED)
+    whole = pd.DataFrame([of_all.asDict()])
+
+    def spread(pdf: pd.DataFrame, pre: str = "") -> tuple[np.ndarray, np.ndarray]:
+        inv = np.zeros((len(pdf), len(AXES), len(AXES)))
+        for i, j in PAIRS:
+            inv[:, i, j] = inv[:, j, i] = pdf[f"{pre}p{i}{j}"]
+        return np.stack([pdf[f"{pre}m{i}"] for i in k], 1), np.linalg.inv(inv) * pdf[f"{pre}scale"].to_numpy()[:, None, None]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            centre, cov = spread(whole)
+            for pre in ("l_", ""):
+                m, c = spread(pdf, pre)
+                w = (pdf[f"{pre}n"] / (pdf[f"{pre}n"] + PRIOR)).to_numpy()
+                centre, cov = w[:, None] * m + (1 - w[:, None]) * centre, w[:, None, None] * c + (1 - w[:, None, None]) * cov
+            inv = np.linalg.inv(cov)
+            yield pd.DataFrame({"grp": pdf["grp"]} | {f"m{i}": centre[:, i] for i in k} | {f"p{i}{j}": inv[:, i, j] for i, j in PAIRS})
+
+    groups = rows.where("grp IS NOT NULL").select("grp", "wider").distinct()
+    wide = estimate.select(F.col("grp").alias("wider"), *[F.col(c).alias(f"l_{c}") for c in told])
+    return groups.join(estimate.select("grp", *told), "grp").join(wide, "wider").mapInPandas(run, WEIGHED)
 
 
 def judged(docs: DataFrame, cut: float = CUT) -> DataFrame:
     """Counts, base_failed, distance and kept of every document."""
-    with Tables(docs.sparkSession, "vectors", "mcd") as tables:
+    with Tables(docs.sparkSession, "vectors", "weighed") as tables:
         rows = tables.put("vectors", grouped(vectors(tables.put("counts", counted(docs)))))
         tables.drop("counts")
-        estimate = mcd(rows, tables)
-        good = beside(rows.where("grp IS NOT NULL"), estimate, "grp").select(*rows.columns, (distance() / F.col("scale")).alias("distance"))
+        told = tables.put("weighed", weighed(rows, mcd(rows, tables)))
+        good = beside(rows.where("grp IS NOT NULL"), told, "grp").select(*rows.columns, distance().alias("distance"))
     # Documents that a rule failed do not go through the join.
     out = good.unionByName(rows.where("grp IS NULL").withColumn("distance", F.lit(None).cast("double")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut))

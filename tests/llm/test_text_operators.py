@@ -186,10 +186,11 @@ def test_outliers_against_plain_mcd(spark):
     out = quality.grouped(quality.vectors(counts)).cache()
     got = {x.grp: x for x in quality.mcd(out).collect()}
     told = [x for x in out.collect() if x.grp is not None]
-    assert sum(x.grp == quality.ALL for x in told) == 13 and len(got) == 3
+    name = lambda g: f'{{"lang":"en","source":"{g}"}}'
+    assert set(got) == {name("a"), name("b"), name("small"), '{"lang":"en"}', quality.ALL} and got[name("small")].n == 13
     far = set()
     for grp, e in got.items():
-        x = np.array([[v[a] for a in quality.AXES] for v in told if grp in (v.grp, quality.ALL)])
+        x = np.array([[v[a] for a in quality.AXES] for v in told if grp in (v.grp, v.wider, quality.ALL)])
         h, target = -(-3 * len(x) // 4), np.diag(np.square(quality.SPREAD))
         tries = [plain_mcd(x, np.median(x, 0), target, h)] + [plain_mcd(x, x[p].mean(0), np.cov(x[p].T, bias=True) + target, h) for p in (r.choice(len(x), 8) for _ in range(60))]
         assert e.logdet <= min(t[0] for t in tries) + 1e-3
@@ -210,6 +211,34 @@ def test_outliers_against_plain_mcd(spark):
     assert {x.doc_id for x in joined.where(f"d > {quality.CUT}").collect()} == far and len(far) >= 21
 
 
+def test_outliers_weigh_groups_smoothly(spark):
+    """A group's estimate weighs n / (n + PRIOR) beside its language's: one more row hardly moves a verdict, at any size; a lone row is judged by the others."""
+    r = np.random.default_rng(9)
+    row = lambda grp, mean: ("en", grp, n := int(np.exp(r.normal(mean, 0.4))), n * 5 + int(r.integers(0, 9)), int(r.integers(0, 3)), 0, 0, 5)
+    most, others = [row("g", 6) for _ in range(60)], [row("rest", 5) for _ in range(200)]
+    lone = [("de", "lone", 200, 1000, 0, 0, 0, 5), ("de", "odd", 200, 9000, 900, 0, 0, 5)]
+    found = {}
+    for size in (59, 60):
+        rows = most[:size] + others + lone
+        counts = spark.createDataFrame([(k, *x) for k, x in enumerate(rows)], "doc_id long, lang string, source string, " + quality.COUNTS)
+        rows = quality.grouped(quality.vectors(counts))
+        estimate = quality.mcd(rows)
+        told = {x.grp: x for x in quality.weighed(rows, estimate).collect()}
+        own = {x.grp: x for x in estimate.collect()}
+        key = '{"lang":"en","source":"g"}'
+        # The plain formula, for one axis of the centre.
+        centre = own[quality.ALL].m0
+        for grp in ('{"lang":"en"}', key):
+            w = own[grp].n / (own[grp].n + quality.PRIOR)
+            centre = w * own[grp].m0 + (1 - w) * centre
+        assert abs(told[key].m0 - centre) < 1e-9 and len(told) == 4
+        out = {x.source + str(x.doc_id): x.d for x in quality.beside(rows, quality.weighed(rows, estimate), "grp").withColumn("d", quality.distance()).collect()}
+        found[size] = [out[f"g{k}"] for k in range(size)]
+        assert out[f"odd{size + 201}"] > quality.CUT > out[f"lone{size + 200}"]
+    for a, b in [(59, 60)]:
+        assert np.allclose(found[a], found[b][:a], rtol=0.1, atol=0.3)
+
+
 def test_ring_sharding(docs, nothing):
     sized = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"), F.lit(0).alias("crc"))
     rows = sharding.ring_shards(sized, "doc_id", ["size"], 7).collect()

@@ -8,13 +8,15 @@ dropped; below a dropped node all is dropped and below a main node nothing is
 "above" again, so that no choice contradicts an ancestor's.
 
 The trees are fitted on the driver from labelled nodes: pages composed by a seeded generator
-(layouts with menus, adverts, notices, forms, comments) and at most SAMPLE given
-pages that mark their article, chosen by hash.
+(layouts with menus, adverts, notices, forms, comments, with and without an element that
+contains the article, down to loose and plain text) and at most SAMPLE given
+pages of under SHORT characters that mark their article, chosen by hash.
 
 Blocks are joined by one newline in page order; references are decoded and white
 space within a block becomes one space.
 
-Cases: null or empty html, or a page without main text, gives an empty text;
+Cases: null or empty html, or a page without main text, gives an empty text; text outside of all
+elements, or straight in the body, can be main text as any other;
 broken markup is closed where its parent ends, only script, style and textarea run to the page's end; a tag cut off at the page's end is markup; repeated
 rows give repeated results; an empty table gives an empty result; other columns are not read.
 """
@@ -32,7 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import chunks, hash_sample, table
 
-SAMPLE = 150
+#: Given pages that are learned from, at most, and their length in characters.
+SAMPLE, SHORT = 150, 40_000
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])[^>]*/>|<(script|style|noscript|template|svg|iframe|textarea|select)(?=[\s/>])[^>]*>.*?</\1\s*>"
     r"|<(?:script|style|textarea)(?=[\s/>])[^>]*>.*\Z"
@@ -271,13 +274,22 @@ def composed(r: np.random.Generator) -> str:
     for _ in range(int(r.integers(1, 14))):
         inside += pick(*(block[:2] * 4 + block))() + (pick(*junk[1:2], *junk[3:7])() if r.random() < 0.08 else "")
     shell = pick("<article data-main>{}</article>", "<article data-main class='post'>{}</article>", "<main data-main>{}</main>", "<div data-main class='content'>{}</div>", "<div data-main id='article-body'>{}</div>", "<main><article data-main>{}</article></main>", "<div class='wrap'><div data-main class='entry-content'>{}</div></div>")
+    kind = r.random()
+    if kind < 0.08:  # plain text, with or without some elements around words
+        return " ".join(pick("{}", "{}", "<b>{}</b>", "{}\n").format(say(3, 60)) for _ in range(int(r.integers(1, 6))))
+    if kind < 0.2:  # text straight in the body, in lines
+        loose = "".join(say(4, 60) + pick("<br>", "<br><br>", "\n", "<hr>") for _ in range(int(r.integers(1, 9))))
+        return f"<html><head><title>{say(1, 9)}</title></head><body data-main>{many(junk, 0, 3)}{loose}{many(junk, 0, 2)}</body></html>"
+    if kind < 0.4:  # blocks of the article between the others, with no element around them
+        body = many(junk, 0, 4) + inside + many(junk, 0, 4)
+        return pick("{}", "<body>{}</body>", "<!DOCTYPE html><html><head><title>" + say(1, 9) + "</title></head><body>{}</body></html>", "<html><body><div>{}</div></body></html>").format(body)
     body = many(junk, 1, 5) + shell.format(inside) + many(junk, 0, 5)
     body = pick("{}", "<div id='page'>{}</div>", "<div class='container'><div>{}</div></div>").format(body)
     return f"<!DOCTYPE html><html><head><title>{say(1, 9)}</title><style>p{{}}</style></head><body>{body}</body></html>"
 
 
-def labelled(pages: list[str], seed: int = 11, made: int = 350) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of composed pages, and of given pages with one article: nodes in it are main text."""
+def labelled(pages: list[str], seed: int = 11, made: int = 580) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of composed pages, where text outside of all elements is main text, and of given pages with one article: nodes in it are main text."""
     r = np.random.default_rng(seed)
     xs, ys = [], []
     for _ in range(made):
@@ -286,7 +298,9 @@ def labelled(pages: list[str], seed: int = 11, made: int = 350) -> tuple[np.ndar
         # The same page with the mark as a class shows which nodes are main.
         marked = Page(re.sub(r"data-main(?: (?:class|id)='[^']*')?", "class='mainmark'", html))
         xs.append(page.features())
-        ys.append(np.array(["mainmark" in t for t in marked.tokens], float))
+        main = np.array(["mainmark" in t for t in marked.tokens], float)
+        main[0] = page.chars[0] > 0
+        ys.append(main)
     for html in pages:
         page = Page(html)
         if page.tags.count("article") != 1:
@@ -300,8 +314,8 @@ def labelled(pages: list[str], seed: int = 11, made: int = 350) -> tuple[np.ndar
 
 
 def learned(pages: DataFrame, sample: int = SAMPLE) -> Trees:
-    """Trees fitted on composed pages and at most `sample` given pages under 40,000 characters."""
-    some = pages.where(F.length("html") < 40_000)
+    """Trees fitted on composed pages and at most `sample` given pages under SHORT characters."""
+    some = pages.where(F.length("html") < SHORT)
     return Trees().fit(*labelled(hash_sample(some, "html", sample)))
 
 

@@ -485,6 +485,29 @@ def test_op7_pages(spark, tmp_path):
     assert html_text.op7_main_text(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_pages_without_a_container():
+    """Paragraphs straight in the body, with menus beside, in a bare div, loose and plain text, and a long page keep their text, whole and in order."""
+    trees = html_text.Trees().fit(*html_text.labelled([]))
+    r = random.Random(4)
+    say = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(n)).capitalize() + "."
+    text = [say(n) for n in (30, 55, 12, 41)]
+    paragraphs = "".join(f"<p>{t}</p>" for t in text)
+    nav = "<nav><ul>" + "".join(f"<li><a href='/{k}'>Part {k}</a></li>" for k in range(6)) + "</ul></nav>"
+    foot = "<footer><p>Imprint and terms</p></footer>"
+
+    def main(html):
+        page = html_text.Page(html)
+        return page.text(trees.odds(page.features()))
+
+    want = "\n".join(text)
+    for html in (paragraphs, f"<body>{paragraphs}</body>", f"<html><body>{nav}{paragraphs}{foot}</body></html>", f"<html><body><div>{paragraphs}</div>{foot}</body></html>"):
+        assert main(html) == want
+    assert main(text[1]) == text[1] and main("<html><body>" + text[0] + "<br>" + text[1] + "</body></html>") == text[0] + " " + text[1]
+    assert main(f"<html><body>{nav}{foot}</body></html>") == "" and main("") == ""
+    long = [say(40) for _ in range(3000)]
+    assert main("<html><body>" + nav + "<article>" + "".join(f"<p>{t}</p>" for t in long) + "</article>" + foot + "</body></html>") == "\n".join(long)
+
+
 def test_decontamination(spark):
     r = random.Random(9)
     say = lambda n: [f"w{r.randint(0, 5000)}" for _ in range(n)]

@@ -675,6 +675,40 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return candidates.loss_basepair_constant(structure.brackets_to_mapping(X.fx_folded(spark, d)))
 
 
+#: Two batches of epoch 0 with seed 7, each a step and its shrinking.
+_SHRUNK = "CASE WHEN q > 0 THEN sign(w) * greatest(abs(w) - 0.5 / sqrt(q) * 0.5, 0) ELSE w END"
+TRAINED = f"""{BOTH}, b AS (SELECT feature, ('0x' || substr(md5(seq_id || ':0:7'), 1, 15))::BIGINT % 2 AS batch, sum(g) AS g FROM diff GROUP BY ALL),
+s0 AS (SELECT feature, {_SHRUNK} AS w, q FROM (SELECT feature, -0.5 * sign(g) AS w, g * g AS q FROM b WHERE batch = 0)),
+s1 AS (SELECT feature, CASE WHEN g <> 0 THEN w - 0.5 / sqrt(q + g * g) * g ELSE w END AS w, q + g * g AS q FROM (SELECT feature, coalesce(s0.w, 0) AS w, coalesce(s0.q, 0) AS q, coalesce(c.g, 0) AS g FROM s0 FULL JOIN (SELECT * FROM b WHERE batch = 1) c USING (feature)))"""
+
+
+class Stopped(Exception):
+    """A run of training that ends before its time."""
+
+
+@query("t8_t6_training_resumed", f"{TRAINED} SELECT feature, round({_SHRUNK}, 6)::DOUBLE + 0 AS w, q::DOUBLE AS sum_sq FROM s1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Two batches of training: the run stops in its second step, and another one goes on from the first step's weights."""
+    true, predicted = (stored(x, "counts") for x in _true_and_predicted(spark, d))
+    records = X.fx_folded(spark, d).select("seq_id", F.lit("none").alias("label_kind"))
+    start, folder, calls = spark.createDataFrame([], "feature string, w double, sum_sq double"), shared_path(spark, "training"), []
+
+    def predict(some: DataFrame, weights: DataFrame) -> DataFrame:
+        calls.append(1)
+        if len(calls) == 2:
+            raise Stopped
+        return predicted.join(some.select("seq_id"), "seq_id", "left_semi")
+
+    try:
+        training.train(records, start, predict, true, folder, batches=2, lam=0.5, seed=7)
+    except Stopped:
+        out = training.train(records, start, predict, true, folder, batches=2, lam=0.5, seed=7)
+    # One call in the first step, one that stopped, one in the second step: the first step was not run again.
+    if len(calls) != 3:
+        raise RuntimeError(f"{len(calls)} predictions")
+    return out.withColumn("w", F.round("w", 6) + 0.0)
+
+
 #: The cells (i, j) of a record, with what its ends are known for.
 _CELLS = "SELECT a.seq_id, {0} AS const FROM {1} a JOIN {1} b ON b.seq_id = a.seq_id AND b.pos > a.pos GROUP BY a.seq_id"
 
@@ -717,6 +751,24 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 # ---- files: what a writer left, read again
 
 
+@query("k1_s2_brackets", "SELECT 'r' || seq_id AS name, seq, structure FROM fx_folded")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "brackets")
+    writers.write_brackets(X.fx_folded(spark, d).withColumn("name", F.concat(F.lit("r"), "seq_id")), path)
+    return readers.read_brackets(spark, path)[0]
+
+
+@query(
+    "k2_s5_bpseq",
+    "SELECT m.seq_id, count(*) AS n, sum(m.pos * m.partner)::BIGINT AS sum_pp, sum(m.pos * ascii(substr(f.seq, m.pos, 1)))::BIGINT AS sum_pb FROM fd_mapping m JOIN fx_folded f USING (seq_id) GROUP BY m.seq_id",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "bpseq")
+    writers.write_bpseq(X.fx_folded(spark, d), path)
+    rows = readers.read_bpseq_files(spark, path)[0]
+    return rows.groupBy("seq_id").agg(F.count("*").alias("n"), F.sum(F.col("pos").cast("long") * F.col("partner")).alias("sum_pp"), F.sum(F.col("pos").cast("long") * F.ascii("base")).alias("sum_pb"))
+
+
 @query("k3_s8_weights", f"{FEATS}, {WEIGHTS} SELECT feature, w::DOUBLE AS w FROM wts WHERE w <> 0")
 def _(spark: SparkSession, d: str) -> DataFrame:
     path = shared_path(spark, "weights")

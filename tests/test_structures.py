@@ -3,11 +3,12 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from helixmill.functions import expr
-from helixmill.operators import candidates, expansion, features, lengths, loops, solve, structure, training
+from helixmill.operators import alignment, candidates, expansion, features, lengths, loops, solve, structure, training
 from helixmill.plans.fixtures import partner_places
 from helixmill.sources import readers, writers
 
@@ -274,7 +275,7 @@ def test_files(spark, tmp_path):
     assert {(x.feature, x.w, x.sum_sq) for x in back.collect()} == {("helix_stacking_AUCG", 0.5, 1.0), ("z", 0.0, 2.0)} and config.first()["eta"] == 0.5
     assert readers.read_weights(spark, str(part)).count() == 1
     writers.write_bpseq(records, str(tmp_path / "out"))
-    assert next((tmp_path / "out").rglob("part-*")).read_text().split("\n")[:2] == ["1 G 9", "2 G 8"]
+    assert next((tmp_path / "out").glob("bucket=*/part-*")).read_text().split("\n")[:2] == ["1 G 9", "2 G 8"]
     put("strong.lst", f"{tmp_path}/a.bp {tmp_path}/a.fa\n{tmp_path}/b.bp")
     put("weak.lst", f"{tmp_path}/w.react\n")
     put("w.react", "1 G 0.25\n2 A 0.5\n")
@@ -282,3 +283,47 @@ def test_files(spark, tmp_path):
     assert Counter((x.seq_id[-4:], x.label_kind) for x in every.collect()) == {("a.bp", "none"): 3, ("a.fa", "none"): 9, ("eact", "unpaired"): 2}
     assert [(x.partner, x.r_unpaired) for x in every.where("label_kind = 'unpaired'").orderBy("pos").collect()] == [(-1, 0.25), (-1, 0.5)]
     assert [x.path[-4:] for x in faults.collect()] == ["b.bp"] and readers.read_corpus(spark, [])[0].isEmpty()
+
+
+def test_many_records_a_file(spark, tmp_path):
+    """BPSEQ in buckets and bracket files keep records whole and in order, with an index; what an index does not fit is at fault."""
+    r = random.Random(8)
+    rows = [(k, f"n{k}", "".join(r.choice("ACGU") for _ in range(n)), nested(r, n)) for k, n in enumerate([r.randint(1, 60) for _ in range(120)] + [0, 1, 300])]
+    records = spark.createDataFrame(rows, "seq_id long, name string, seq string, structure string").repartition(5)
+    path = str(tmp_path / "out")
+    writers.write_bpseq(records, path, lines=400)
+    files = sorted((tmp_path / "out").glob("bucket=*/part-*"))
+    total = sum(len(x[2]) for x in rows)
+    assert len(files) <= -(-total // 400) and sum(len(f.read_text().splitlines()) for f in files) == total
+    for f in files:
+        at = [int(line.split()[0]) for line in f.read_text().splitlines()]
+        assert at[0] == 1 and all(b in (a + 1, 1) for a, b in zip(at, at[1:], strict=False))
+    mapping, bad = readers.read_bpseq_files(spark, path)
+    want = sorted(tuple(x) for x in structure.brackets_to_mapping(records).join(structure.bases_of(records), ["seq_id", "pos"]).select("seq_id", "pos", "base", "partner").collect())
+    assert sorted(tuple(x) for x in mapping.collect()) == want and bad.count() == 0
+    lines = files[0].read_text().splitlines()
+    files[0].write_text("\n".join(lines[:-1]))
+    for crc in files[0].parent.glob(".*.crc"):
+        crc.unlink()
+    mapping, bad = readers.read_bpseq_files(spark, path)
+    gone = [x.seq_id for x in bad.collect()]
+    assert len(gone) == 1 and {x.seq_id for x in mapping.collect()} == {x[0] for x in want} - set(gone)
+    whole = records.where("seq <> ''")
+    writers.write_brackets(whole, str(tmp_path / "fasta"))
+    back, bad = readers.read_brackets(spark, str(tmp_path / "fasta"))
+    assert sorted(tuple(x) for x in back.collect()) == sorted(x[1:] for x in rows if x[2]) and bad.count() == 0
+
+
+def test_identity_without_row_pairs(spark):
+    """The mean over all row pairs, against numpy over 1,500 rows with gaps and lower case; one row, and rows without letters."""
+    r = np.random.default_rng(3)
+    sym = r.choice(list("ACGUacg--."), (1500, 12))
+    cells = [("big", i, j, str(sym[i, j])) for i in range(1500) for j in range(12)] + [("one", 0, 0, "A"), ("none", 0, 0, "-"), ("none", 1, 0, "A")]
+    got = {x.aln_id: x.identity for x in alignment.percent_identity(spark.createDataFrame(cells, "aln_id string, row_no int, pos int, sym string")).collect()}
+    upper = np.char.upper(sym)
+    letter = np.char.isalpha(upper)
+    n = letter.sum(1)
+    same = sum(((upper[:, j][:, None] == upper[:, j][None]) & letter[:, j][:, None]).astype(int) for j in range(12))
+    least = np.minimum(n[:, None], n[None])
+    share = np.where(least > 0, same / np.maximum(least, 1), 0.0)
+    assert got["one"] is None and got["none"] == 0.0 and got["big"] == pytest.approx(share[np.triu_indices(1500, 1)].mean())

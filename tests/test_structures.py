@@ -285,6 +285,34 @@ def test_files(spark, tmp_path):
     assert [x.path[-4:] for x in faults.collect()] == ["b.bp"] and readers.read_corpus(spark, [])[0].isEmpty()
 
 
+@pytest.mark.parametrize("size", [16, 61])
+def test_files_in_splits(spark, tmp_path, size):
+    """Files read in splits of few bytes give what files read whole give, faults too."""
+    r = random.Random(size)
+    text = lambda n: "".join(r.choice("ACGU") for _ in range(n))
+    fasta = {"a": "".join(f"> r{k}\n" + "".join(text(r.randint(0, 9)) + r.choice(["\n", " ", "\r\n", "\n\n", "\t"]) for _ in range(6)) + "\n" for k in range(12))}
+    fasta |= {"b": "\n\n" + fasta["a"], "c": "ACGU\n>x\nAC\n", "d": ">x\n>y\n  >z\nAC>GU\n>>w\n\n", "e": "\n \n", "f": ">a\nAC\n>b\nGU\n>s\n()", "g": ">\nA\n>b\nGU\n", "h": ">x", "i": ""}
+    lines = [f"{k} {r.choice('ACGU')} {r.choice([0, -1, 5])}" for k in range(1, 26)]
+    bpseq = {"a": "\n".join(lines), "b": " ".join(lines), "c": "\n".join(" ".join(lines).split(" ")), "d": "\n\n".join(lines[:30]) + "  " + "\t".join(lines[30:]), "e": "\n".join(lines) + " 26", "f": "\n".join(lines[:9] + lines[10:]), "g": " \n\n ", "h": "1 G", "i": ""}
+    bpseq |= {"j": "\n".join([*lines[:10], "11 GG 0", *lines[11:20], "21 G -5", *lines[21:]])}
+    for kind, some in (("fa", fasta), ("bp", bpseq)):
+        for name, t in some.items():
+            (tmp_path / f"{name}.{kind}").write_bytes(t.encode())
+    jobs = [lambda w, m=m: readers.read_fasta(spark, str(tmp_path / "*.fa"), m, w) for m in ("alignment", "independent")]
+    jobs += [lambda w: readers.read_bpseq(spark, str(tmp_path / "*.bp"), w), *[lambda w, k=k: readers.read_reactivity(spark, str(tmp_path / "*.bp"), k, w) for k in ("paired", "both")]]
+    jobs += [lambda w: (readers.formats(spark, str(tmp_path / "*"), w),)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        for job in jobs:
+            for whole, split in zip(job(1 << 30), job(0), strict=True):
+                assert split.columns == whole.columns
+                assert Counter(map(tuple, split.collect())) == Counter(map(tuple, whole.collect()))
+        assert readers.read_fasta(spark, str(tmp_path / "a.fa"), "independent", 0)[0].count() == 12
+        assert readers.read_bpseq(spark, str(tmp_path / "[a-d].bp"), 0)[0].count() == 4 * 25
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_many_records_a_file(spark, tmp_path):
     """BPSEQ in buckets and bracket files keep records whole and in order, with an index; what an index does not fit is at fault."""
     r = random.Random(8)

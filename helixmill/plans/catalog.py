@@ -60,6 +60,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return X.fx_raw(spark, d).select("seq_id", E.normalize_seq(F.col("seq")).alias("seq"))
 
 
+@query(
+    "e1_normalize_words",
+    """words AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), ' '), lambda w: CASE WHEN NOT regexp_matches(w, '[^A-Za-z.-]') THEN regexp_replace(regexp_replace(translate(w, '.tT', '-uU'), '[^acgupA-Z-]', 'n', 'g'), '[^ACGUPa-z-]', 'N', 'g') END) AS w FROM documents)
+    SELECT doc_id, len(w)::INT AS n, len(list_filter(w, lambda x: x IS NULL))::INT AS n_bad, md5(array_to_string(list_transform(w, lambda x: coalesce(x, '*')), ' ')) AS words FROM words""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Each text's words taken for sequences: with capitals, full stops for gaps and characters that no sequence has."""
+    w = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), " "), E.normalize_seq).alias("w"))
+    return w.select("doc_id", F.size("w").alias("n"), F.size(F.filter("w", lambda x: x.isNull())).alias("n_bad"), F.md5(F.array_join("w", " ", "*")).alias("words"))
+
+
 @query("e4_remove_gaps", "SELECT aln_id, row_no, replace(string_agg(sym, '' ORDER BY pos), '-', '') AS seq FROM fx_aln GROUP BY aln_id, row_no")
 def _(spark: SparkSession, d: str) -> DataFrame:
     rows = X.fx_aln(spark, d).groupBy("aln_id", "row_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sym"))), lambda x: x["sym"]), "").alias("s"))
@@ -132,6 +143,19 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return structure.attach_structure(X.fx_folded(spark, d), structure.brackets_to_mapping(X.fx_pred(spark, d)))
 
 
+@query(
+    "m7_attach_valid_structures",
+    """SELECT f.seq_id, f.seq, CASE WHEN f.seq_id % 5 < 3 THEN f.structure ELSE t.structure END AS structure, CASE f.seq_id % 5 WHEN 0 THEN 'out of range' WHEN 1 THEN 'paired with itself' WHEN 2 THEN 'not reciprocal' END AS reason
+    FROM fx_folded f JOIN tpl t ON t.no = (f.seq_id + 1) % 9""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Three of five predictions have a fault at position 70, which all these templates leave unpaired."""
+    no = F.pmod("seq_id", F.lit(5))
+    wrong = F.when(no == 0, X.LENGTH + 1).when(no == 1, 70).when(no == 2, 71)
+    m = structure.brackets_to_mapping(X.fx_pred(spark, d)).withColumn("partner", F.coalesce(F.when(F.col("pos") == 70, wrong), F.col("partner")))
+    return structure.attach_structure(X.fx_folded(spark, d), m)
+
+
 @query("m8_paired_count", "SELECT seq_id, 1 + length(regexp_replace(structure, '[.?]', '', 'g')) AS np FROM fx_folded")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return structure.paired_count(structure.brackets_to_mapping(X.fx_folded(spark, d)))
@@ -797,6 +821,122 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_weights(spark, path).withColumnRenamed("w", "cnt")
 
 
+@query("k3_o1_order_of_weights", f"{FEATS}, {WEIGHTS} SELECT (row_number() OVER (ORDER BY feature) - 1)::INT AS line, feature FROM wts WHERE w <> 0")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "weights")
+    writers.write_weights(_weights(features.feature_counts(X.fx_folded(spark, d))), path)
+    return readers.file_lines(spark, path).select("line", F.get("t", F.lit(0)).alias("feature"))
+
+
+# ---- files of a corpus: one a document, which holds all of its records
+
+#: The document and the number in it of each record.
+_OF = f"seq_id // {X.PER_DOC} AS doc_id, seq_id % {X.PER_DOC} AS k"
+
+
+def _runs(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"doc_id": F.expr(f"seq_id div {X.PER_DOC}"), "k": F.expr(f"seq_id % {X.PER_DOC}")})
+
+
+def _put(lines: DataFrame, path: str) -> str:
+    """A file a document, of lines(doc_id, at, value) in the order of at."""
+    lines.repartition("doc_id").sortWithinPartitions("doc_id", "at").select("doc_id", "value").write.partitionBy("doc_id").text(path)
+    return path
+
+
+def _doc(path: str) -> Column:
+    return F.regexp_extract(path, r"doc_id=(-?\d+)", 1).cast("long").alias("doc_id")
+
+
+def _fasta_lines(spark: SparkSession, d: str) -> DataFrame:
+    """An alignment of a document's records, in two lines each; two documents of three have a structure row, second where doc_id is even, else last."""
+    runs = _runs(X.fx_seq(spark, d))
+    rows = runs.select("doc_id", (F.col("k") * 2).alias("at"), F.concat_ws("\n", F.concat(F.lit(">r"), "seq_id"), F.substring("seq", 1, 40), F.substring("seq", 41, X.LENGTH)).alias("value"))
+    told = runs.groupBy("doc_id").agg(F.max("k").alias("last")).where("doc_id % 3 <> 0").withColumnRenamed("doc_id", "seq_id")
+    place = F.when(F.col("seq_id") % 2 == 0, 1).otherwise(F.col("last") * 2 + 1)
+    return rows.unionByName(told.select(F.col("seq_id").alias("doc_id"), place.alias("at"), F.concat(F.lit(">told\n"), X.template()).alias("value")))
+
+
+def _bpseq_lines(spark: SparkSession, d: str) -> DataFrame:
+    """All records of a document as one sequence, a position a line."""
+    folded = X.fx_folded(spark, d)
+    rows = _runs(structure.brackets_to_mapping(folded).join(structure.bases_of(folded), ["seq_id", "pos"]))
+    moved = lambda c: F.col(c) + F.col("k") * X.LENGTH
+    return rows.select("doc_id", moved("pos").alias("at"), F.concat_ws(" ", moved("pos"), "base", F.when(F.col("partner") > 0, moved("partner")).otherwise(F.col("partner"))).alias("value"))
+
+
+def _raw_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _runs(X.fx_seq(spark, d)).select("doc_id", F.col("k").alias("at"), F.col("seq").alias("value"))
+
+
+def _react_lines(spark: SparkSession, d: str, *values: str) -> DataFrame:
+    rows = _runs(X.fx_react(spark, d)).withColumn("at", F.col("pos") + F.col("k") * X.LENGTH)
+    return rows.select("doc_id", "at", F.concat_ws(" ", "at", "base", *[F.col(v).cast("string") for v in values]).alias("value"))
+
+
+@query("s1_detect_format", f"SELECT DISTINCT doc_id, CASE doc_id % 3 WHEN 0 THEN 'fasta' WHEN 1 THEN 'bpseq' ELSE 'raw' END AS fmt FROM (SELECT {_OF} FROM fx_seq)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "corpus")
+    for k, lines in enumerate((_fasta_lines, _bpseq_lines, _raw_lines)):
+        _put(lines(spark, d).where(F.col("doc_id") % 3 == k), f"{path}/{k}")
+    return readers.formats(spark, f"{path}/*").select(_doc("path"), "fmt")
+
+
+@query(
+    "s2_s3_alignments",
+    f"""r AS (SELECT {_OF}, seq_id, seq FROM fx_seq), n AS (SELECT doc_id, count(*) AS n_rows, sum(CASE WHEN k > 0 AND doc_id % 6 IN (2, 4) THEN k + 1 ELSE k END)::BIGINT AS sum_row, min(seq_id) AS seq_id FROM r GROUP BY doc_id)
+    SELECT n.doc_id, 'r' || seq_id AS name, r.seq, CASE WHEN n.doc_id % 3 = 0 THEN repeat('?', {X.LENGTH}) ELSE structure END AS structure, n_rows, sum_row FROM n JOIN r USING (seq_id) JOIN tpl ON no = n.doc_id % 10""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Read in splits."""
+    rows, _ = readers.read_fasta(spark, _put(_fasta_lines(spark, d), shared_path(spark, "alignments")), whole=0)
+    records, others, _ = readers.split_consensus(rows)
+    told = others.groupBy(F.col("aln_id").alias("seq_id")).agg(F.count("*").alias("n_rows"), F.sum("row_no").alias("sum_row"))
+    return records.join(told, "seq_id").select(_doc("seq_id"), "name", "seq", "structure", "n_rows", "sum_row")
+
+
+@query("s4_raw", f"SELECT doc_id, md5(string_agg(seq, '' ORDER BY k)) AS seq, (count(*) * {X.LENGTH})::INT AS n_unknown FROM (SELECT {_OF}, seq FROM fx_seq) GROUP BY doc_id")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    records = readers.read_raw(spark, _put(_raw_lines(spark, d), shared_path(spark, "raw")))[0]
+    return records.select(_doc("seq_id"), F.md5("seq").alias("seq"), F.length(F.regexp_replace("structure", "[^?]", "")).alias("n_unknown"))
+
+
+_PLACE = f"(pos + seq_id % {X.PER_DOC} * {X.LENGTH})"
+_REACT = f"SELECT seq_id // {X.PER_DOC} AS doc_id, count(*) AS n, sum({_PLACE} * ascii(base))::BIGINT AS sum_pb, sum(r_unpaired * {_PLACE})::DOUBLE AS sum_u, sum(r_paired * {_PLACE})::DOUBLE AS sum_p FROM fx_react GROUP BY ALL"
+
+
+@query("s6_reactivity", _REACT)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Read in splits; reactivities are multiples of 1/128, so that sums are exact."""
+    rows = readers.read_reactivity(spark, _put(_react_lines(spark, d, "r_unpaired", "r_paired"), shared_path(spark, "reactivity")), "both", whole=0)[0]
+    at = lambda c: F.sum(F.col("pos").cast("long") * c)
+    return rows.groupBy("seq_id").agg(F.count("*").alias("n"), at(F.ascii("base")).alias("sum_pb"), at(F.col("r_unpaired")).alias("sum_u"), at(F.col("r_paired")).alias("sum_p")).select(_doc("seq_id"), "n", "sum_pb", "sum_u", "sum_p")
+
+
+@query(
+    "s5_s7_corpus",
+    f"""all_ AS (
+      SELECT x.seq_id // {X.PER_DOC} AS doc_id, 'none' AS kind, x.pos::BIGINT AS pos, x.base, CASE WHEN x.seq_id // {X.PER_DOC} % 3 = 0 OR t.structure[x.pos] = '?' THEN -1 ELSE coalesce(e.partner, 0) END AS partner, 0 AS r
+        FROM fx_bases x JOIN tpl t ON t.no = x.seq_id // {X.PER_DOC} % 10 LEFT JOIN tpl_ends e ON e.no = t.no AND e.p = x.pos WHERE x.seq_id % {X.PER_DOC} = 0 AND x.seq_id // {X.PER_DOC} % 4 = 0
+      UNION ALL SELECT seq_id // {X.PER_DOC}, 'none', {_PLACE}, seq[pos], CASE WHEN partner > 0 THEN partner + seq_id % {X.PER_DOC} * {X.LENGTH} ELSE partner END, 0 FROM fd_mapping JOIN fx_folded USING (seq_id) WHERE seq_id // {X.PER_DOC} % 4 = 1
+      UNION ALL SELECT seq_id // {X.PER_DOC}, 'none', {_PLACE}, base, -1, 0 FROM fx_bases WHERE seq_id // {X.PER_DOC} % 4 = 2
+      UNION ALL SELECT seq_id // {X.PER_DOC}, 'unpaired', {_PLACE}, base, -1, r_unpaired FROM fx_react WHERE seq_id // {X.PER_DOC} % 4 = 3)
+    SELECT doc_id, kind AS label_kind, count(*) AS n, sum(pos * partner)::BIGINT AS sum_pp, sum(pos * ascii(base))::BIGINT AS sum_pb, sum(r)::DOUBLE AS sum_r FROM all_ GROUP BY ALL""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as FASTA, BPSEQ, raw and reactivity files by turns, which two list files of structures and one of reactivities name."""
+    path = shared_path(spark, "corpus")
+    for k, lines in enumerate((_fasta_lines(spark, d), _bpseq_lines(spark, d), _raw_lines(spark, d), _react_lines(spark, d, "r_unpaired"))):
+        _put(lines.where(F.col("doc_id") % 4 == k), f"{path}/{k}")
+    lists = {"a": ["0", "1"], "b": ["2"], "weak": ["3"]}
+    for name, of in lists.items():
+        readers.formats(spark, [f"{path}/{k}" for k in of]).select("path").coalesce(1).write.text(f"{path}/{name}.list")
+    rows = readers.read_corpus(spark, [f"{path}/a.list", f"{path}/b.list"], [f"{path}/weak.list"])[0]
+    at = lambda c: F.sum(F.col("pos").cast("long") * c)
+    rows = rows.groupBy("seq_id", "label_kind").agg(F.count("*").alias("n"), at(F.col("partner")).alias("sum_pp"), at(F.ascii("base")).alias("sum_pb"), F.coalesce(F.sum("r_unpaired"), F.lit(0.0)).alias("sum_r"))
+    return rows.select(_doc("seq_id"), "label_kind", "n", "sum_pp", "sum_pb", "sum_r")
+
+
 @query("t7_epoch_order", "SELECT (('0x' || substr(md5(seq_id || ':0:7'), 1, 15))::BIGINT % 16)::INT AS batch, count(*) AS count FROM fx_folded GROUP BY ALL")
 def _(spark: SparkSession, d: str) -> DataFrame:
     records = X.fx_folded(spark, d).withColumn("label_kind", F.lit("none"))

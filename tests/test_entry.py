@@ -13,7 +13,7 @@ def test_names_agree():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["m1_brackets_to_pairs", "l2_classify_loops", "g2_corpus_feature_counts", "a2_sequence_weights", "m3_validate_mapping", "m4_has_pseudoknot", "t5_l1_shrink", "t7_epoch_order", "k5_report"])
+@pytest.mark.parametrize("name", ["m1_brackets_to_pairs", "l2_classify_loops", "g2_corpus_feature_counts", "a2_sequence_weights", "m3_validate_mapping", "m4_has_pseudoknot", "t5_l1_shrink", "t7_epoch_order", "k5_report", "m7_attach_valid_structures", "e1_normalize_words", "k3_o1_order_of_weights", "s1_detect_format", "s2_s3_alignments", "s4_raw", "s6_reactivity", "s5_s7_corpus"])
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")

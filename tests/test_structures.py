@@ -293,7 +293,7 @@ def test_files_in_splits(spark, tmp_path, size):
     fasta = {"a": "".join(f"> r{k}\n" + "".join(text(r.randint(0, 9)) + r.choice(["\n", " ", "\r\n", "\n\n", "\t"]) for _ in range(6)) + "\n" for k in range(12))}
     fasta |= {"b": "\n\n" + fasta["a"], "c": "ACGU\n>x\nAC\n", "d": ">x\n>y\n  >z\nAC>GU\n>>w\n\n", "e": "\n \n", "f": ">a\nAC\n>b\nGU\n>s\n()", "g": ">\nA\n>b\nGU\n", "h": ">x", "i": ""}
     lines = [f"{k} {r.choice('ACGU')} {r.choice([0, -1, 5])}" for k in range(1, 26)]
-    bpseq = {"a": "\n".join(lines), "b": " ".join(lines), "c": "\n".join(" ".join(lines).split(" ")), "d": "\n\n".join(lines[:30]) + "  " + "\t".join(lines[30:]), "e": "\n".join(lines) + " 26", "f": "\n".join(lines[:9] + lines[10:]), "g": " \n\n ", "h": "1 G", "i": ""}
+    bpseq = {"a": "\n".join(lines), "b": " ".join(lines), "c": "\n".join(" ".join(lines).split(" ")), "d": "\n\n".join(lines[:12]) + "  " + "\t".join(lines[12:]), "e": "\n".join(lines) + " 26", "f": "\n".join(lines[:9] + lines[10:]), "g": " \n\n ", "h": "1 G", "i": ""}
     bpseq |= {"j": "\n".join([*lines[:10], "11 GG 0", *lines[11:20], "21 G -5", *lines[21:]])}
     for kind, some in (("fa", fasta), ("bp", bpseq)):
         for name, t in some.items():

@@ -1,7 +1,7 @@
 """Folding and decoding: the only helpers that run Python inside tasks, one record at a time.
 
 Spark spreads the records: they are dealt by a hash, so long ones do not meet, and
-longer ones than max_len go to the quarantine that fold_corpus returns.
+where max_len is given, longer ones go to the quarantine that fold_corpus returns.
 """
 
 from __future__ import annotations
@@ -160,8 +160,8 @@ def fold(seq: str, weights: dict[str, float], max_single: int = MAX_SINGLE, allo
     return outer[n][0], sorted(pairs)
 
 
-def fold_corpus(records: DataFrame, weights: DataFrame, max_len: int = 400, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """folded(seq_id, score, pairs array of (i, j)) and quarantine(seq_id, reason) of too long records.
+def fold_corpus(records: DataFrame, weights: DataFrame, max_len: int | None = None, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """folded(seq_id, score, pairs array of (i, j)) and quarantine(seq_id, reason) of records longer than max_len (None: of none).
 
     The weight table, thousands of rows by its vocabulary, is sent along with the task.
     """
@@ -173,8 +173,9 @@ def fold_corpus(records: DataFrame, weights: DataFrame, max_len: int = 400, part
             yield pd.DataFrame({"seq_id": pdf["seq_id"], "score": [f[0] for f in found], "pairs": [[{"i": i, "j": j} for i, j in f[1]] for f in found]})
 
     parts = partitions or 4 * int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    short = records.where(F.length("seq") <= max_len).select("seq_id", "seq").repartition(parts, F.xxhash64("seq_id"))
-    long = records.where(F.length("seq") > max_len).select("seq_id", F.lit("too long to fold").alias("reason"))
+    within = F.lit(True) if max_len is None else F.length("seq") <= max_len
+    short = records.where(within).select("seq_id", "seq").repartition(parts, F.xxhash64("seq_id"))
+    long = records.where(~within).select("seq_id", F.lit("too long to fold").alias("reason"))
     return short.mapInPandas(run, "seq_id long, score double, pairs array<struct<i:int,j:int>>"), long
 
 
